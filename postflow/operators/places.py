@@ -6,7 +6,8 @@ rules are literals of fixed size. Nothing here shuffles.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from itertools import chain
 
@@ -26,45 +27,63 @@ from ..functions.text import SPACE, strip
 from ..schemas import WORK_MODES
 
 # What separates places in one text, and how boards spell a work mode.
-SEPARATORS = r"\||;|/|&|,|\bor\b|\band\b|[{s}]-[{s}]|–|—".format(s=SPACE)
+SEPARATORS = r"\||;|/|&|,|\bor\b|\band\b| - |–|—"
 STATED_MODES = {
     "remote": "remote", "hybrid": "hybrid", "onsite": "onsite", "office": "onsite", "inoffice": "onsite",
 }
 
 
-def _literal_map(entries: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(entries.items())])
+def _looked_up(entries: dict[str, str]) -> Callable[[Column], Column]:
+    """A lookup in a table of fixed size, kept as one folded literal.
+
+    The literal is keyed by first letter and then by text, because a map literal is
+    searched from its start.
+    """
+    by_letter: dict[str, dict[str, str]] = {}
+    for key, value in entries.items():
+        by_letter.setdefault(key[0], {})[key] = value
+    table = F.from_json(F.lit(json.dumps(by_letter)), "MAP<STRING, MAP<STRING, STRING>>")
+    return lambda key: F.try_element_at(F.try_element_at(table, F.substring(key, 1, 1)), key)
 
 
 def _words(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in sorted(values)])
 
 
-def _place_key(text: Column) -> Column:
-    return strip(F.regexp_replace(F.translate(F.lower(text), ".", " "), f"[{SPACE}]+", " "))
+def _collapsed(text: Column) -> Column:
+    """Single spaces only. Most texts have no double space, so the pattern rarely runs."""
+    return F.trim(F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " +", " ")).otherwise(text))
 
 
-def _squeezed(text: Column) -> Column:
-    return strip(F.regexp_replace(text, f"[{SPACE}]+", " "))
+def _place_key(text: Column) -> Column:
+    return _collapsed(F.translate(text, ".", " "))
 
 
 def _pieces(texts: Column) -> Column:
-    """Every separated, trimmed, non-empty piece of every text, in order."""
+    """Every separated, trimmed, non-empty piece of every text, in order.
+
+    Whitespace of every kind becomes a space once per text, so pieces need no patterns.
+    """
     def split(text: Column) -> Column:
-        opened = F.translate(F.lower(F.coalesce(text, F.lit(""))), "()", ",,")
+        spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[{SPACE}]", " ")
         return F.transform(
-            F.split(opened, SEPARATORS),
-            lambda piece: strip(F.regexp_replace(strip(piece), r"^\.+|\.+$", "")),
+            F.split(F.translate(spaced, "()", ",,"), SEPARATORS),
+            lambda piece: F.trim(F.btrim(F.trim(piece), F.lit("."))),
         )
 
     return F.filter(F.flatten(F.transform(texts, split)), lambda piece: piece != "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` evaluated once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def stated_work_mode(workplace_type: Column, is_remote: Column) -> Column:
     """The work mode a board states outright: its own field, else its remote flag."""
     field = F.translate(F.lower(strip(workplace_type)), "_-", "")
     return F.coalesce(
-        F.try_element_at(_literal_map(STATED_MODES), field),
+        _looked_up(STATED_MODES)(field),
         F.when(is_remote, F.lit("remote")).when(~is_remote, F.lit("onsite")),
     )
 
@@ -84,59 +103,53 @@ def parse_location(
     known is `unknown`.
     """
     absent = F.lit(None).cast("string")
-    places = _literal_map(gazetteer.lookup())
-    iso = _literal_map(gazetteer.iso2)
+    place_of, country_of = _looked_up(gazetteer.lookup()), _looked_up(gazetteer.iso2)
     noise, unresolvable = _words(NOISE_WORDS), _words(NOISE_WORDS | SUPRANATIONAL)
 
     code = F.upper(strip(country_code)) if country_code is not None else absent
     by_code = F.coalesce(
-        F.try_element_at(iso, code), F.when(F.regexp_like(code, F.lit(r"^\p{L}{2}$")), F.lit(OTHER))
+        country_of(code), F.when(F.regexp_like(code, F.lit(r"^\p{L}{2}$")), F.lit(OTHER))
     )
 
     def resolve(piece: Column) -> Column:
         words = F.filter(
-            F.split(_squeezed(F.translate(piece, "-", " ")), " "),
-            lambda word: ~F.array_contains(noise, word),
+            F.split(F.translate(piece, "-", " "), " "),
+            lambda word: (word != "") & ~F.array_contains(noise, word),
         )
         found = F.coalesce(
-            F.try_element_at(places, _place_key(piece)),
-            F.try_element_at(places, _place_key(F.array_join(words, " "))),
+            place_of(_place_key(piece)),
+            place_of(_place_key(F.array_join(words, " "))),
         )
         return F.when(~F.array_contains(unresolvable, piece), found)
 
     texts = F.array(raw)
     if hints is not None:
         texts = F.concat(texts, F.coalesce(hints, F.array().cast("array<string>")))
-    pieces = _pieces(texts)
-    resolved = F.filter(
-        F.concat(F.array(by_code), F.transform(pieces, resolve)), lambda token: token.isNotNull()
+    mode_stated = stated_work_mode(
+        workplace_type if workplace_type is not None else absent,
+        is_remote if is_remote is not None else F.lit(None).cast("boolean"),
     )
 
-    def read(fields: Column) -> Column:
-        """The answer from (pieces, resolved), which are computed once per row."""
-        regions = F.array_distinct(F.array_remove(fields["resolved"], OTHER))
-        any_place = F.size(fields["resolved"]) > 0
+    def answer(pieces: Column, resolved: Column) -> Column:
+        regions = F.array_distinct(F.array_remove(resolved, OTHER))
+        any_place = F.size(resolved) > 0
         mode = F.coalesce(
-            stated_work_mode(
-                workplace_type if workplace_type is not None else absent,
-                is_remote if is_remote is not None else F.lit(None).cast("boolean"),
-            ),
-            F.when(F.exists(fields["pieces"], lambda p: F.contains(p, F.lit("remote"))), F.lit("remote")),
-            F.when(F.exists(fields["pieces"], lambda p: F.contains(p, F.lit("hybrid"))), F.lit("hybrid")),
+            mode_stated,
+            F.when(F.exists(pieces, lambda p: F.contains(p, F.lit("remote"))), F.lit("remote")),
+            F.when(F.exists(pieces, lambda p: F.contains(p, F.lit("hybrid"))), F.lit("hybrid")),
             F.when(any_place, F.lit("onsite")),
             F.lit("unknown"),
         )
         region = F.coalesce(
-            F.try_element_at(regions, F.lit(1)),
-            F.when(any_place, F.lit(OTHER)),
-            F.lit(UNKNOWN),
+            F.try_element_at(regions, F.lit(1)), F.when(any_place, F.lit(OTHER)), F.lit(UNKNOWN)
         )
         return F.struct(regions.alias("regions"), region.alias("region"), mode.alias("work_mode"))
 
-    once = F.transform(
-        F.array(F.struct(pieces.alias("pieces"), resolved.alias("resolved"))), read
-    )
-    return F.element_at(once, 1)
+    def read(pieces: Column) -> Column:
+        tokens = F.concat(F.array(by_code), F.transform(pieces, resolve))
+        return _let(F.filter(tokens, lambda t: t.isNotNull()), lambda resolved: answer(pieces, resolved))
+
+    return _let(_pieces(texts), read)
 
 
 def parse_locations(postings: DataFrame, gazetteer: Gazetteer = DEFAULT_GAZETTEER) -> DataFrame:
