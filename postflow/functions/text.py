@@ -173,8 +173,8 @@ def first_terms(df, key: str, normalized: str, terms):
     """`first_term` for a large term frame (ordinal INT, term STRING).
 
     Word n-grams up to the longest term are matched by an equi-join, so the work does not
-    grow with rows times terms. N-grams are deduplicated per row before the shuffle.
-    Returns (key, term).
+    grow with rows times terms. The vocabulary is broadcast while it is small, which drops
+    nearly all n-grams before anything is shuffled. Returns (key, term).
     """
     vocabulary = (
         terms.select("ordinal", "term", words_only(F.col("term")).alias("phrase"))
@@ -184,15 +184,13 @@ def first_terms(df, key: str, normalized: str, terms):
     )
     longest = vocabulary.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
     words = F.split(F.col(normalized), " ")
-
-    def grams(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-
-    exploded = df.select(
-        key,
-        F.explode(F.array_distinct(F.flatten(F.array(*[grams(n) for n in range(1, longest + 1)])))).alias("phrase"),
-    )
+    grams = [words]
+    for n in range(2, longest + 1):
+        # Each longer run is the run before it with the word that follows. Runs past the
+        # end of the text have no such word and are null.
+        following = F.slice(words, n, F.greatest(F.size(words), F.lit(1)))
+        grams.append(F.zip_with(grams[-1], following, lambda run, word: F.concat(run, F.lit(" "), word)))
+    exploded = df.select(key, F.explode(F.flatten(F.array(*grams))).alias("phrase"))
     return (
         exploded.join(vocabulary, "phrase")
         .groupBy(key)
