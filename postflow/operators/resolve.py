@@ -75,11 +75,12 @@ def _without(rest: Column, found: Column) -> Column:
     return F.concat(F.substring(rest, F.lit(1), found["start"]), F.substring(rest, found["start"] + size + 1, F.length(rest)))
 
 
-def similar_titles(nodes: DataFrame, index: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (node, other, ratio) of `nodes` with rows of `index` at or above `threshold`.
+def similar_titles(titles: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Pairs (node, other, ratio) of titles at or above `threshold`, `node` being a fresh one.
 
-    Both hold (node, block, text), `text` being sorted words, unique per block on each
-    side; only rows of one block are compared and a row is never paired with its own text.
+    `titles` holds node, block, text (sorted words, unique per block) and `fresh`. Only rows
+    of one block are compared, never two that are both stale. A pair of two fresh titles
+    appears both ways.
 
     Exact: a pair within the threshold needs at most `budget` insertions and deletions, so
     if the longer text is cut into budget + 1 segments, one of them occurs unchanged in the
@@ -87,87 +88,65 @@ def similar_titles(nodes: DataFrame, index: DataFrame, threshold: int = THRESHOL
     rows share is refined: what is left of both texts must share a segment in turn.
     """
     alike = F.lit(100 - threshold) / 100
+    longest = F.floor(F.length("text") * (1 + alike) / (1 - alike) + 1e-9).cast("int")
+    bucket = F.concat_ws(":", "block", F.col("long_length").cast("string"))
+    pieces = _budget(F.col("long_length") * 2, threshold) + 1
 
-    def longest_of(column: str) -> Column:
-        return F.floor(F.length(column) * (1 + alike) / (1 - alike) + 1e-9).cast("int")
-
-    def rows(df: DataFrame, side: str) -> DataFrame:
-        return df.select(
-            F.col("node").alias(side), F.col("text").alias(f"{side}_text"), "block",
-            F.length("text").alias("length"), F.col("text").alias("rest"),
-        )
-
-    def as_longer(df: DataFrame) -> DataFrame:
-        return (
-            rows(df, "long")
-            .withColumn("long_length", F.col("length"))
-            .withColumn("pieces", _budget(F.col("long_length") * 2, threshold) + 1)
-            .withColumn("bucket", F.concat_ws(":", "block", F.col("long_length").cast("string")))
-            .select("long", "long_text", "rest", "pieces", "bucket")
-        )
-
-    def as_shorter(df: DataFrame) -> DataFrame:
-        grown = rows(df, "short").withColumn("long_length", F.explode(F.sequence(F.length("short_text"), longest_of("short_text"))))
-        budget = _budget(F.col("length") + F.col("long_length"), threshold)
-        extra = F.col("long_length") - F.col("length")
-        return (
-            grown.where(extra <= budget)
-            .withColumn("pieces", _budget(F.col("long_length") * 2, threshold) + 1)
-            .withColumn("before", F.floor((budget + extra) / 2).cast("int"))
-            .withColumn("after", F.floor((budget - extra) / 2).cast("int"))
-            .withColumn("bucket", F.concat_ws(":", "block", F.col("long_length").cast("string")))
-            .withColumn("other_rest", F.col("long_length"))
-            .select("short", "short_text", "rest", "other_rest", "pieces", "before", "after", "bucket")
-        )
-
-    def split_longer(df: DataFrame) -> DataFrame:
-        cuts = df.withColumn("found", F.explode(_segments(F.col("rest"), F.col("pieces"))))
-        return cuts.select(
-            "long", "long_text", _without(F.col("rest"), F.col("found")).alias("rest"), "pieces",
-            F.concat_ws(":", "bucket", F.col("found.i").cast("string"), F.col("found.piece")).alias("bucket"),
-        )
+    longer = titles.withColumn("long_length", F.length("text")).select(
+        F.col("node").alias("long"), F.col("text").alias("long_text"), F.col("fresh").alias("long_fresh"),
+        F.col("text").alias("rest"), pieces.alias("pieces"), bucket.alias("bucket"),
+    )
+    grown = titles.withColumn("long_length", F.explode(F.sequence(F.length("text"), longest)))
+    budget = _budget(F.length("text") + F.col("long_length"), threshold)
+    extra = F.col("long_length") - F.length("text")
+    shorter = grown.where(extra <= budget).select(
+        F.col("node").alias("short"), F.col("text").alias("short_text"), F.col("fresh").alias("short_fresh"),
+        F.col("text").alias("rest"), F.col("long_length").alias("other_rest"), pieces.alias("pieces"),
+        F.floor((budget + extra) / 2).cast("int").alias("before"),
+        F.floor((budget - extra) / 2).cast("int").alias("after"), bucket.alias("bucket"),
+    )
 
-    def split_shorter(df: DataFrame) -> DataFrame:
-        cuts = df.withColumn("found", F.explode(_windows(
-            F.col("rest"), F.col("other_rest"), F.col("pieces"), F.col("before"), F.col("after"))))
-        return cuts.select(
-            "short", "short_text", _without(F.col("rest"), F.col("found")).alias("rest"),
-            (F.col("other_rest") - F.length("found.piece")).alias("other_rest"), "pieces", "before", "after",
-            F.concat_ws(":", "bucket", F.col("found.i").cast("string"), F.col("found.piece")).alias("bucket"),
+    def split(df: DataFrame, cuts: Column) -> DataFrame:
+        found = F.col("found")
+        kept = df.withColumn("found", F.explode(cuts))
+        return kept.withColumns({
+            "rest": _without(F.col("rest"), found),
+            "bucket": F.concat_ws(":", "bucket", found["i"].cast("string"), found["piece"]),
+        })
+
+    candidates = []
+    for level in range(1, SPLITS + 1):
+        longer = split(longer, _segments(F.col("rest"), F.col("pieces"))).drop("found")
+        shorter = split(shorter, _windows(
+            F.col("rest"), F.col("other_rest"), F.col("pieces"), F.col("before"), F.col("after")
+        )).withColumn("other_rest", F.col("other_rest") - F.length("found.piece")).drop("found")
+        ready = longer, shorter
+        if level < SPLITS:
+            here = longer.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("long_fresh").alias("some"))
+            there = shorter.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.max("short_fresh").alias("any"))
+            # Buckets one side lacks, or without a fresh title, drop out here.
+            weight = here.join(there, "bucket").where("some OR any").select(
+                "bucket", (F.col("n") * F.col("m") > MAX_BUCKET_PAIRS).alias("crowded"))
+            longer, shorter = longer.join(weight, "bucket"), shorter.join(weight, "bucket")
+            ready = longer.where("NOT crowded"), shorter.where("NOT crowded")
+            longer, shorter = longer.where("crowded").drop("crowded"), shorter.where("crowded").drop("crowded")
+        candidates.append(
+            ready[0].select("bucket", "long", "long_text", "long_fresh")
+            .join(ready[1].select("bucket", "short", "short_text", "short_fresh"), "bucket")
+            .where((F.col("long") != F.col("short")) & (F.col("long_fresh") | F.col("short_fresh")))
+            .where(may_match(F.col("long_text"), F.col("short_text"), threshold))
+            .drop("bucket")
         )
-
-    def meet(longer: DataFrame, shorter: DataFrame, short_name: str, long_name: str) -> DataFrame:
-        candidates = []
-        for level in range(1, SPLITS + 1):
-            longer, shorter = split_longer(longer), split_shorter(shorter)
-            if level < SPLITS:
-                here = longer.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-                there = shorter.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
-                weight = here.join(there, "bucket").select("bucket", (F.col("n") * F.col("m") > MAX_BUCKET_PAIRS).alias("crowded"))
-                longer, shorter = longer.join(weight, "bucket"), shorter.join(weight, "bucket")
-                ready = longer.where("NOT crowded"), shorter.where("NOT crowded")
-                longer, shorter = longer.where("crowded").drop("crowded"), shorter.where("crowded").drop("crowded")
-            else:
-                ready = longer, shorter
-            left = ready[0].select("bucket", "long", "long_text")
-            right = ready[1].select("bucket", "short", "short_text")
-            candidates.append(
-                left.join(right, "bucket")
-                .where((F.col("long") != F.col("short")) & may_match(F.col("long_text"), F.col("short_text"), threshold))
-                .select(F.col("short").alias(short_name), F.col("long").alias(long_name),
-                        F.col("short_text").alias(f"{short_name}_text"), F.col("long_text").alias(f"{long_name}_text"))
-            )
-        return reduce(DataFrame.unionByName, candidates)
-
-    found = meet(as_longer(index), as_shorter(nodes), "node", "other").unionByName(
-        meet(as_longer(nodes), as_shorter(index), "other", "node")
-    )
-    return (
-        found.distinct()
-        .withColumn("ratio", sorted_ratio(F.col("node_text"), F.col("other_text")))
-        .where(F.col("ratio") >= threshold)
-        .select("node", "other", "ratio")
+    # Texts of one length meet in both roles; one of the two is enough.
+    pairs = reduce(DataFrame.unionByName, candidates).where(
+        (F.length("long_text") != F.length("short_text")) | (F.col("long") < F.col("short"))).distinct()
+    alike_pairs = pairs.withColumn("ratio", sorted_ratio(F.col("long_text"), F.col("short_text"))).where(
+        F.col("ratio") >= threshold)
+    both = F.array(
+        F.struct(F.col("long").alias("node"), F.col("short").alias("other"), F.col("long_fresh").alias("fresh")),
+        F.struct(F.col("short").alias("node"), F.col("long").alias("other"), F.col("short_fresh").alias("fresh")),
     )
+    return alike_pairs.select(F.explode(both).alias("p"), "ratio").where("p.fresh").select("p.node", "p.other", "ratio")
 
 
 # --- who founds a job --------------------------------------------------------------------
@@ -274,13 +253,11 @@ def resolve_openings(postings: DataFrame, jobs: DataFrame, threshold: int = THRE
     # Stored jobs a title could join: by key, by the same words, by similar words.
     by_words = nodes.join(job_titles.select("block", "text", "job_at"), ["block", "text"]).select(
         "node", "job_at", F.lit(100.0).alias("ratio"))
-    titles_only = job_titles.join(nodes.select("block").distinct(), "block", "left_semi")
-    alike = similar_titles(
-        nodes.select("node", "block", "text"),
-        titles_only.select(F.col("title_node").alias("node"), "block", "text").unionByName(nodes.select("node", "block", "text")).distinct(),
-        threshold,
-    )
-    alike = cut(alike)
+    stale = job_titles.join(nodes.select("block").distinct(), "block", "left_semi").select(
+        F.col("title_node").alias("node"), "block", "text").join(nodes.select("node"), "node", "left_anti")
+    alike = cut(similar_titles(
+        nodes.select("node", "block", "text", F.lit(True).alias("fresh"))
+        .unionByName(stale.withColumn("fresh", F.lit(False))), threshold))
     by_similarity = alike.join(job_titles.select(F.col("title_node").alias("other"), "job_at"), "other").select(
         "node", "job_at", "ratio")
     job_matches = by_words.unionByName(by_similarity)

@@ -41,17 +41,21 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder and drop its lineage.
-
-    Used where a result must be computed once only (a paid scorer, a sort whose row
-    numbers are read twice) and between the rounds of an iterative operator.
-    """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def working_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder next to the checkpoints, in storage every executor can reach."""
     _ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to a table in the shared checkpoint folder and go on from there.
+
+    Used where a result must be computed once only (a paid scorer, a sort whose row
+    numbers are read twice) and between the rounds of an iterative operator. A written
+    table outlives lost executors, and later steps read only the columns they need and
+    know its size.
+    """
+    spark = df.sparkSession
+    path = working_folder(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -50,11 +50,15 @@ def test_similar_titles_is_exact(spark, monkeypatch):
         if i != j and bi == bj and indel_similarity(a, b) >= 95
     }
     assert len(expected) > 20
-    got = {(r["node"], r["other"]) for r in R.similar_titles(df, df).collect()}
+    got = {(r["node"], r["other"]) for r in R.similar_titles(df.withColumn("fresh", F.lit(True))).collect()}
     assert got == expected
+    # A stale title is never the first of a pair, and two stale ones never meet.
+    some = df.withColumn("fresh", F.col("node").cast("int") % 3 == 0)
+    got = {(r["node"], r["other"]) for r in R.similar_titles(some).collect()}
+    assert got == {(i, j) for i, j in expected if int(i) % 3 == 0}
     # The same with every shared segment counted as crowded, so buckets are split to the end.
     monkeypatch.setattr(R, "MAX_BUCKET_PAIRS", 0)
-    got = {(r["node"], r["other"]) for r in R.similar_titles(df, df).collect()}
+    got = {(r["node"], r["other"]) for r in R.similar_titles(df.withColumn("fresh", F.lit(True))).collect()}
     assert got == expected
 
 
