@@ -33,7 +33,7 @@ PROFILE = SearchProfile(
     acceptable=[LocationRule(("onsite", "hybrid"), ("canada",)), LocationRule(("remote",), ("eu", "uk", "us"))],
     bands=[Band("Core", 80, 100), Band("Near", 40, 79), Band("Far", 0, 39)],
     threshold=70,
-    max_scores_per_run=1_000_000_000,
+    max_scores_per_run=None,
     prompt_version=1,
 )
 RULES = RepeatRules(demote_after=3, suppress_after=5, reset_on_score_delta=10)

@@ -11,6 +11,7 @@ from ..functions.text import render_posting
 from ..schemas import EXTRACTION, TIER_SUGGESTION, VERDICT, struct_of
 from ..session import cut
 from .prefilter import POSTING_KEY
+from .ranking import first_rows
 
 # A batch of rows with a `text` column in, the declared answer columns out, same order.
 BatchFunction = Callable[[pd.DataFrame], pd.DataFrame]
@@ -90,9 +91,9 @@ def text_groups(candidates: DataFrame) -> DataFrame:
     )
 
 
-def capped_groups(candidates: DataFrame, cap: int) -> DataFrame:
+def capped_groups(candidates: DataFrame, cap: int | None) -> DataFrame:
     """The `cap` texts seen first. The cap counts texts, not postings; the rest carry over."""
-    return text_groups(candidates).orderBy("lead").limit(cap)
+    return first_rows(text_groups(candidates), [F.col("lead")], cap)
 
 
 def band_mismatch(band: Column, score: Column, bands) -> Column:
@@ -145,7 +146,7 @@ def append_scores(stored: DataFrame, scores: DataFrame) -> DataFrame:
     return stored.unionByName(scores.join(stored, key, "left_anti"))
 
 
-def scoring_report(counts: DataFrame, verdicts: DataFrame, scores: DataFrame, cap: int) -> DataFrame:
+def scoring_report(counts: DataFrame, verdicts: DataFrame, scores: DataFrame, cap: int | None) -> DataFrame:
     """The prefilter funnel with what the scorer did, as one row."""
     spent = ["input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens"]
     calls = verdicts.agg(
@@ -163,7 +164,7 @@ def scoring_report(counts: DataFrame, verdicts: DataFrame, scores: DataFrame, ca
         joined = joined.join(part.select("*", one), "_one")
     return (
         joined.drop("_one")
-        .withColumn("cap", F.lit(cap))
+        .withColumn("cap", F.lit(cap).cast("bigint"))
         # The first call of a run has nothing to read from a cache.
         .withColumn("cold_calls", F.greatest(F.col("uncached") - 1, F.lit(0)))
         .withColumn("carried_over", F.greatest(F.col("distinct_texts") - F.col("judged") - F.col("failed"), F.lit(0)))
@@ -180,7 +181,7 @@ def extract_companies(prose: DataFrame, extractor: BatchFunction, cap: int, orde
     `prose` holds the posting key and `text`. One cap serves every source of a run; texts
     beyond it and texts that failed are not remembered, so they come back next run.
     """
-    chosen = prose.orderBy(*order).limit(cap).repartition(*POSTING_KEY)
+    chosen = first_rows(prose, order, cap).repartition(*POSTING_KEY)
     return infer(chosen, extractor, EXTRACTION, POSTING_KEY)
 
 

@@ -98,7 +98,7 @@ def disposition(
     ).withColumn("location_fit", F.col("location_match.fit")).drop("judged", "stale")
 
 
-def disposition_counts(decided: DataFrame, cap: int) -> DataFrame:
+def disposition_counts(decided: DataFrame, cap: int | None) -> DataFrame:
     """The prefilter funnel as one row."""
     def how_many(*names: str) -> Column:
         return F.count_if(F.col("disposition").isin(*names))
@@ -114,4 +114,5 @@ def disposition_counts(decided: DataFrame, cap: int) -> DataFrame:
         how_many("candidate").alias("candidates"),
         F.count_distinct(F.when(F.col("disposition") == "candidate", F.col("content_hash"))).alias("distinct_texts"),
     )
-    return counted.withColumn("carried_over", F.greatest(F.col("distinct_texts") - cap, F.lit(0)))
+    beyond = F.lit(0).cast("bigint") if cap is None else F.greatest(F.col("distinct_texts") - cap, F.lit(0))
+    return counted.withColumn("carried_over", beyond)

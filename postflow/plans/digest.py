@@ -97,8 +97,9 @@ def open_roles(state: State, profile, rules, limit: int = 200) -> tuple[DataFram
         "job_key", "title", "company",
         F.coalesce(F.nullif("location_raw", F.lit("")), F.lit("not stated")).alias("location"), "work_mode", "score",
         "apply_url", (F.col("appearance") - 1).alias("appearances"), "suppressed",
-    ).orderBy(F.desc("score"), F.lower("company"), F.lower("title"), "job_key").limit(limit)
-    return roles, listed.agg(F.count(F.lit(1)).alias("open_total"))
+    )
+    best_first = [F.desc("score"), F.lower("company"), F.lower("title"), F.col("job_key")]
+    return K.first_rows(roles, best_first, limit).orderBy(*best_first), listed.agg(F.count(F.lit(1)).alias("open_total"))
 
 
 def dismissed_roles(state: State, profile, limit: int = 25) -> tuple[DataFrame, DataFrame]:

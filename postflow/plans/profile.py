@@ -40,7 +40,7 @@ class SearchProfile:
     acceptable: list[LocationRule] = field(default_factory=list)
     bands: list[Band] = field(default_factory=list)
     threshold: int = 70
-    max_scores_per_run: int = 300
+    max_scores_per_run: int | None = 300
     prompt_version: int = 1
 
     def problems(self) -> list[str]:
@@ -52,7 +52,7 @@ class SearchProfile:
             found.append("at least one priority rule is needed")
         if not 0 <= self.threshold <= 100:
             found.append("threshold must lie in 0..100")
-        if self.max_scores_per_run < 1 or self.prompt_version < 1:
+        if (self.max_scores_per_run is not None and self.max_scores_per_run < 1) or self.prompt_version < 1:
             found.append("max_scores_per_run and prompt_version start at 1")
         found += check_rules([*self.priority, *self.acceptable])
         if self.bands:
