@@ -11,11 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import texts
+from . import companies, postings, scoring, texts, tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (texts,)
+_MODULES = (texts, postings, scoring, tracking, companies)
 
 
 def _with_settings(query: Query) -> Query:
