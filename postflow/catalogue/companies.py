@@ -166,7 +166,7 @@ def apply_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_BOARDS = """
 b AS (SELECT CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN 'greenhouse' WHEN p_type IN ('MEDIUM', 'LARGE') THEN 'lever' ELSE 'ashby' END AS ats,
   'brand' || CASE WHEN p_size > 40 THEN '-' ELSE '' END || substr(p_brand, 7) || CASE WHEN p_size < 10 THEN '-ai' WHEN p_size < 15 THEN 'ai' ELSE '' END AS token,
-  count(*) FILTER (WHERE p_retailprice > 950) AS jobs FROM part GROUP BY ALL)"""
+  count(*) FILTER (WHERE p_retailprice > 905) AS jobs FROM part GROUP BY ALL)"""
 
 
 def _boards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +176,7 @@ def _boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     token = F.concat(
         F.lit("brand"), F.when(size > 40, F.lit("-")).otherwise(F.lit("")), F.substring("p_brand", 7, 10),
         F.when(size < 10, F.lit("-ai")).when(size < 15, F.lit("ai")).otherwise(F.lit("")))
-    return part.groupBy(ats.alias("ats_type"), token.alias("ats_token")).agg(F.count_if(F.col("p_retailprice") > 950).alias("board_jobs"))
+    return part.groupBy(ats.alias("ats_type"), token.alias("ats_token")).agg(F.count_if(F.col("p_retailprice") > 905).alias("board_jobs"))
 
 
 @query(f"""WITH {_SQL_BOARDS},

@@ -195,7 +195,8 @@ def evaluation_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- ranking over lineitem, orders, customer -------------------------------------------------
 
 def _line_key():
-    return F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string")
+    return F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")], cents)
 
 
 def _line_scores(lineitem: DataFrame) -> DataFrame:
@@ -220,7 +221,7 @@ def _line_postings(lineitem: DataFrame) -> DataFrame:
 
 _SQL_BEST = """
 s AS (SELECT l_orderkey AS k, floor(l_extendedprice / 1050)::INT AS score, CASE WHEN l_tax > 0.06 THEN 'unclear' ELSE 'eligible' END AS wa,
-        l_shipdate AS shipped, concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS id, l_linestatus AS st
+        l_shipdate AS shipped, concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_extendedprice * 100)::BIGINT) AS id, l_linestatus AS st
       FROM lineitem WHERE l_returnflag = 'N' AND l_discount <> 0.1 AND l_shipdate < '2000-01-01'),
 best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, shipped, id) = 1)"""
 

@@ -66,7 +66,7 @@ def fold_event_stream(log: DataFrame, root: str) -> dict[str, DataFrame]:
     return {
         "applications": _table(spark, "applications", root, last + 1),
         "events": _table(spark, "application_events", root, last + 1),
-        "outcomes": spark.read.schema(outcomes).parquet(f"{root}/outcomes") if last >= 0
+        "outcomes": spark.read.schema(outcomes).parquet(*[f"{root}/outcomes/batch={n}" for n in range(last + 1)]) if last >= 0
         else spark.createDataFrame([], outcomes),
     }
 
