@@ -12,8 +12,9 @@ from ..operators.places import LocationRule
 from ..plans import digest as D
 from ..plans.profile import RepeatRules, SearchProfile
 from ..schemas import TABLES, struct_of
+from ..session import cut
 from ..sources.store import State, empty_state
-from .shared import PROFILE, RULES, moment, sql_content_hash, sql_first_term, sql_words, table
+from .shared import PROFILE, RULES, moment, sql_content_hash, sql_first_term, sql_words, table, texts
 
 QUERIES = {}
 ORACLES = {}
@@ -43,21 +44,22 @@ def _title():
     return F.substring_index("text", "\n", 1)
 
 
-def _decided(spark: SparkSession, sf_dir: str, judged: bool = True) -> DataFrame:
-    """Documents as open postings: source is the company, source and language the job.
+def _decided(spark: SparkSession, sf_dir: str, judged: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(dispositions, texts) of documents as open postings of the jobs (source, language).
 
     Toxic ones were stored with another text (stale); a low quality label counts as a score.
     """
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    docs = texts(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     hash_now = content_hash(F.col("source"), _title(), F.lit(None).cast("string"), F.col("text"))
-    postings = docs.select(
+    # The stored table, hashes included, is written before the run that reads it.
+    postings = cut(docs.select(
         F.concat_ws("|", "source", "lang").alias("job_key"), F.lit("docs").alias("source"),
         F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("source_job_id"),
         F.when(F.col("toxic") == 1, F.lit("stale")).otherwise(hash_now).alias("content_hash"),
         F.timestamp_seconds("doc_id").alias("first_seen"), (F.col("n_chars") > 20).alias("is_open"),
         _title().alias("title"), F.lit(None).cast("string").alias("location_raw"), F.col("text").alias("description"),
         (F.col("quality") == 0).alias("low"),
-    )
+    ))
     scores = postings.where("low").select("source", "source_job_id", "content_hash", F.lit(1).alias("prompt_version"))
     distinct_jobs = table(spark, sf_dir, "documents").select("source", "lang").distinct()
     place = F.when(F.col("lang") == "en", F.lit("portugal")).when(F.col("lang") == "fr", F.lit("canada")).when(
@@ -67,7 +69,8 @@ def _decided(spark: SparkSession, sf_dir: str, judged: bool = True) -> DataFrame
         F.when(F.col("source") == "src3", F.lit("thble")).otherwise(F.col("source")).alias("title"),
         place.alias("region"), F.array(place).alias("regions"), F.lit("onsite").alias("work_mode"))
     companies = distinct_jobs.select(F.col("source").alias("slug"), F.col("source").alias("name")).distinct()
-    return P.disposition(postings, jobs, companies, scores if judged else scores.limit(0), PROFILE)
+    decided = P.disposition(postings, postings, jobs, companies, scores if judged else scores.limit(0), PROFILE)
+    return decided, postings
 
 
 def _sql_decided(judged: bool = True) -> str:
@@ -86,7 +89,8 @@ x AS (SELECT *, CASE WHEN {'quality = 0' if judged else 'FALSE'} THEN 'already_j
 @query(f"""WITH {_sql_decided()}
 SELECT doc_id::VARCHAR AS doc_id, disposition, CASE WHEN disposition IN ('candidate', 'stale') THEN term END AS matched_on FROM x""")
 def prefilter_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decided(spark, sf_dir).select(
+    decided, _ = _decided(spark, sf_dir)
+    return decided.select(
         F.col("source_job_id").cast("bigint").cast("string").alias("doc_id"), "disposition", "matched_on")
 
 
@@ -100,7 +104,8 @@ SELECT count(*) AS open_postings, count(*) FILTER (WHERE disposition <> 'already
   count(DISTINCT stored) FILTER (WHERE disposition = 'candidate') AS distinct_texts,
   greatest(count(DISTINCT stored) FILTER (WHERE disposition = 'candidate') - 300, 0) AS carried_over FROM x""")
 def prefilter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.disposition_counts(_decided(spark, sf_dir), 300)
+    decided, _ = _decided(spark, sf_dir)
+    return P.disposition_counts(decided, 300)
 
 
 @query(f"""WITH {_sql_decided(False)}
@@ -108,7 +113,8 @@ SELECT stored AS content_hash, min(doc_id) AS lead_doc, count(*) AS postings FRO
 GROUP BY stored ORDER BY lead_doc LIMIT 300""")
 def capped_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 300 distinct texts, which is what one run may score."""
-    candidates = _decided(spark, sf_dir, judged=False).where("disposition = 'candidate'")
+    decided, _ = _decided(spark, sf_dir, judged=False)
+    candidates = decided.where("disposition = 'candidate'")
     return I.capped_groups(candidates, 300).select(
         "content_hash", F.col("lead.source_job_id").cast("bigint").alias("lead_doc"), "postings")
 
@@ -133,8 +139,10 @@ lead AS (SELECT stored, arg_min(length(text), doc_id) % 103 AS score FROM c GROU
 @query(f"""WITH {_SQL_SCORED}
 SELECT doc_id::VARCHAR AS doc_id, c.stored AS content_hash, score FROM c JOIN lead ON c.stored = lead.stored WHERE score <= 100""")
 def score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates = _decided(spark, sf_dir, judged=False).where("disposition = 'candidate'")
-    scores, _ = I.score_texts(candidates, arithmetic_scorer, PROFILE, "arithmetic", F.lit("2024-01-01"))
+    # As a run does it: the prefilter's result is written once and read by every later step.
+    decided, records = _decided(spark, sf_dir, judged=False)
+    candidates = cut(decided.where("disposition = 'candidate'"))
+    scores, _ = I.score_texts(candidates, records, arithmetic_scorer, PROFILE, "arithmetic", F.lit("2024-01-01"))
     return scores.select(F.col("source_job_id").cast("bigint").cast("string").alias("doc_id"), "content_hash", "score")
 
 
@@ -144,9 +152,10 @@ SELECT (SELECT count(*) FROM x) AS open_postings, (SELECT count(*) FROM c) AS ca
   count(*) FILTER (WHERE score BETWEEN 80 AND 100) AS band_mismatches, 0 AS carried_over,
   sum(score) AS input_tokens, (SELECT count(*) FROM c JOIN lead USING (stored) WHERE score <= 100) AS scored FROM lead""")
 def scoring_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = _decided(spark, sf_dir, judged=False)
+    decided, records = _decided(spark, sf_dir, judged=False)
+    decided = cut(decided)
     candidates = decided.where("disposition = 'candidate'")
-    scores, verdicts = I.score_texts(candidates, arithmetic_scorer, PROFILE, "arithmetic", F.lit("2024-01-01"))
+    scores, verdicts = I.score_texts(candidates, records, arithmetic_scorer, PROFILE, "arithmetic", F.lit("2024-01-01"))
     cap = PROFILE.max_scores_per_run
     return I.scoring_report(P.disposition_counts(decided, cap), verdicts, scores, cap).select(
         "open_postings", "candidates", "distinct_texts", "judged", "failed", "band_mismatches", "carried_over",
@@ -168,7 +177,7 @@ SELECT hit, miss, false_alarm, ok, relevant, coalesce(hit / nullif(hit + false_a
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    docs = texts(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     return docs.select(
         F.col("doc_id").cast("string").alias("id"), F.col("source").alias("company"), _title().alias("title"),
         F.lit("Lisbon").alias("location"), F.lit("hybrid").alias("work_mode"), (F.col("quality") == 1).alias("relevant"),

@@ -6,12 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.places import LocationRule
 from ..plans.profile import Band, RepeatRules, SearchProfile
+from ..session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, spread over the workers where its few files would not be."""
+    return spread(table(spark, sf_dir, name))
+
+
 def moment(column: str) -> Column:
     """A zone-less timestamp of the given tables as a UTC moment."""
     return F.col(column).cast("timestamp")

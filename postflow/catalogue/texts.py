@@ -8,9 +8,10 @@ from ..functions import similarity, text as X
 from ..functions.titles import normalize_title
 from ..operators.inference import text_groups
 from ..operators.prefilter import matched_term, strong_term, title_exclusion
+from ..session import cut
 from ..sources import readers
 from .shared import (
-    PROFILE, moment, sql_content_hash, sql_first_term, sql_strip, sql_tidy, sql_words, stamp, table,
+    PROFILE, moment, sql_content_hash, sql_first_term, sql_strip, sql_tidy, sql_words, stamp, table, texts,
 )
 
 QUERIES = {}
@@ -54,7 +55,7 @@ def _sql_plain(html: str) -> str:
 
 @query(f"SELECT page_id, {sql_tidy(_sql_plain('html'))} AS text FROM pages")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    pages = texts(spark, sf_dir, "pages")
     return pages.select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
 
@@ -63,7 +64,7 @@ SELECT doc_id, {sql_content_hash('source', 'split_part(text, chr(10), 1)', 'lang
        {sql_words('source')} AS company
 FROM documents""")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     title = F.substring_index("text", "\n", 1)
     return docs.select(
         "doc_id",
@@ -82,7 +83,7 @@ WITH d AS (SELECT doc_id, {sql_content_hash("''", "''", "''", 'text')} AS h FROM
 SELECT h AS content_hash, min(doc_id) AS lead_doc, count(*) AS postings FROM d GROUP BY h""")
 def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     nothing = F.lit("")
-    docs = table(spark, sf_dir, "documents").select(
+    docs = texts(spark, sf_dir, "documents").select(
         X.content_hash(nothing, nothing, nothing, F.col("text")).alias("content_hash"),
         F.timestamp_seconds("doc_id").alias("first_seen"), "source", F.col("doc_id").alias("source_job_id"),
     )
@@ -100,7 +101,7 @@ SELECT doc_id, coalesce({sql_first_term('t', PROFILE.title_exclude)}, {sql_first
        {sql_first_term("(t || ' ' || b)", [*PROFILE.title_include, *PROFILE.strong])} AS strong_on
 FROM d""")
 def term_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("title", F.substring_index("text", "\n", 1))
+    docs = texts(spark, sf_dir, "documents").withColumn("title", F.substring_index("text", "\n", 1))
     title, body = F.col("title"), F.col("text")
     return docs.select(
         "doc_id",
@@ -117,7 +118,7 @@ _TERMS = [*PROFILE.title_include, *PROFILE.strong, *PROFILE.supporting]
 SELECT doc_id, term FROM (SELECT doc_id, {sql_first_term(sql_words('text'), _TERMS)} AS term FROM documents)
 WHERE term IS NOT NULL""")
 def first_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.words_only(F.col("text")).alias("words"))
+    docs = texts(spark, sf_dir, "documents").select("doc_id", X.words_only(F.col("text")).alias("words"))
     terms = spark.createDataFrame(list(enumerate(_TERMS)), "ordinal INT, term STRING")
     return X.first_terms(docs, "doc_id", "words", terms)
 
@@ -160,7 +161,7 @@ SELECT doc_id,
        WHEN b = '' THEN '(empty)' ELSE b END AS rendered
 FROM (SELECT *, {sql_strip('text')} AS b FROM documents)""")
 def render_posting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     return docs.select("doc_id", X.render_posting(
         F.col("source"), F.col("lang"), F.lit(None).cast("string"), F.lit("unknown"), F.lit("remote"), F.col("text"),
     ).alias("rendered"))
@@ -173,7 +174,7 @@ _FORMATS = ["greenhouse", "lever", "ashby", "remoteok", "arbeitnow", "remotive",
 
 
 def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     number = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
     escape = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     twice = F.replace(F.replace(escape, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
@@ -213,10 +214,11 @@ def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((F.col("lang") == "es") & (source != "workday"), F.lit('{"total": 0}'))
         .otherwise(chosen)
     )
-    return docs.select(
+    # Written once, like the files a fetcher lands; every reader then scans its own source.
+    return cut(docs.select(
         source.alias("source"), key.alias("company_slug"), F.lit("2024-06-01 00:00:00").cast("timestamp").alias("fetched_at"),
         F.when(F.col("lang") == "de", F.lit(503)).otherwise(F.lit(200)).alias("http_status"), answered.alias("body"),
-    )
+    ))
 
 
 _SQL_LANDED = f"""

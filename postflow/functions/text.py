@@ -8,8 +8,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterable, Sequence
-from functools import reduce
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -17,18 +16,31 @@ from pyspark.sql import Column, functions as F, types as T
 # Fixed value: the characters Python counts as whitespace, as a regex class body.
 # Spark's own \s is ASCII only.
 SPACE = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+# The same without the plain space, without the line feed, and spelled out for trimming.
+_UNUSUAL = SPACE.replace(r"\x1C-\x20", r"\x1C-\x1F")
+_IN_LINE = SPACE.replace(r"\t-\r", r"\t\x0B-\r")
+_ALL_SPACES = "".join(c for c in map(chr, range(0x3001)) if re.fullmatch(r"\s", c))
 
 UNIT_SEPARATOR = "\x1f"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` evaluated once per row, however often `body` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(col: Column) -> Column:
     """Trim every kind of whitespace from both ends."""
-    return F.regexp_replace(col, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(col, F.lit(_ALL_SPACES))
 
 
 def normalize_whitespace(col: Column) -> Column:
-    """Runs of whitespace become one space; null becomes empty."""
-    return strip(F.regexp_replace(F.coalesce(col, F.lit("")), f"[{SPACE}]+", " "))
+    """Runs of whitespace become one space; null becomes empty.
+
+    A single plain space is left alone, so the pattern rarely has anything to replace.
+    """
+    runs = f"[{_UNUSUAL}][{SPACE}]*| [{SPACE}]+"
+    return strip(F.regexp_replace(F.coalesce(col, F.lit("")), runs, " "))
 
 
 def words_only(col: Column) -> Column:
@@ -119,10 +131,15 @@ def without_markup(markup: Column) -> Column:
 
 def tidy_lines(text: Column) -> Column:
     """Single spaces, trimmed lines, at most one blank line in a row."""
-    text = F.regexp_replace(text, r"\r\n|[\r\x0B\f\x1C-\x1E\x85\u2028\u2029]", "\n")
-    text = F.regexp_replace(text, r"[ \t\xA0]+", " ")
-    text = F.regexp_replace(text, f"(?:(?!\n)[{SPACE}])*+\n(?:(?!\n)[{SPACE}])*+", "\n")
-    return strip(F.regexp_replace(text, "\n{3,}", "\n\n"))
+    for pattern, replacement in (
+        (r"\r\n|[\r\x0B\f\x1C-\x1E\x85\u2028\u2029]", "\n"),
+        (r"[\t\xA0][ \t\xA0]*| [ \t\xA0]+", " "),
+        (f"[{_IN_LINE}]+\n", "\n"),
+        (f"\n[{_IN_LINE}]+", "\n"),
+        ("\n{3,}", "\n\n"),
+    ):
+        text = F.regexp_replace(text, pattern, replacement)
+    return strip(text)
 
 
 def html_to_text(markup: Column, escaped: bool = False) -> Column:
@@ -159,14 +176,15 @@ def first_term(normalized: Column, terms: Sequence[str], prefix: bool = False) -
     `normalized` must already be `words_only` text. With `prefix` a term also matches a
     longer word it starts. For some hundred terms or more use `first_terms`.
     """
-    padded = F.concat(F.lit(" "), normalized, F.lit(" "))
     tail = "" if prefix else " "
-    hits = [
-        F.when(F.contains(padded, F.lit(f" {_phrase(term)}{tail}")), F.lit(term))
-        for term in terms
-        if _phrase(term)
-    ]
-    return F.coalesce(*hits) if hits else F.lit(None).cast("string")
+    phrases = [(term, f" {_phrase(term)}{tail}") for term in terms if _phrase(term)]
+    if not phrases:
+        return F.lit(None).cast("string")
+
+    def first(padded: Column) -> Column:
+        return F.coalesce(*[F.when(F.contains(padded, F.lit(phrase)), F.lit(term)) for term, phrase in phrases])
+
+    return let(F.concat(F.lit(" "), normalized, F.lit(" ")), first)
 
 
 def first_terms(df, key: str, normalized: str, terms):
@@ -282,13 +300,15 @@ MAX_EXTRACTED_CHARS = 8_000
 
 def cut_text(text: Column, limit: int, mark: str) -> Column:
     """Text no longer than `limit`, with a mark on a line of its own when it was cut."""
-    body = strip(F.coalesce(text, F.lit("")))
-    head = F.regexp_replace(F.substring(body, 1, limit), f"[{SPACE}]+$", "")
-    return F.when(F.length(body) > limit, F.concat(head, F.lit("\n" + mark))).otherwise(body)
+    def shortened(body: Column) -> Column:
+        head = F.rtrim(F.substring(body, 1, limit), F.lit(_ALL_SPACES))
+        return F.when(F.length(body) > limit, F.concat(head, F.lit("\n" + mark))).otherwise(body)
+
+    return let(strip(F.coalesce(text, F.lit(""))), shortened)
 
 
 def _or_empty(text: Column) -> Column:
-    return F.when(text == "", F.lit("(empty)")).otherwise(text)
+    return F.coalesce(F.nullif(text, F.lit("")), F.lit("(empty)"))
 
 
 def render_posting(company, title, location_raw, region, work_mode, description) -> Column:
@@ -305,8 +325,3 @@ def render_prose(text: Column) -> Column:
     return F.concat(
         F.lit("Posting:\n"), _or_empty(cut_text(text, MAX_EXTRACTED_CHARS, "[text truncated]"))
     )
-
-
-def any_of(conditions: Iterable[Column]) -> Column:
-    """True when any condition holds; false for no conditions."""
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

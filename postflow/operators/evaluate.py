@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import render_posting
 from ..schemas import VERDICT
+from ..session import cut
 from .inference import BatchFunction, infer
 from .places import location_match, parse_location
 from .prefilter import matched_term, title_exclusion
@@ -67,6 +68,7 @@ def evaluate(labelled: DataFrame, profile, scorer: BatchFunction | None = None)
     else:
         text = render_posting(F.col("company"), F.col("title"), F.col("location"), F.col("place.region"),
                               F.col("place.work_mode"), F.col("description"))
+        rows = cut(rows)
         asked = rows.where("reached_scorer").select("id", "title", "description", text.alias("text"))
         answers = infer(asked, scorer, VERDICT, ["id"]).select("id", "score", "error")
         rows = rows.join(answers, "id", "left")

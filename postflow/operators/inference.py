@@ -106,23 +106,25 @@ def band_mismatch(band: Column, score: Column, bands) -> Column:
 
 
 def score_texts(
-    candidates: DataFrame, scorer: BatchFunction, profile, model: str, scored_at, cap: int | None = None
+    candidates: DataFrame, texts: DataFrame, scorer: BatchFunction, profile, model: str, scored_at,
+    cap: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(scores, verdicts): one call per distinct text, one score row per posting of it.
 
-    `candidates` are `disposition` rows. Each call sees `text` (the rendered posting) and
-    the lead posting's columns. A verdict outside 0..100 counts as failed. Failed texts
+    `candidates` are `disposition` rows and `texts` the replayed records. Each call sees
+    `text` (the rendered posting) and the lead posting's columns; only leads meet their text. A verdict outside 0..100 counts as failed. Failed texts
     stay in `verdicts` with their reason and produce no score rows, so they return.
     """
     groups = capped_groups(candidates, cap if cap is not None else profile.max_scores_per_run)
     leads = groups.select("content_hash", "lead.source", "lead.source_job_id")
     # The lead is found by its own key, so a text shared by many postings does not skew this join.
-    texts = leads.join(candidates, [*POSTING_KEY, "content_hash"]).select(
+    described = texts.select(*POSTING_KEY, "title", "location_raw", "description")
+    asked = leads.join(candidates, [*POSTING_KEY, "content_hash"]).join(described, POSTING_KEY).select(
         "content_hash", "company", "title", "location_raw", "region", "work_mode", "description",
         render_posting(F.col("company"), F.col("title"), F.col("location_raw"), F.col("region"),
                        F.col("work_mode"), F.col("description")).alias("text"),
     )
-    answers = infer(texts.repartition("content_hash"), scorer, VERDICT, ["content_hash"])
+    answers = infer(asked.repartition("content_hash"), scorer, VERDICT, ["content_hash"])
     in_range = F.col("score").between(0, 100)
     verdicts = answers.withColumn(
         "error",

@@ -23,7 +23,7 @@ from ..functions.places_data import (
     UNKNOWN,
     Gazetteer,
 )
-from ..functions.text import SPACE, strip
+from ..functions.text import SPACE, let, strip
 from ..schemas import WORK_MODES
 
 # What separates places in one text, and how boards spell a work mode.
@@ -74,11 +74,6 @@ def _pieces(texts: Column) -> Column:
     return F.filter(F.flatten(F.transform(texts, split)), lambda piece: piece != "")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body(value)` with `value` evaluated once per row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def stated_work_mode(workplace_type: Column, is_remote: Column) -> Column:
     """The work mode a board states outright: its own field, else its remote flag."""
     field = F.translate(F.lower(strip(workplace_type)), "_-", "")
@@ -147,9 +142,9 @@ def parse_location(
 
     def read(pieces: Column) -> Column:
         tokens = F.concat(F.array(by_code), F.transform(pieces, resolve))
-        return _let(F.filter(tokens, lambda t: t.isNotNull()), lambda resolved: answer(pieces, resolved))
+        return let(F.filter(tokens, lambda t: t.isNotNull()), lambda resolved: answer(pieces, resolved))
 
-    return _let(_pieces(texts), read)
+    return let(_pieces(texts), read)
 
 
 def parse_locations(postings: DataFrame, gazetteer: Gazetteer = DEFAULT_GAZETTEER) -> DataFrame:

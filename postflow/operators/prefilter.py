@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import content_hash, first_term, words_only
+from ..session import cut
 from .places import location_match
 
 POSTING_KEY = ["source", "source_job_id"]
@@ -57,37 +58,44 @@ def unjudged(postings: DataFrame, scores: DataFrame, version: int) -> DataFrame:
 
 
 def disposition(
-    postings: DataFrame, jobs: DataFrame, companies: DataFrame, scores: DataFrame, profile
+    postings: DataFrame, texts: DataFrame, jobs: DataFrame, companies: DataFrame, scores: DataFrame, profile
 ) -> DataFrame:
-    """Every open attached posting with what the prefilter decided about it.
+    """Every open attached posting with what the prefilter decided about it, without its text.
 
-    `postings` are stored postings with their replayed record (`title`, `location_raw`,
-    `description`) beside them. Adds `disposition` (already_judged, title, location,
-    stale, unmatched or candidate), `matched_on`, `fit`, and the job's display columns.
-    Jobs are ruled out once, on the job table, before postings are joined to it.
+    `texts` is the replayed record of stored postings (key, `title`, `location_raw`,
+    `description`). Adds `disposition` (already_judged, title, location, stale, unmatched or
+    candidate), `matched_on`, `location_fit`, and the job's display columns.
+
+    Cheap rules first: jobs are ruled out on the job table, and judged postings by key. Only
+    what is left meets its text, so a run that finds little new reads little text and moves
+    none of the rest.
     """
     fit = location_match(
         F.col("region"), F.col("regions"), F.col("work_mode"), profile.priority, profile.acceptable
     )
     ruled = (
         jobs.select("job_key", "company_slug", F.col("title").alias("job_title"), "region", "regions", "work_mode")
-        .withColumn("location_match", fit)
-        .withColumn("reason", exclusion_reason(F.col("job_title"), F.col("location_match.fit"), profile))
+        .withColumn("location_fit", fit["fit"])
+        .withColumn("reason", exclusion_reason(F.col("job_title"), F.col("location_fit"), profile))
         .join(companies.select(F.col("slug").alias("company_slug"), F.col("name").alias("company")), "company_slug")
     )
     judged = scores.where(F.col("prompt_version") == profile.prompt_version).select(
         *POSTING_KEY, "content_hash", F.lit(True).alias("judged")
     )
-    current = content_hash(F.col("company"), F.col("title"), F.col("location_raw"), F.col("description"))
-    matched = matched_term(F.col("title"), F.col("description"), profile)
-    decided = (
-        open_attached(postings).drop("company_slug")
+    open_rows = cut(
+        open_attached(postings).select(*POSTING_KEY, "job_key", "content_hash", "first_seen")
         .join(judged, [*POSTING_KEY, "content_hash"], "left")
         .join(ruled, "job_key")
-        .withColumn("stale", current != F.col("content_hash"))
-        .withColumn("matched_on", F.when(F.col("judged").isNull() & F.col("reason").isNull(), matched))
     )
-    return decided.withColumn(
+    pending = open_rows.where("judged IS NULL AND reason IS NULL").select(*POSTING_KEY, "company", "content_hash")
+    read = texts.select(*POSTING_KEY, "title", "location_raw", "description").join(pending, POSTING_KEY)
+    current = content_hash(F.col("company"), F.col("title"), F.col("location_raw"), F.col("description"))
+    compared = read.select(
+        *POSTING_KEY,
+        (current != F.col("content_hash")).alias("stale"),
+        matched_term(F.col("title"), F.col("description"), profile).alias("matched_on"),
+    )
+    return open_rows.join(compared, POSTING_KEY, "left").withColumn(
         "disposition",
         F.when(F.col("judged"), F.lit("already_judged"))
         .when(F.startswith("reason", F.lit("title")), F.lit("title"))
@@ -95,7 +103,7 @@ def disposition(
         .when(F.col("stale"), F.lit("stale"))
         .when(F.col("matched_on").isNull(), F.lit("unmatched"))
         .otherwise(F.lit("candidate")),
-    ).withColumn("location_fit", F.col("location_match.fit")).drop("judged", "stale")
+    ).drop("judged", "stale")
 
 
 def disposition_counts(decided: DataFrame, cap: int | None) -> DataFrame:

@@ -23,15 +23,16 @@ class ScoringRun:
     report: DataFrame
 
 
-def prefilter_run(state: State, profile) -> DataFrame:
-    """Every open posting with its disposition, from the stored payloads.
+def stored_texts(postings: DataFrame) -> DataFrame:
+    """The records of stored postings, from their payloads."""
+    return replay(postings.select("source", "source_job_id", "raw").withColumnRenamed("source_job_id", "stored_id")).drop(
+        "source_job_id").withColumnRenamed("stored_id", "source_job_id")
+
 
-    Only the payloads of open, attached postings are read back.
-    """
-    columns = ["job_key", "company_slug", "raw", "raw_hash", "content_hash", "first_seen", "last_seen", "is_open",
-               "source", "source_job_id"]
-    open_rows = state.postings.where("is_open AND job_key IS NOT NULL").select(*columns)
-    return disposition(replay(open_rows), state.jobs, state.companies, state.scores, profile)
+def prefilter_run(state: State, profile) -> DataFrame:
+    """Every open posting with its disposition."""
+    texts = stored_texts(state.postings.where("is_open AND job_key IS NOT NULL"))
+    return disposition(state.postings, texts, state.jobs, state.companies, state.scores, profile)
 
 
 def run_scoring(
@@ -45,7 +46,8 @@ def run_scoring(
     if scorer is None:
         return ScoringRun(state, decided, None, counts)
     candidates = decided.where("disposition = 'candidate'")
-    scores, verdicts = score_texts(candidates, scorer, profile, model, now, limit)
+    texts = stored_texts(state.postings)
+    scores, verdicts = score_texts(candidates, texts, scorer, profile, model, now, limit)
     require_answers(verdicts, max_failed_share)
     after = state.with_(scores=append_scores(state.scores, scores))
     return ScoringRun(after, decided, verdicts, scoring_report(counts, verdicts, scores, limit))

@@ -41,6 +41,16 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer pieces than the session can work on, dealt out to all of them.
+
+    For heavy work per row over few files. A table of many files is left as it is, without
+    a shuffle. Only for plain scans: asking a plan with a shuffle would run it.
+    """
+    workers = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(workers) if scan.rdd.getNumPartitions() < workers else scan
+
+
 def working_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder next to the checkpoints, in storage every executor can reach."""
     _ensure_checkpoint_dir(spark)
