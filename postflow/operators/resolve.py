@@ -396,16 +396,15 @@ class Merged:
 
 
 def merge_openings(
-    pairs: DataFrame, jobs: DataFrame, postings: DataFrame, applications: DataFrame,
-    appearances: DataFrame, scored_jobs: DataFrame,
+    plan: DataFrame, jobs: DataFrame, postings: DataFrame, applications: DataFrame, appearances: DataFrame
 ) -> Merged:
-    """Merges linked jobs: postings, applications and appearances move to the survivor.
+    """Merges jobs by `survivors`: postings, applications and appearances move to the survivor.
 
     Scores belong to postings and travel with them. Where the survivor and a merged job
     were shown on the same day, the survivor's row stays. The survivor takes over a missing
     primary posting and the earliest `posted_at`.
     """
-    plan = survivors(pairs, ranked_jobs(jobs, applications, scored_jobs)).where("job_key <> survivor")
+    plan = plan.where("job_key <> survivor")
 
     def follow(df: DataFrame) -> DataFrame:
         return (

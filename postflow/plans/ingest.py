@@ -17,6 +17,11 @@ from ..sources.readers import BOARD_SOURCES, read_sources, replay
 from ..sources.store import State
 
 
+# What a job's display needs of a posting.
+RECORD = [*POSTING_KEY, "job_key", "content_hash", "title", "location_raw", "location", "description", "url",
+          "posted_at", "last_seen"]
+
+
 @dataclass(frozen=True)
 class IngestRun:
     """The state after the run and the counters per board."""
@@ -82,30 +87,29 @@ def run_ingest(
     )
     jobs = cut(retaken_keys(state.jobs.unionByName(created), resolution.renamed))
 
-    scored = state.scores.select(*POSTING_KEY).distinct().join(postings.select(*POSTING_KEY, "job_key"), POSTING_KEY)
-    merged = merge_openings(
-        resolution.merges, jobs, postings, state.applications, state.digest_appearances, scored)
-    plan = survivors(resolution.merges, ranked_jobs(jobs, state.applications, scored))
-    wanted = resolution.merges.join(plan, plan["job_key"] == F.col("merged_into")).groupBy("survivor").agg(
-        F.max_by("canonical_key", F.struct(*POSTING_KEY)).alias("canonical_key")
-    ).withColumnRenamed("survivor", "job_key")
-    jobs = retaken_keys(merged.jobs, wanted)
-    postings = cut(merged.postings)
+    applications, appearances = state.applications, state.digest_appearances
+    if not resolution.merges.isEmpty():
+        scored = state.scores.select(*POSTING_KEY).distinct().join(postings.select(*POSTING_KEY, "job_key"), POSTING_KEY)
+        plan = survivors(resolution.merges, ranked_jobs(jobs, applications, scored))
+        merged = merge_openings(plan, jobs, postings, applications, appearances)
+        # The survivor takes the key of the posting that caused the merge, where it is free.
+        wanted = resolution.merges.join(plan, plan["job_key"] == F.col("merged_into")).groupBy("survivor").agg(
+            F.max_by("canonical_key", F.struct(*POSTING_KEY)).alias("canonical_key")
+        ).withColumnRenamed("survivor", "job_key")
+        jobs = retaken_keys(merged.jobs, wanted)
+        postings, applications, appearances = merged.postings, merged.applications, merged.appearances
+    postings = cut(postings)
 
     pointed = cut(R.repoint(jobs, postings))
-    # A job that moved is re-derived from the stored payload of its new posting.
     moved = pointed.where("repointed").select(
         F.col("primary_source").alias("source"), F.col("primary_source_job_id").alias("source_job_id"))
-    adopted = parse_locations(replay(
-        postings.join(moved, POSTING_KEY, "left_semi").select(
-            "job_key", "source", F.col("source_job_id"), "raw", "content_hash",
-            F.lit(None).cast("timestamp").alias("last_seen_at"))
-    )).select("source", "source_job_id", "job_key", "content_hash", "title", "location_raw", "location",
-              "description", "url", "posted_at", moment.alias("last_seen"))
-    seen_now = shown.select(*POSTING_KEY).join(moved, POSTING_KEY, "left_anti")
-    fresh = shown.drop("job_key").join(seen_now, POSTING_KEY, "left_semi").join(
-        postings.select(*POSTING_KEY, "job_key"), POSTING_KEY).select(adopted.columns)
-    refreshed = R.refresh_jobs(pointed, fresh.unionByName(adopted))
+    fresh = shown.drop("job_key").join(postings.select(*POSTING_KEY, "job_key"), POSTING_KEY).select(*RECORD)
+    if not moved.isEmpty():
+        # A job that moved is re-derived from the stored payload of its new posting.
+        stored = postings.join(moved, POSTING_KEY, "left_semi").select("job_key", *POSTING_KEY, "raw", "content_hash")
+        adopted = parse_locations(replay(stored, BOARD_SOURCES)).withColumn("last_seen", moment).select(*RECORD)
+        fresh = fresh.join(moved, POSTING_KEY, "left_anti").unionByName(adopted)
+    refreshed = R.refresh_jobs(pointed, fresh)
 
     board = ["company_slug", "source"]
     new_jobs = founded.select(*board)
@@ -119,8 +123,8 @@ def run_ingest(
         companies=stored(companies, "companies"),
         postings=stored(postings, "postings"),
         jobs=cut(stored(refreshed, "jobs")),
-        applications=stored(merged.applications, "applications"),
-        digest_appearances=stored(merged.appearances, "digest_appearances"),
+        applications=stored(applications, "applications"),
+        digest_appearances=stored(appearances, "digest_appearances"),
         fetch_runs=state.fetch_runs.unionByName(stored(runs, "fetch_runs")),
     )
     return IngestRun(after, report)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.inference import BatchFunction, append_scores, require_answers, score_texts, scoring_report
 from ..operators.prefilter import disposition, disposition_counts
 from ..session import cut
-from ..sources.readers import replay
+from ..sources.readers import BOARD_SOURCES, replay
 from ..sources.store import State
 
 
@@ -24,8 +24,8 @@ class ScoringRun:
 
 
 def stored_texts(postings: DataFrame) -> DataFrame:
-    """The records of stored postings, from their payloads."""
-    return replay(postings.select("source", "source_job_id", "raw").withColumnRenamed("source_job_id", "stored_id")).drop(
+    """The records of stored postings of boards, from their payloads."""
+    return replay(postings.select("source", F.col("source_job_id").alias("stored_id"), "raw"), BOARD_SOURCES).drop(
         "source_job_id").withColumnRenamed("stored_id", "source_job_id")
 
 

@@ -11,7 +11,7 @@ postings. A board that answered with nothing is a success with zero items.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -274,11 +274,11 @@ def project_raw(stored: DataFrame, source: str) -> DataFrame:
     )
 
 
-def replay(stored: DataFrame) -> DataFrame:
-    """`project_raw` over a table holding several sources; an unknown source yields no rows."""
+def replay(stored: DataFrame, sources: Iterable[str] = tuple(ALL_SOURCES)) -> DataFrame:
+    """`project_raw` over a table holding several sources; rows of other sources are left out."""
     return reduce(
         DataFrame.unionByName,
-        [project_raw(stored.where(F.col("source") == name), name) for name in ALL_SOURCES],
+        [project_raw(stored.where(F.col("source") == name), name) for name in sources],
     )
 
 

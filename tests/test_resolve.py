@@ -136,7 +136,8 @@ def test_merge(spark):
     day = date(2026, 1, 1)
     shown = spark.createDataFrame([("a", day, "priority", 1, 70, "h"), ("b", day, "priority", 2, 71, "h"),
                                    ("c", date(2026, 1, 2), "priority", 1, 72, "h")], TABLES["digest_appearances"])
-    out = R.merge_openings(pairs, jobs, postings, apps, shown, scored)
+    plan = R.survivors(pairs, R.ranked_jobs(jobs, apps, scored))
+    out = R.merge_openings(plan, jobs, postings, apps, shown)
     rows = {r["job_key"]: r for r in out.jobs.collect()}
     assert set(rows) == {"b", "d", "x", "m"}
     assert rows["b"]["posted_at"] == at(5) and rows["b"]["primary_source"] == "pb"
