@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scans import STRETCH, last_before
 from ..schemas import EVENT_KINDS
+from ..session import cut
 from .prefilter import POSTING_KEY
 
 # What a step does to the status, which steps repeat, which end or answer.
@@ -134,8 +135,10 @@ def fold_events(
         .when(F.col("accepted"), F.lit("recorded"))
         .otherwise(F.lit("refused: already recorded"))
     )
-    judged = judged.withColumn("reason", reason).withColumn(
-        "changed", F.col("reason").isin("applied", "dismissed", "undismissed", "recorded"))
+    # Written once; the timeline, the applications and the outcomes are all read from it.
+    judged = cut(judged.withColumn("reason", reason).withColumn(
+        "changed", F.col("reason").isin("applied", "dismissed", "undismissed", "recorded"),
+    ).select("job_key", "seq", "action", "adds", "accepted", "reason", "changed", "occurred_at", "notes"))
 
     accepted = judged.where("accepted").select(
         "job_key", F.col("adds").alias("event"), "occurred_at",

@@ -10,6 +10,6 @@ from postflow.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[4]", shuffle_partitions=4)
+    session = build_session("local[8]", shuffle_partitions=2)
     yield session
     session.stop()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from postflow.operators import reconcile as R
 from postflow.schemas import TABLES
+from postflow.session import cut
 
 T0 = datetime(2026, 1, 1)
 SNAPSHOT = "source STRING, source_job_id STRING, company_slug STRING, url STRING, raw STRING, raw_hash STRING, content_hash STRING, fetched_at TIMESTAMP"
@@ -51,7 +52,7 @@ def test_sequence_of_polls(spark):
     polls = script(spark)
     changes = []
     for hour, (snapshot, runs) in enumerate(polls):
-        out = run(state, snapshot, runs, hour)
+        out = cut(run(state, snapshot, runs, hour))
         changes.append({r["source_job_id"]: r["change"] for r in out.collect()})
         state = out.drop("change")
     assert changes == [
