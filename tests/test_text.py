@@ -182,10 +182,8 @@ def test_similarity(spark):
 
 def test_slug_variants_and_board_links(spark):
     assert one(spark, text.slug_variants(F.col("n")), n="Liquid AI") == [
-        "liquidai", "liquidaiai", "liquidai-ai", "liquid-ai", "liquid-aiai", "liquid-ai-ai",
-        "liquid", "liquid-",
-    ][:6] + [v for v in one(spark, text.slug_variants(F.col("n")), n="Liquid AI")[6:]]
-    assert "liquid" in one(spark, text.slug_variants(F.col("n")), n="Liquid AI")
+        "liquidai", "liquidaiai", "liquidai-ai", "liquid-ai", "liquid-aiai", "liquid-ai-ai", "liquid"]
+    assert one(spark, text.slug_variants(F.col("n")), n="ai") == ["ai", "aiai", "ai-ai"]
     link = one(spark, text.token_from_url(F.col("u")), u="https://job-boards.greenhouse.io/Acme?x=1")
     assert tuple(link) == ("greenhouse", "acme")
     assert one(spark, text.token_from_url(F.col("u")), u="https://boards.greenhouse.io/embed/job_board?for=acme")["token"] == "acme"
