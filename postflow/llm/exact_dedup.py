@@ -23,8 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import cut, working_folder
 from .common import BLANKS, content, narrow
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A store per partition would otherwise set aside megabytes, however little it holds.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 Digest = Callable[[Column, int], Column]
 
 
@@ -39,15 +42,17 @@ def sha256_digest(text: Column, turn: int) -> Column:
 
 @contextmanager
 def _on_disk(spark: SparkSession):
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {key: spark.conf.get(key, None) for key in STATE_ON_DISK}
+    for key, value in STATE_ON_DISK.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def keyed_state(landed: DataFrame, folder: str, files_per_batch: int | None = None) -> DataFrame:
