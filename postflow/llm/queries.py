@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash
+from . import exact_dedup, pii, simhash, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,7 +23,9 @@ def _with_settings(query: Query) -> Query:
     return run
 
 
-_ALL: list[Query] = [exact_dedup.op8_exact_dedup, simhash.op5_simhash]
+_ALL: list[Query] = [
+    exact_dedup.op8_exact_dedup, simhash.op5_simhash, pii.op3_pii, token_store.op6_token_store,
+]
 
 QUERIES: dict[str, Query] = {q.__name__: _with_settings(q) for q in _ALL}
 ORACLES: dict[str, str] = {"op8_exact_dedup": exact_dedup.ORACLE}
