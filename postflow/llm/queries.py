@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, pii, simhash, token_store
+from . import exact_dedup, language_id, pii, simhash, subwords, token_counts, token_store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,7 +24,9 @@ def _with_settings(query: Query) -> Query:
 
 
 _ALL: list[Query] = [
-    exact_dedup.op8_exact_dedup, simhash.op5_simhash, pii.op3_pii, token_store.op6_token_store,
+    subwords.op2_sentencepiece, pii.op3_pii, toxicity.op4_toxicity, simhash.op5_simhash,
+    token_store.op6_token_store, exact_dedup.op8_exact_dedup, token_counts.op9_token_counts,
+    language_id.op10_language_id,
 ]
 
 QUERIES: dict[str, Query] = {q.__name__: _with_settings(q) for q in _ALL}
