@@ -96,10 +96,11 @@ def _differing(texts: DataFrame, reps: DataFrame) -> DataFrame:
         texts.join(hit, texts.doc_id.eqNullSafe(hit.rep_id) & (texts.digest == hit["_digest"]))
         .select("_digest", F.col("norm").alias("_first"))
     )
-    return (
-        texts.join(first, texts.digest == first["_digest"])
-        .where(F.col("norm") != F.col("_first")).select("doc_id", "digest").distinct()
+    # Written before it is made distinct: on its own, Spark can split the join of a hot digest.
+    found = cut(
+        texts.join(first, texts.digest == first["_digest"]).where(F.col("norm") != F.col("_first")).select("doc_id", "digest")
     )
+    return found.distinct()
 
 
 def classes(docs: DataFrame, digest: Digest = sha256_digest, files_per_batch: int | None = None) -> DataFrame:
@@ -115,7 +116,7 @@ def classes(docs: DataFrame, digest: Digest = sha256_digest, files_per_batch: in
         texts.drop("norm").withColumn("arrival", F.lit(0).cast("long")).write.parquet(f"{folder}/landed")
         landed = spark.read.parquet(f"{folder}/landed")
         reps = cut(keyed_state(landed, folder, files_per_batch))
-        differing = cut(_differing(texts.select("doc_id", "digest", "norm"), reps))
+        differing = _differing(texts.select("doc_id", "digest", "norm"), reps)
         rows = landed.withColumn("class", F.concat(F.lit(f"{turn}:"), "digest"))
         if differing.isEmpty():
             parts.append(rows.select("doc_id", "n_points", "class"))
