@@ -17,7 +17,7 @@ HEADLINE = [
     "snapshot_reconcile", "reconcile_failed_board", "repoint_primary", "canonical_openings",
     "fuzzy_openings", "merge_survivors", "place_parse", "location_fit", "prefilter_counts", "unjudged",
     "capped_groups", "score_texts", "best_score", "digest_sections", "repeat_suppression",
-    "appearance_replace", "event_fold", "pipeline", "funnel", "response_rates", "new_companies",
+    "appearance_replace", "event_fold", "status_counts", "funnel", "response_rates", "new_companies",
     "candidate_rollup", "watched_match", "board_lookup", "review_queue", "sightings_new", "evaluation",
     "check_unique", "stream_event_fold",
 ]

@@ -97,7 +97,7 @@ def _facts(spark: SparkSession, sf_dir: str) -> tuple[T.Fold, DataFrame]:
 
 
 @query(f"""WITH {_SQL_FOLD} SELECT status, count(*) AS applications FROM apps WHERE status <> 'dismissed' GROUP BY status""")
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold, _ = _facts(spark, sf_dir)
     return T.pipeline(fold.applications).select("status", "applications")
 
