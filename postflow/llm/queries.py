@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, pii, simhash, subwords, token_counts, token_store, toxicity
+from . import (
+    decontaminate, exact_dedup, language_id, pii, quality, simhash, subwords, token_counts, token_store, toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,19 +16,23 @@ Query = Callable[[SparkSession, str], DataFrame]
 BATCH_ROWS = 1024
 
 
+def settings(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def _with_settings(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        settings(spark)
         return query(spark, sf_dir)
 
     return run
 
 
 _ALL: list[Query] = [
-    subwords.op2_sentencepiece, pii.op3_pii, toxicity.op4_toxicity, simhash.op5_simhash,
-    token_store.op6_token_store, exact_dedup.op8_exact_dedup, token_counts.op9_token_counts,
-    language_id.op10_language_id,
+    decontaminate.op1_decontaminate, subwords.op2_sentencepiece, pii.op3_pii, toxicity.op4_toxicity,
+    simhash.op5_simhash, token_store.op6_token_store, quality.op7_quality, exact_dedup.op8_exact_dedup,
+    token_counts.op9_token_counts, language_id.op10_language_id,
 ]
 
 QUERIES: dict[str, Query] = {q.__name__: _with_settings(q) for q in _ALL}
