@@ -22,6 +22,7 @@ match can span. Empty tables give no rows.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -151,19 +152,28 @@ class Index:
     def search(self, text: str) -> list[Match]:
         """The items that occur in a text, with the stretch of the text that holds them."""
         codes, places = fold(text)
-        found: dict[tuple[int, int], Match] = {}
-        for item in self.whole.get(codes.tobytes(), ()) if len(codes) < LEAST else ():
-            found[item, 0] = (item, int(places[0]), int(places[-1]) + 1, 0)
+        found: list[tuple[int, Match]] = []
+        for k, item in enumerate(self.whole.get(codes.tobytes(), ()) if len(codes) < LEAST else ()):
+            found.append((-1 - k, (item, int(places[0]), int(places[-1]) + 1, 0)))
         for start in range(0, len(codes) if self.pieces else 0, STRETCH):
             part = codes[start : start + STRETCH + 2 * self.reach]
             for number, low, high in self._candidates(grams(part)):
                 item, piece, budget, _ = self.pieces[number]
                 if hit := align(piece, part, low, high, budget):
                     a, b, edits = hit
-                    match = (item, int(places[start + a]), int(places[start + b - 1]) + 1, edits)
-                    if edits < found.get((item, match[1]), (0, 0, 0, budget + 1))[3]:
-                        found[item, match[1]] = match
-        return sorted(found.values())
+                    found.append((number, (item, int(places[start + a]), int(places[start + b - 1]) + 1, edits)))
+        return _best(found)
+
+
+def _best(found: list[tuple[int, Match]]) -> list[Match]:
+    """Of matches of one piece that overlap, as bands and stretches do, the one with the fewest edits."""
+    kept: dict[int, list[Match]] = {}
+    for number, match in sorted(found, key=lambda f: (f[1][3], f[1][1], f[1][2])):
+        own = kept.setdefault(number, [])
+        at = bisect(own, match[1], key=lambda m: m[1])
+        if (at == 0 or own[at - 1][2] <= match[1]) and (at == len(own) or match[2] <= own[at][1]):
+            own.insert(at, match)
+    return sorted({match for own in kept.values() for match in own}, key=lambda m: (m[1:], str(m[0])))
 
 
 def _last_row(piece: np.ndarray, text: np.ndarray, low: int, high: int) -> np.ndarray:

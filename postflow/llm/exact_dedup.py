@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import cut, working_folder
 from .common import BLANKS, content, narrow
@@ -149,17 +149,35 @@ def deduplicate(docs: DataFrame, digest: Digest = sha256_digest, files_per_batch
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one row each, with all their columns."""
-    keep = cut(deduplicate(docs).where("kept").select(F.col("doc_id").alias("_keep_id")).distinct())
-    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_keep_id"]), "left_semi")
-    repeats = docs.groupBy("doc_id").count().where("count > 1")
-    return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """The documents that stay, one row each, with all their columns.
+
+    Of repeated rows the longest stays, then the first by text.
+    """
+    keep = cut(deduplicate(docs).where("kept").groupBy("doc_id", _digest_of("class").alias("digest")).count())
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    ).withColumn("digest", sha256_digest(normalised(), 0))
+
+    def of(keys: DataFrame) -> DataFrame:
+        return rows.join(keys, rows.doc_id.eqNullSafe(keys.doc_id) & (rows.digest == keys.digest), "left_semi")
+
+    once = of(keep.where("count = 1")).select("row.*")
+    repeated = keep.where("count > 1")
+    if repeated.isEmpty():
+        return once
+    order = Window.partitionBy("doc_id", "digest").orderBy(F.char_length(content()).desc(), "text")
+    first = of(repeated).withColumn("number", F.row_number().over(order)).where("number = 1")
+    return once.unionByName(first.select("row.*"))
+
+
+def _digest_of(name: str) -> Column:
+    return F.substring_index(name, ":", -1)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return deduplicate(docs).select(
-        "doc_id", "keep_id", "group_size", "kept", F.substring_index("class", ":", -1).alias("text_sha256")
+        "doc_id", "keep_id", "group_size", "kept", _digest_of("class").alias("text_sha256")
     )
 
 

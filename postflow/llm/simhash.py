@@ -184,7 +184,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 def kept_documents(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest doc_id, with all its columns.
 
-    A document without a doc_id stays only if its whole class has none.
+    A decision is made for a doc_id: rows that share one go together. Rows without a doc_id
+    stay, all of them, if some class has no other row; else they go.
     """
     keep = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = cut(keep.select(F.col("doc_id").alias("_keep_id")).distinct())
