@@ -119,6 +119,32 @@ SELECT m.k::VARCHAR AS source_job_id, m.board AS company_slug, min(m.yr) AS firs
 FROM mine m JOIN lastpoll l ON m.board = l.board GROUP BY m.k, m.board""")
 def reconcile_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yearly polls in one batch: each customer is a posting, listed in the years it ordered."""
+    snapshots, runs = _yearly_polls(spark, sf_dir)
+    nothing = spark.createDataFrame([], struct_of(TABLES["postings"]))
+    return _polled(R.reconcile_polls(nothing, snapshots, runs))
+
+
+@query("""
+WITH polls AS (SELECT o_custkey AS k, year(o_orderdate) AS yr, min(o_orderpriority) AS board FROM orders GROUP BY ALL),
+good AS (SELECT * FROM polls WHERE (yr + length(board)) % 3 <> 0),
+owner AS (SELECT k, arg_min(board, (yr, board)) AS board FROM good GROUP BY k),
+mine AS (SELECT p.* FROM good p JOIN owner o ON p.k = o.k AND p.board = o.board),
+lastpoll AS (SELECT board, max(yr) AS yr FROM good GROUP BY board)
+SELECT m.k::VARCHAR AS source_job_id, m.board AS company_slug, min(m.yr) AS first_year, max(m.yr) AS last_year,
+       max(m.yr) = any_value(l.yr) AS is_open
+FROM mine m JOIN lastpoll l ON m.board = l.board GROUP BY m.k, m.board""")
+def reconcile_failed_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third poll fails and leaves its rows behind, and the early ones come a second time, too late."""
+    snapshots, runs = _yearly_polls(spark, sf_dir)
+    fails = (F.year("fetched_at") + F.length("company_slug")) % 3 == 0
+    runs = runs.withColumn("status", F.when(fails, F.lit("failed")).otherwise(F.lit("ok")))
+    early = F.year("fetched_at") <= 1994
+    nothing = spark.createDataFrame([], struct_of(TABLES["postings"]))
+    state = R.reconcile_polls(nothing, snapshots.where(early), runs.where(early))
+    return _polled(R.reconcile_polls(state, snapshots, runs))
+
+
+def _yearly_polls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders = table(spark, sf_dir, "orders")
     polled = orders.groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(
         F.min("o_orderpriority").alias("company_slug"))
@@ -129,8 +155,10 @@ def reconcile_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.make_timestamp("year", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("fetched_at"))
     runs = snapshots.groupBy("company_slug", "source", "fetched_at").agg(
         F.count(F.lit(1)).alias("item_count"), F.lit("ok").alias("status"))
-    nothing = spark.createDataFrame([], struct_of(TABLES["postings"]))
-    after = R.reconcile_polls(nothing, snapshots, runs)
+    return snapshots, runs
+
+
+def _polled(after: DataFrame) -> DataFrame:
     return after.select("source_job_id", "company_slug", F.year("first_seen").alias("first_year"),
                         F.year("last_seen").alias("last_year"), "is_open")
 

@@ -273,14 +273,28 @@ def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS parsed FROM events
-UNION ALL SELECT -event_id - 1, NULL FROM events""")
+SELECT event_id, strftime(CASE event_id % 16
+  WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts) WHEN 2 THEN date_trunc('day', ts)
+  WHEN 3 THEN date_trunc('day', ts) WHEN 4 THEN date_trunc('minute', ts) WHEN 5 THEN date_trunc('second', ts)
+  END, '%Y-%m-%d %H:%M:%S') AS parsed FROM events""")
 def parse_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every accepted form of a moment, and the forms that look like one but are none."""
     from ..functions.times import parse_iso_datetime
 
     events = table(spark, sf_dir, "events").withColumn("at", moment("ts"))
-    zoned = F.concat(F.date_format(F.col("at") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
-    good = events.select("event_id", stamp(parse_iso_datetime(zoned)).alias("parsed"))
-    junk = events.select((-F.col("event_id") - 1).alias("event_id"),
-                         stamp(parse_iso_datetime(F.concat(F.lit("soon "), F.col("event_type")))).alias("parsed"))
-    return good.unionByName(junk)
+    at = F.col("at")
+    thursday = F.date_add(F.date_trunc("week", at).cast("date"), 3)
+    week = F.concat(F.year(thursday).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(thursday).cast("string"), 2, "0"),
+                    F.lit("-"), (F.weekday(at) + 1).cast("string"))
+    whole, day = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.date_format(at, "yyyy-MM-dd")
+    forms = [
+        F.concat(F.date_format(at + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")),
+        F.date_format(at, "yyyyMMdd'T'HHmmss'Z'"), F.date_format(at, "yyyyMMdd"), week,
+        F.date_format(at, "yyyy-MM-dd HH:mm"),
+        F.concat(F.date_format(at - F.expr("INTERVAL 210 MINUTES"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(",25-0330")),
+        F.date_format(at, "'T'HH:mm"), F.date_format(at, "HH:mm"), F.date_format(at, "yyyy"), F.date_format(at, "yyyy-MM"),
+        F.date_format(at, "yyyy-M-'1'"), F.concat(whole, F.lit(" Europe/Berlin")), F.concat(whole, F.lit(" UTC")),
+        F.concat(whole, F.lit("GMT+1")), F.concat(F.lit(" "), day, F.lit(" ")), F.concat(F.lit("soon "), F.col("event_type")),
+    ]
+    text = F.element_at(F.array(*forms), (F.col("event_id") % 16 + 1).cast("int"))
+    return events.select("event_id", stamp(parse_iso_datetime(text)).alias("parsed"))

@@ -96,29 +96,44 @@ def reconcile(state: DataFrame, snapshot: DataFrame, fetch_runs: DataFrame, now:
     )
 
 
-def collapse_polls(snapshots: DataFrame, fetch_runs: DataFrame) -> DataFrame:
+def good_polls(fetch_runs: DataFrame) -> DataFrame:
+    """(board, fetched_at) of the polls that answered with at least one posting."""
+    return fetch_runs.where("status = 'ok' AND item_count > 0").select(*BOARD, "fetched_at").distinct()
+
+
+def due_polls(state: DataFrame, fetch_runs: DataFrame) -> DataFrame:
+    """Good polls newer than what the state has of their board; older ones come too late.
+
+    A good poll sees at least one posting, so a board's newest `last_seen` is its last one.
+    """
+    known = state.where("company_slug IS NOT NULL").groupBy(*BOARD).agg(F.max("last_seen").alias("_known"))
+    return good_polls(fetch_runs).join(known, BOARD, "left").where("_known IS NULL OR fetched_at > _known").drop("_known")
+
+
+def collapse_polls(snapshots: DataFrame, polls: DataFrame) -> DataFrame:
     """Several polls of each board as one set of sightings, without replaying them in turn.
 
-    `snapshots` carry `fetched_at` and so do `fetch_runs`. Per posting: first and last time
-    seen, whether the last good poll of its board still listed it, and the newest hashes.
+    `snapshots` carry `fetched_at` and hold rows of `polls` only. Per posting: first and last
+    time seen, whether the last poll of its board still listed it, and the newest hashes.
     """
-    good = fetch_runs.where("status = 'ok' AND item_count > 0").groupBy(*BOARD).agg(
-        F.max("fetched_at").alias("last_good")
-    )
+    last = polls.groupBy(*BOARD).agg(F.max("fetched_at").alias("last_good"))
     others = [c for c in snapshots.columns if c not in (*POSTING_KEY, "fetched_at")]
     seen = snapshots.groupBy(*POSTING_KEY).agg(
         F.min("fetched_at").alias("first_seen"),
         F.max("fetched_at").alias("last_seen"),
         F.max_by(F.struct(*others), "fetched_at").alias("_row"),
     ).select(*POSTING_KEY, "first_seen", "last_seen", "_row.*")
-    return seen.join(good, BOARD).withColumn("is_open", F.col("last_seen") == F.col("last_good")).drop("last_good")
+    return seen.join(last, BOARD).withColumn("is_open", F.col("last_seen") == F.col("last_good")).drop("last_good")
 
 
 def reconcile_polls(state: DataFrame, snapshots: DataFrame, fetch_runs: DataFrame) -> DataFrame:
     """`reconcile` for a batch holding several polls, equal to applying them in order.
 
-    Each poll's moment is its `fetched_at`.
+    Each poll's moment is its `fetched_at`. Rows that a failed poll left behind count for
+    nothing, neither as sightings nor as claims; a poll older than the state is left out.
     """
+    polls = due_polls(state, fetch_runs)
+    snapshots = snapshots.join(polls, [*BOARD, "fetched_at"], "left_semi")
     # A key belongs to the company stored for it, else to the one that listed it first.
     claims = (
         snapshots.select(*POSTING_KEY, "company_slug", "fetched_at", F.lit(1).alias("rank"))
@@ -128,9 +143,9 @@ def reconcile_polls(state: DataFrame, snapshots: DataFrame, fetch_runs: DataFram
     owners = claims.groupBy(*POSTING_KEY).agg(
         F.min_by("company_slug", F.struct("rank", "fetched_at", "company_slug")).alias("company_slug")
     )
-    polled_boards = good_boards(fetch_runs)
-    own = snapshots.join(polled_boards, BOARD, "left_semi").join(owners, [*POSTING_KEY, "company_slug"], "left_semi")
-    batch = collapse_polls(own, fetch_runs).select(
+    polled_boards = polls.select(*BOARD).distinct()
+    own = snapshots.join(owners, [*POSTING_KEY, "company_slug"], "left_semi")
+    batch = collapse_polls(own, polls).select(
         *POSTING_KEY,
         *[F.col(c).alias(f"_new_{c}") for c in (
             "company_slug", "url", "raw", "raw_hash", "content_hash", "first_seen", "last_seen", "is_open")],

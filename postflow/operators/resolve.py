@@ -327,8 +327,9 @@ def resolve_openings(postings: DataFrame, jobs: DataFrame, threshold: int = THRE
                         F.lit(None).cast("string").alias("canonical_key")))
     )
     created = assigned.where("action = 'create'").select("job_key", "canonical_key", *POSTING_KEY)
-    renamed = assigned.where("action = 'rename'").groupBy("job_key").agg(
-        F.max_by("canonical_key", F.struct(*POSTING_KEY)).alias("canonical_key"))
+    # Of several postings that moved, the one that arrived last names the job.
+    renamed = assigned.where("action = 'rename'").join(moving.select(*POSTING_KEY, "at"), POSTING_KEY).groupBy("job_key").agg(
+        F.max_by("canonical_key", "at").alias("canonical_key"))
     merges = assigned.where("action = 'merge'").select(
         F.col("job_key").alias("kept_from"), F.col("matched").alias("merged_into"), "canonical_key", *POSTING_KEY)
     return Resolution(assigned.drop("matched"), created, renamed, merges)

@@ -40,10 +40,16 @@ def run_discovery(
     wanted = [s for s in names_listed if only is None or s in only]
     records, runs = read_sources(landed.where(F.col("source").isin(wanted)), only=wanted)
     runs = cut(runs)
-    kept = cut(records.where(
+    wanted_rows = records.where(
         title_exclusion(F.col("title"), profile).isNull()
         & strong_term(F.col("title"), F.col("description"), profile).isNotNull()
-    ).dropDuplicates(POSTING_KEY))
+    )
+    # A key listed twice counts where it stands first.
+    others = [c for c in wanted_rows.columns if c not in POSTING_KEY]
+    kept = cut(
+        wanted_rows.groupBy(*POSTING_KEY).agg(F.min_by(F.struct(*others), F.struct("position", "raw")).alias("_row"))
+        .select(*POSTING_KEY, "_row.*").select(*wanted_rows.columns)
+    )
     fresh = cut(D.new_sightings(kept, state.postings))
 
     prose = fresh.where("company_name IS NULL").withColumn("text", render_prose(F.col("description")))

@@ -190,7 +190,8 @@ BOARD_SOURCES: dict[str, Source] = {
         "isRemote BOOLEAN, isListed BOOLEAN, publishedAt STRING",
         ("id", "title"), _ashby,
         # A missing flag means listed; an explicit null does not.
-        keep=lambda raw, job: F.coalesce(job["isListed"], ~F.contains(raw, F.lit('"isListed":null'))),
+        keep=lambda raw, job: F.coalesce(
+            job["isListed"], ~F.map_contains_key(F.from_json(raw, "MAP<STRING, STRING>"), "isListed")),
     ),
 }
 
