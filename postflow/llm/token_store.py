@@ -19,10 +19,14 @@ without shards.
 from __future__ import annotations
 
 import io
+import json
 import os
+import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,6 +37,8 @@ import pyarrow.fs as pafs
 import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from ..session import cut, working_folder
 from .common import content, narrow, small, texts_of
@@ -40,57 +46,75 @@ from .mph import PerfectHash, fingerprints
 
 MAGIC = b"TIDS\x01\x00\x00\x00"
 TAIL = "<8sQQQ"  # magic, bytes of an id, documents, ids
-# Chunks whose ids a worker remembers; beyond it the memory starts anew.
-MEMORY = 400_000
+# Parts whose ids a worker remembers; beyond it the memory starts anew.
+MEMORY = 600_000
 MAX_TOKENIZER_BYTES = 64 << 20
 
 
-class Encoder:
-    """Ids of whole texts by the tokenizers library, remembered per run of non-blanks.
+# Fixed value: how a definition splits and lower-cases texts for which runs can be taken apart.
+KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Latin letters that lower-case to one letter, which no normal form changes.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+_SIGNS = r"\x21-\x26\x28-\x40\x5b-\x60\x7b-\x7e"  # ASCII without the apostrophe, which binds letters
+_SIMPLE = re.compile(rf"[{_LETTERS}{_SIGNS}\x20\x09-\x0d]*")
+_WORD = re.compile(f"[{_LETTERS}]+")
+_PARTS = re.compile(rf"[{_LETTERS}]+|[{_SIGNS}]+")
+
+
+class Encoder(dict):
+    """Ids of whole texts by the tokenizers library, remembered part by part.
 
     The tokenizer drops white space and no token crosses it, so the ids of a text are the
-    ids of its runs. A run of letters with a full stop or comma behind it splits once more:
-    letters and punctuation never share a token.
+    ids of its runs of non-blanks. Where the definition also splits at letters, a text of
+    Latin letters and ASCII signs comes apart there too: signs go through the whole
+    tokenizer, lower-cased words through its model alone.
     """
 
     def __init__(self, definition: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_str(definition)
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.memory: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def _packed(self, runs: list[str]) -> list[bytes]:
-        kind = f"<u{self.width}"
-        found = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
-        return [np.array(f.ids, dtype=kind).tobytes() for f in found]
-
-    def _learn(self, runs: list[bytes]) -> None:
-        parts: list[tuple[str, ...]] = []
-        for run in runs:
-            text = run.decode()
-            core, tail = (text[:-1], text[-1:]) if text[-1] in ".," and text[:-1].isalpha() else (text, "")
-            if core.isalpha() and core[0].isascii():
-                core = core[0].lower() + core[1:]
-            parts.append((core, tail) if tail else (core,))
-        new = list({p for part in parts for p in part if p not in self.cores})
-        self.cores.update(zip(new, self._packed(new)))
-        self.memory.update((run, b"".join(map(self.cores.__getitem__, part))) for run, part in zip(runs, parts))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
-        if len(self.cores) > MEMORY:
-            self.cores.clear()
-        out = []
-        for text in texts:
-            runs = text.encode().split()
-            if new := set(runs).difference(self.memory):
-                self._learn(list(new))
-            out.append(b"".join(map(self.memory.__getitem__, runs)))
-        return out
+        self.kind = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+        self.width = array(self.kind).itemsize
+        self.splits = self._splits(json.loads(definition))
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        letters = filter(re.compile(f"[{_LETTERS}]").match, map(chr, range(0x180)))
+        self.spelling = str.maketrans({c: spell(c)[0][0] for c in letters})
+
+    @staticmethod
+    def _splits(definition: dict) -> bool:
+        normal = [n["type"] for n in (definition["normalizer"] or {}).get("normalizers", [])]
+        first, *rest = (definition["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        return (
+            normal == ["NFC", "Replace", "Lowercase"] and first.get("pattern") == {"Regex": KNOWN_SPLIT}
+            and first["invert"] and first["behavior"] == "Removed"
+            and [(r["type"], r["add_prefix_space"], r["use_regex"]) for r in rest] == [("ByteLevel", False, False)]
+            and definition["model"]["type"] == "BPE"
+        )
+
+    def _pack(self, ids: list[int]) -> bytes:
+        packed = array(self.kind, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        if self.splits and part.islower() and _WORD.fullmatch(part):
+            ids = self._pack([t.id for t in self.tokenizer.model.tokenize(part.translate(self.spelling))])
+        else:
+            ids = self._pack(self.tokenizer.encode(part, add_special_tokens=False).ids)
+        self[part] = ids
+        return ids
+
+    def _apart(self, text: str) -> list[str]:
+        if self.splits and _SIMPLE.fullmatch(text) and "<|" not in text:
+            return _PARTS.findall(text.lower())
+        return [run.decode() for run in text.encode().split()]
+
+    def encode(self, text: str) -> bytes:
+        if len(self) > MEMORY:
+            self.clear()
+        return b"".join(map(self.__getitem__, self._apart(text)))
 
 
 @lru_cache(maxsize=2)
@@ -229,7 +253,8 @@ def _definition(spark: SparkSession, path: str) -> Broadcast:
 def _bounds(docs: DataFrame, shard_bytes: int) -> np.ndarray:
     """The first doc_id of every shard but the first: one number per file that will be written."""
     size = docs.agg(F.sum(F.octet_length(content())).alias("b")).first()["b"] or 0
-    shards = max(1, -(-size // shard_bytes))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(parts, -(-size // shard_bytes))
     if shards == 1:
         return np.empty(0, np.int64)
     steps = F.array(*[F.lit(k / shards) for k in range(1, shards)])
@@ -239,12 +264,13 @@ def _bounds(docs: DataFrame, shard_bytes: int) -> np.ndarray:
 
 def write_store(
     docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | None = None,
-    shard_bytes: int = 16 << 20, bucket_keys: int = 1 << 16,
+    shard_bytes: int = 256 << 20, bucket_keys: int = 1 << 16,
 ) -> Store:
     """Encodes every text and writes shards and index into `folder`.
 
-    `shard_bytes` is the text that a shard takes on average; ids go to their shard packed,
-    since a shuffle of texts or raw ids would be twice the size.
+    `shard_bytes` is the text that a shard takes at most on average; there are as many shards
+    as shuffle partitions at least. Ids go to their shard packed, since a shuffle of texts or
+    raw ids would be twice the size.
     """
     spark = docs.sparkSession
     folder = folder or working_folder(spark, "token-store")
@@ -259,13 +285,13 @@ def write_store(
         for batch in small(batches):
             keys = batch.column("doc_id")
             shard = np.searchsorted(bounds, keys.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right")
-            ids = [pack.compress(x + ending) for x in encoder.encode(texts_of(batch))]
+            ids = [pack.compress(encoder.encode(t) + ending) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(shard, pa.int32()), keys, pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"]
             )
 
     encoded = docs.mapInArrow(encode, "shard int, doc_id long, ids binary")
-    ordered = encoded.repartition(len(bounds) + 1, "shard").sortWithinPartitions(
+    ordered = encoded.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions(
         "shard", F.asc_nulls_first("doc_id"), "ids"
     )
     written = cut(
@@ -351,7 +377,7 @@ def read_documents(store: Store, found: DataFrame, with_ids: bool = False) -> Da
     places = found.select("doc_id", "shard", "row", "documents").unionByName(
         store.unkeyed.select("doc_id", F.col("shard").cast("long"), "row", F.lit(1).cast("long").alias("documents"))
     )
-    dealt = places.repartition(max(1, len(shards)), "shard").sortWithinPartitions("shard", "row")
+    dealt = places.repartitionById(max(1, len(shards)), F.col("shard").cast("int")).sortWithinPartitions("shard", "row")
     return dealt.mapInArrow(work, schema)
 
 
