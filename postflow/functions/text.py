@@ -239,21 +239,20 @@ BOARD_APIS = {
 
 
 def slug_variants(name: Column) -> Column:
-    """Plausible board slugs of a company, most likely first, as an array."""
-    base = F.lower(strip(name))
-    compact = F.regexp_replace(base, "[^a-z0-9]", "")
-    hyphenated = F.regexp_replace(F.regexp_replace(base, "[^a-z0-9]+", "-"), "^-+|-+$", "")
-
-    def without(word: Column, suffix: str) -> Column:
-        stem = F.regexp_replace(F.substring(word, F.lit(1), F.length(word) - len(suffix)), "-+$", "")
-        return F.when(F.endswith(word, F.lit(suffix)) & (F.length(word) > len(suffix) + 1), stem)
-
-    stems = [without(word, suffix) for word in (compact, hyphenated) for suffix in SLUG_SUFFIXES]
-    bases = F.filter(F.array(compact, hyphenated, *stems), lambda v: v.isNotNull() & (v != ""))
-    spelled = F.transform(
-        bases, lambda v: F.array(v, F.concat(v, F.lit("ai")), F.concat(v, F.lit("-ai")))
-    )
-    return F.array_distinct(F.flatten(spelled))
+    """Plausible board slugs of a company, most likely first, as an array.
+
+    The letters and digits of the name run together or hyphenated; then those without one
+    of the usual endings; each as it is, and with the two forms of an "ai" behind it.
+    """
+    def spellings(parts: Column) -> Column:
+        whole = [F.array_join(parts, ""), F.array_join(parts, "-")]
+        stems = [F.rtrim(F.regexp_extract(w, f"^(..+){ending}$", 1), F.lit("-")) for w in whole for ending in SLUG_SUFFIXES]
+        return F.array(*whole, *stems)
+
+    parts = F.regexp_extract_all(F.lower(name), F.lit("([a-z0-9]+)"), 1)
+    known = F.filter(let(parts, spellings), lambda s: s != "")
+    return F.array_distinct(F.flatten(F.transform(
+        known, lambda s: F.transform(F.array(F.lit(""), F.lit("ai"), F.lit("-ai")), lambda tail: F.concat(s, tail)))))
 
 
 def token_from_url(url: Column) -> Column:

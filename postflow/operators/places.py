@@ -6,13 +6,13 @@ rules are literals of fixed size. Nothing here shuffles.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.lookup import looked_up, place_key, words
 from ..functions.places_data import (
     DEFAULT_GAZETTEER,
     NOISE_WORDS,
@@ -33,32 +33,6 @@ STATED_MODES = {
 }
 
 
-def _looked_up(entries: dict[str, str]) -> Callable[[Column], Column]:
-    """A lookup in a table of fixed size, kept as one folded literal.
-
-    The literal is keyed by first letter and then by text, because a map literal is
-    searched from its start.
-    """
-    by_letter: dict[str, dict[str, str]] = {}
-    for key, value in entries.items():
-        by_letter.setdefault(key[0], {})[key] = value
-    table = F.from_json(F.lit(json.dumps(by_letter)), "MAP<STRING, MAP<STRING, STRING>>")
-    return lambda key: F.try_element_at(F.try_element_at(table, F.substring(key, 1, 1)), key)
-
-
-def _words(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in sorted(values)])
-
-
-def _collapsed(text: Column) -> Column:
-    """Single spaces only. Most texts have no double space, so the pattern rarely runs."""
-    return F.trim(F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " +", " ")).otherwise(text))
-
-
-def _place_key(text: Column) -> Column:
-    return _collapsed(F.translate(text, ".", " "))
-
-
 def _pieces(texts: Column) -> Column:
     """Every separated, trimmed, non-empty piece of every text, in order.
 
@@ -78,7 +52,7 @@ def stated_work_mode(workplace_type: Column, is_remote: Column) -> Column:
     """The work mode a board states outright: its own field, else its remote flag."""
     field = F.translate(F.lower(strip(workplace_type)), "_-", "")
     return F.coalesce(
-        _looked_up(STATED_MODES)(field),
+        looked_up(STATED_MODES)(field),
         F.when(is_remote, F.lit("remote")).when(~is_remote, F.lit("onsite")),
     )
 
@@ -98,8 +72,8 @@ def parse_location(
     known is `unknown`.
     """
     absent = F.lit(None).cast("string")
-    place_of, country_of = _looked_up(gazetteer.lookup()), _looked_up(gazetteer.iso2)
-    noise, unresolvable = _words(NOISE_WORDS), _words(NOISE_WORDS | SUPRANATIONAL)
+    place_of, country_of = looked_up(gazetteer.lookup()), looked_up(gazetteer.iso2)
+    noise, unresolvable = words(NOISE_WORDS), words(NOISE_WORDS | SUPRANATIONAL)
 
     code = F.upper(strip(country_code)) if country_code is not None else absent
     by_code = F.coalesce(
@@ -112,8 +86,8 @@ def parse_location(
             lambda word: (word != "") & ~F.array_contains(noise, word),
         )
         found = F.coalesce(
-            place_of(_place_key(piece)),
-            place_of(_place_key(F.array_join(words, " "))),
+            place_of(place_key(piece)),
+            place_of(place_key(F.array_join(words, " "))),
         )
         return F.when(~F.array_contains(unresolvable, piece), found)
 
@@ -218,7 +192,7 @@ def location_match(
     """
     def wanted(rules: Iterable[LocationRule]) -> Column:
         keys = {f"{place}|{mode}" for rule in rules for place in expand(rule.regions) for mode in rule.work_modes}
-        return _words(keys) if keys else F.array().cast("array<string>")
+        return words(keys) if keys else F.array().cast("array<string>")
 
     places = F.when(F.size(F.coalesce(regions, F.array().cast("array<string>"))) > 0, regions).otherwise(F.array(region))
 
