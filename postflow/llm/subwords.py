@@ -7,10 +7,11 @@ place together with the piece that ends there. The model's merges become weights
 from piece x with piece y costs nothing if merging x and y as one string gives exactly x
 and y again, and infinity if not. Merging is local, so of all paths through the lattice
 exactly one has a finite weight, and it is the segmentation by merges: the tropical shortest
-path. Since every prefix of a text has one finite path too, one best state per place is kept.
+path. Every prefix of a text has one finite path too, so a place has one state, and a search
+that follows the longest arcs first never visits a place twice in vain.
 
 No arc crosses two characters that stand side by side in no piece, so a text is composed in
-stretches between such places, and workers remember the paths of stretches they have met.
+parts between such places, and workers remember the paths of the parts they have met.
 
 Models other than merge models (BPE) with an identity normaliser are refused.
 
@@ -27,6 +28,7 @@ import heapq
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,14 +41,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import narrow, small, texts_of
 
 MARK = "▁"  # fixed value: what stands for a blank in pieces
-# Runs, stretches and pairs a worker remembers; beyond it a memory starts anew.
-MEMORY = 400_000
+# Parts, stretches and pairs a worker remembers; beyond it a memory starts anew.
+MEMORY = 500_000
 MAX_MODEL_BYTES = 64 << 20
-_RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
 
 
-class Transducer:
+class Transducer(dict):
+    """The compiled machines; as a mapping, parts of normalised texts to their packed ids."""
+
     def __init__(self, model: bytes):
+        super().__init__()
         own = sentencepiece.SentencePieceProcessor(model_proto=model)
         if own.normalize(" Ⅳ  ﬁ\t") != f"{MARK}{MARK}Ⅳ{MARK}{MARK}ﬁ\t":
             raise ValueError("only an identity normaliser with a mark in front is compiled")
@@ -69,13 +74,25 @@ class Transducer:
         self.finite: dict[tuple[str, str], bool] = {}
         # Pieces that merging cannot reach lie on no finite path.
         self.arcs = {p for p in self.ids if len(p) == 1 or self._merged(p) == [p]}
-        # Lengths of the longer pieces that end in two given characters, longest first.
+        # Lengths of the longer pieces that begin with three given characters, longest first.
         self.lengths: dict[str, tuple[int, ...]] = {}
         for piece in sorted(self.arcs, key=len, reverse=True):
-            if len(piece) > 1 and len(piece) not in self.lengths.get(piece[-2:], ()):
-                self.lengths[piece[-2:]] = (*self.lengths.get(piece[-2:], ()), len(piece))
+            if len(piece) > 2 and len(piece) not in self.lengths.get(piece[:3], ()):
+                self.lengths[piece[:3]] = (*self.lengths.get(piece[:3], ()), len(piece))
         self.paths: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.parts = self._cutter()
+
+    def _cutter(self) -> re.Pattern:
+        """Cuts a normalised text where it costs one pass: before marks, and between letters and
+        those ASCII signs that no piece has beside a letter."""
+        letters = re.findall(f"[{_LETTERS}]", "".join(map(chr, range(0x180))))
+        signs = [chr(c) for c in range(0x80) if not chr(c).isalpha()]
+        signs = [c for c in signs if not any(c + x in self.inner or x + c in self.inner for x in letters)]
+        rest = f"{MARK}*[^{MARK}]+|{MARK}+"
+        if not signs:
+            return re.compile(rest)
+        s = re.escape("".join(signs))
+        return re.compile(f"{MARK}{MARK}+[^{MARK}]*|{MARK}?(?:[{_LETTERS}]++|[{s}]++)(?=[{MARK}{_LETTERS}{s}]|\\Z)|{rest}")
 
     def _merged(self, text: str) -> list[str]:
         """Merges neighbours whose union is a piece, lightest first, then leftmost."""
@@ -106,69 +123,75 @@ class Transducer:
 
     def _goes_on(self, x: str, y: str) -> bool:
         """Whether the weight of y after x is finite."""
-        found = self.finite.get((x, y))
-        if found is None:
-            found = self.finite[x, y] = self._merged(x + y) == [x, y]
+        found = self.finite[x, y] = self._merged(x + y) == [x, y]
         return found
 
+    def _from(self, text: str, at: int) -> Iterator[str]:
+        """The arcs that leave a place, longest first; the last is a character or its bytes."""
+        for length in self.lengths.get(text[at : at + 3], ()):
+            if (arc := text[at : at + length]) in self.arcs and len(arc) == length:
+                yield arc
+        if (arc := text[at : at + 2]) in self.arcs:
+            yield arc
+        if len(arc) == 2 or arc not in self.arcs:
+            yield text[at]
+
     def _shortest(self, text: str) -> list[str]:
-        """The one path of finite weight over a stretch; best[i] is the piece that ends at i."""
-        best, arcs, lengths, goes_on = [""], self.arcs, self.lengths, self._goes_on
-        for end in range(1, len(text) + 1):
-            for length in lengths.get(text[end - 2 : end], ()) if end > 1 else ():
-                start = end - length
-                if start >= 0 and (arc := text[start:end]) in arcs and (start == 0 or goes_on(best[start], arc)):
-                    best.append(arc)
+        """The one path of finite weight over a stretch, longest arcs first; a place that leads
+        nowhere is not tried again."""
+        path, finite, size = [""], self.finite, len(text)
+        at, dead, leaving = 0, set(), [self._from(text, 0)]
+        while at < size:
+            last = path[-1]
+            for arc in leaving[-1]:
+                end = at + len(arc)
+                if end in dead:
+                    continue
+                known = finite.get((last, arc)) if at else True
+                if known or known is None and self._goes_on(last, arc):
+                    path.append(arc)
+                    if end < size:
+                        leaving.append(self._from(text, end))
+                    at = end
                     break
             else:
-                best.append(text[end - 1])  # what no longer piece reaches is a character or its bytes
-        path, end = [], len(text)
-        while end:
-            path.append(best[end])
-            end -= len(best[end])
-        return path[::-1]
+                dead.add(at)
+                leaving.pop()
+                at -= len(path.pop())
+        return path[1:]
 
     def _spell(self, piece: str) -> list[int]:
         found = self.ids.get(piece)
         return [found] if found is not None else [self.bytes[b] for b in piece.encode()]
 
-    def _stretches(self, run: str) -> Iterator[str]:
+    def _stretches(self, part: str) -> Iterator[str]:
         start = 0
-        for k in range(1, len(run)):
-            if run[k - 1 : k + 1] not in self.inner:
-                yield run[start:k]
+        for k in range(1, len(part)):
+            if part[k - 1 : k + 1] not in self.inner:
+                yield part[start:k]
                 start = k
-        yield run[start:]
+        yield part[start:]
 
-    def _run(self, run: str) -> bytes:
-        found = []
-        for stretch in self._stretches(run):
+    def __missing__(self, part: str) -> bytes:
+        paths = []
+        for stretch in self._stretches(part):
             path = self.paths.get(stretch)
             if path is None:
                 ids = [i for piece in self._shortest(stretch) for i in self._spell(piece)]
-                path = self.paths[stretch] = np.array(ids, "<i4").tobytes()
-            found.append(path)
-        return b"".join(found)
-
-    def _forget(self) -> None:
-        for memory in (self.finite, self.paths, self.runs):
-            if len(memory) > MEMORY:
-                memory.clear()
+                path = self.paths[stretch] = array("i", ids).tobytes()
+            paths.append(path)
+        found = self[part] = b"".join(paths)
+        return found
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text."""
         if not text:
             return np.empty(0, np.int32)
-        self._forget()
-        text = text.replace(MARK, " ")
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            runs = _RUNS.findall(MARK + text.replace(" ", MARK))
-        else:
-            runs = [MARK + run for run in text.split(" ")]
-        known = self.runs
-        for run in set(runs).difference(known):
-            known[run] = self._run(run)
-        return np.frombuffer(b"".join(map(known.__getitem__, runs)), np.int32)
+        for memory in (self, self.paths, self.finite):
+            if len(memory) > MEMORY:
+                memory.clear()
+        normal = MARK + text.replace(" ", MARK)
+        return np.frombuffer(b"".join(map(self.__getitem__, self.parts.findall(normal))), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that ids spell, without the blank that was put in front."""
