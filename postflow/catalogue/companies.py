@@ -58,6 +58,19 @@ def candidate_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("_evidence", lambda e: e["title"]), ",").alias("evidence"))
 
 
+@query("""
+WITH r AS (SELECT source AS c, doc_id, 0 AS n, lang AS role FROM documents
+  UNION ALL SELECT source, doc_id, 1, 'long' FROM documents WHERE n_chars > 1000
+  UNION ALL SELECT source, doc_id, 2, lang || ' ' || (n_chars % 7) FROM documents)
+SELECT c AS candidate_key, role, count(*) AS sightings, min(doc_id) AS first_doc FROM r GROUP BY ALL""")
+def candidate_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every role of every candidate, not only those beside it in the queue."""
+    sightings = _sightings(spark, sf_dir).withColumn("candidate_key", F.col("name")).withColumn(
+        "_order", F.struct("position", "source", "source_job_id"))
+    return D.role_mentions(sightings).select(
+        "candidate_key", "role", "sightings", F.col("at._order.position").alias("first_doc"))
+
+
 def _watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as watched companies, named like the first customers, on numbered boards."""
     nation = table(spark, sf_dir, "nation")
@@ -123,10 +136,10 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_SQL_CANDIDATES}
-SELECT name_key, c_custkey::VARCHAR AS decided FROM m WHERE status = 'rejected' ORDER BY c_custkey DESC LIMIT 25""")
+SELECT name_key, c_custkey::VARCHAR AS decided, row_number() OVER (ORDER BY c_custkey DESC) AS position FROM m WHERE status = 'rejected'""")
 def rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest, _ = D.rejected(_customers(spark, sf_dir))
-    return newest.select("name_key", F.unix_seconds("decided_at").cast("string").alias("decided"))
+    return newest.select("name_key", F.unix_seconds("decided_at").cast("string").alias("decided"), "position")
 
 
 # Orders are decisions on their customer: open ones approve, fulfilled ones reject, partial

@@ -102,20 +102,20 @@ SELECT count(*) AS open_postings, count(*) FILTER (WHERE disposition <> 'already
   count(*) FILTER (WHERE disposition = 'stale') AS stale, count(*) FILTER (WHERE disposition = 'unmatched') AS unmatched,
   count(*) FILTER (WHERE disposition = 'candidate') AS candidates,
   count(DISTINCT stored) FILTER (WHERE disposition = 'candidate') AS distinct_texts,
-  greatest(count(DISTINCT stored) FILTER (WHERE disposition = 'candidate') - 300, 0) AS carried_over FROM x""")
+  0 AS carried_over FROM x""")
 def prefilter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided, _ = _decided(spark, sf_dir)
-    return P.disposition_counts(decided, 300)
+    return P.disposition_counts(decided, None)
 
 
 @query(f"""WITH {_sql_decided(False)}
 SELECT stored AS content_hash, min(doc_id) AS lead_doc, count(*) AS postings FROM x WHERE disposition = 'candidate'
-GROUP BY stored ORDER BY lead_doc LIMIT 300""")
+GROUP BY stored""")
 def capped_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 300 distinct texts, which is what one run may score."""
+    """The distinct texts that a run scores."""
     decided, _ = _decided(spark, sf_dir, judged=False)
     candidates = decided.where("disposition = 'candidate'")
-    return I.capped_groups(candidates, 300).select(
+    return I.capped_groups(candidates, None).select(
         "content_hash", F.col("lead.source_job_id").cast("bigint").alias("lead_doc"), "postings")
 
 
@@ -342,11 +342,11 @@ def digest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_sql_shown('TRUE')}
-SELECT k::VARCHAR AS job_key, company, title, score, appearance - 1 AS appearances, appearance > 4 AS suppressed, 'u/' || id AS apply_url
-FROM a ORDER BY score DESC, lower(company), lower(title), k::VARCHAR LIMIT 200""")
+SELECT k::VARCHAR AS job_key, company, title, score, appearance - 1 AS appearances, appearance > 4 AS suppressed, 'u/' || id AS apply_url,
+  row_number() OVER (ORDER BY score DESC, lower(company), lower(title), k::VARCHAR) AS position FROM a""")
 def open_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     roles, _ = D.open_roles(_orders_state(spark, sf_dir), _ORDERS_PROFILE, _LOW)
-    return roles.select("job_key", "company", "title", "score", "appearances", "suppressed", "apply_url")
+    return roles.select("job_key", "company", "title", "score", "appearances", "suppressed", "apply_url", "position")
 
 
 @query(f"""WITH {_SQL_NEWS}, p AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)

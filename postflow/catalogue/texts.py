@@ -157,8 +157,7 @@ def token_sort_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id,
   'Company: ' || source || chr(10) || 'Title: ' || lang || chr(10) || 'Location: not stated (parsed as region unknown, remote)'
   || chr(10) || chr(10) || 'Description:' || chr(10) ||
-  CASE WHEN length(b) > 12000 THEN regexp_replace(left(b, 12000), '[\\s]+$', '') || chr(10) || '[description truncated]'
-       WHEN b = '' THEN '(empty)' ELSE b END AS rendered
+  CASE WHEN b = '' THEN '(empty)' ELSE b END AS rendered
 FROM (SELECT *, {sql_strip('text')} AS b FROM documents)""")
 def render_posting(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir, "documents")

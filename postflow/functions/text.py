@@ -292,13 +292,11 @@ def board_api(ats: Column, token: Column) -> Column:
 
 # --- rendering for a model ---------------------------------------------------------------
 
-# The longest text a scorer or an extractor is given, and the cut marks.
-MAX_SCORED_CHARS = 12_000
-MAX_EXTRACTED_CHARS = 8_000
-
-
 def cut_text(text: Column, limit: int, mark: str) -> Column:
-    """Text no longer than `limit`, with a mark on a line of its own when it was cut."""
+    """Text no longer than `limit`, with a mark on a line of its own when it was cut.
+
+    For callers whose model bounds its input; nothing here cuts by itself.
+    """
     def shortened(body: Column) -> Column:
         head = F.rtrim(F.substring(body, 1, limit), F.lit(_ALL_SPACES))
         return F.when(F.length(body) > limit, F.concat(head, F.lit("\n" + mark))).otherwise(body)
@@ -311,8 +309,8 @@ def _or_empty(text: Column) -> Column:
 
 
 def render_posting(company, title, location_raw, region, work_mode, description) -> Column:
-    """What a scorer reads about one posting."""
-    body = _or_empty(cut_text(description, MAX_SCORED_CHARS, "[description truncated]"))
+    """What a scorer reads about one posting: the whole of it."""
+    body = _or_empty(strip(F.coalesce(description, F.lit(""))))
     place = F.coalesce(F.nullif(location_raw, F.lit("")), F.lit("not stated"))
     pieces = ["Company: ", company, "\nTitle: ", title, "\nLocation: ", place,
               " (parsed as region ", region, ", ", work_mode, ")\n\nDescription:\n", body]
@@ -320,7 +318,5 @@ def render_posting(company, title, location_raw, region, work_mode, description)
 
 
 def render_prose(text: Column) -> Column:
-    """What an extractor reads about one prose posting."""
-    return F.concat(
-        F.lit("Posting:\n"), _or_empty(cut_text(text, MAX_EXTRACTED_CHARS, "[text truncated]"))
-    )
+    """What an extractor reads about one prose posting: the whole of it."""
+    return F.concat(F.lit("Posting:\n"), _or_empty(strip(F.coalesce(text, F.lit("")))))

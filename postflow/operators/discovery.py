@@ -12,11 +12,12 @@ from ..functions.text import board_api, board_page, normalize_company, slug_for,
 from ..schemas import TABLES, struct_of
 from ..session import cut
 from .prefilter import POSTING_KEY
+from .ranking import positions
 
-# What a candidate keeps for its reviewer.
+# How many roles and sightings stand beside a candidate in the review queue.
+# All roles are rows of `role_mentions`; all sightings are rows of the postings table.
 MAX_ROLES = 12
 MAX_EVIDENCE = 30
-MAX_NAME = 200
 PROBE_ORDER = ["greenhouse", "lever", "ashby"]
 
 
@@ -146,7 +147,7 @@ def attach_candidates(
     nothing; rejected ones keep counting; the rest are found by name, then by board, or are new.
     """
     moment = now.cast("timestamp")
-    told = sightings.withColumn("name", F.substring(strip(F.col("name")), 1, MAX_NAME)).withColumn(
+    told = sightings.withColumn("name", strip(F.col("name"))).withColumn(
         "name_key", normalize_company(F.coalesce("name", F.lit(""))))
     told = told.withColumn("_order", F.struct("position", *POSTING_KEY))
     spoken = told.where("name_key <> ''").groupBy("name_key").agg(
@@ -241,6 +242,16 @@ def attach_candidates(
     )
 
 
+def role_mentions(sightings: DataFrame) -> DataFrame:
+    """candidate_key, role, sightings, at: every role of every candidate, with its first mention."""
+    return (
+        sightings.select("candidate_key", "_order", F.posexplode("roles").alias("_n", "role"))
+        .withColumn("role", strip(F.col("role"))).where("role <> ''")
+        .groupBy("candidate_key", "role")
+        .agg(F.count(F.lit(1)).alias("sightings"), F.min(F.struct("_order", "_n")).alias("at"))
+    )
+
+
 def roll_up(sightings: DataFrame, moment: Column) -> DataFrame:
     """Sightings per candidate: how many, the first roles, the last evidence, a careers link.
 
@@ -252,11 +263,7 @@ def roll_up(sightings: DataFrame, moment: Column) -> DataFrame:
         F.count(F.lit(1)).alias("_count"),
         F.min_by("careers_url", F.when(F.col("careers_url") != "", F.col("_order"))).alias("_careers_url"),
     )
-    mentions = (
-        sightings.select("candidate_key", "_order", F.posexplode("roles").alias("_n", "_role"))
-        .withColumn("_role", strip(F.col("_role"))).where("_role <> ''")
-        .groupBy("candidate_key", "_role").agg(F.min(F.struct("_order", "_n")).alias("_at"))
-    )
+    mentions = role_mentions(sightings).select("candidate_key", F.col("role").alias("_role"), F.col("at").alias("_at"))
     first = Window.partitionBy("candidate_key").orderBy("_at")
     roles = (
         mentions.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= MAX_ROLES)
@@ -264,7 +271,7 @@ def roll_up(sightings: DataFrame, moment: Column) -> DataFrame:
         .select("candidate_key", F.transform("_roles", lambda r: r["_role"]).alias("_roles"))
     )
     last = Window.partitionBy("candidate_key").orderBy(F.desc("_order"))
-    shown = F.struct("source", "source_job_id", F.substring("title", 1, 200).alias("title"), "url", moment.alias("seen"))
+    shown = F.struct("source", "source_job_id", F.col("title"), "url", moment.alias("seen"))
     evidence = (
         sightings.select("candidate_key", "_order", shown.alias("_shown"))
         .withColumn("_rank", F.row_number().over(last)).where(F.col("_rank") <= MAX_EVIDENCE)
@@ -306,10 +313,13 @@ def review_queue(candidates: DataFrame, watchlist: DataFrame, now: Column) -> Da
     return queue_columns(current.where("status = 'pending'")).orderBy(*queue_order())
 
 
-def rejected(candidates: DataFrame, limit: int = 25) -> tuple[DataFrame, DataFrame]:
-    """(the latest rejections, how many there are in total)."""
+def rejected(candidates: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the rejections with their position, latest first, how many there are); a limit is the caller's."""
     silenced = candidates.where("status = 'rejected'")
-    newest = queue_columns(silenced).orderBy(F.desc("decided_at"), F.desc("name_key")).limit(limit)
+    order = [F.desc("decided_at"), F.desc("name_key")]
+    newest = positions(queue_columns(silenced).withColumn("_all", F.lit(0)), "_all", order).drop("_all")
+    if limit is not None:
+        newest = newest.where(F.col("position") <= limit)
     return newest, silenced.agg(F.count(F.lit(1)).alias("rejected"))
 
 

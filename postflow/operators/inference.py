@@ -92,7 +92,7 @@ def text_groups(candidates: DataFrame) -> DataFrame:
 
 
 def capped_groups(candidates: DataFrame, cap: int | None) -> DataFrame:
-    """The `cap` texts seen first. The cap counts texts, not postings; the rest carry over."""
+    """The texts to score: all, or the `cap` of them seen first; the cap counts texts, not postings."""
     return first_rows(text_groups(candidates), [F.col("lead")], cap)
 
 
@@ -177,11 +177,11 @@ def scoring_report(counts: DataFrame, verdicts: DataFrame, scores: DataFrame, ca
 # --- other answers -----------------------------------------------------------------------
 
 
-def extract_companies(prose: DataFrame, extractor: BatchFunction, cap: int, order: list) -> DataFrame:
+def extract_companies(prose: DataFrame, extractor: BatchFunction, cap: int | None, order: list) -> DataFrame:
     """Company, roles and careers link read out of prose postings.
 
-    `prose` holds the posting key and `text`. One cap serves every source of a run; texts
-    beyond it and texts that failed are not remembered, so they come back next run.
+    `prose` holds the posting key and `text`. A cap, if the caller has one, serves every source
+    of a run; texts beyond it and texts that failed are not remembered and come back next run.
     """
     chosen = first_rows(prose, order, cap).repartition(*POSTING_KEY)
     return infer(chosen, extractor, EXTRACTION, POSTING_KEY)
@@ -212,6 +212,6 @@ def describe_entity(name, careers_url, ats, token, board_jobs, roles, titles) ->
         F.when(careers_url != "", line("Careers page: ", careers_url)),
         F.when(ats.isNotNull(), line("Job board: ", ats, " '", token, "' with ",
                                      F.coalesce(board_jobs, F.lit(0)).cast("string"), " open postings")),
-        F.when(F.size(roles) > 0, line("Roles seen: ", F.array_join(F.slice(roles, 1, 12), "; "))),
-        F.transform(titles, lambda t: F.concat(F.lit("Seen hiring: "), F.substring(t, 1, 160))),
+        F.when(F.size(roles) > 0, line("Roles seen: ", F.array_join(roles, "; "))),
+        F.transform(titles, lambda t: F.concat(F.lit("Seen hiring: "), t)),
     )

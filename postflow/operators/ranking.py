@@ -126,19 +126,13 @@ def positions(df: DataFrame, group: str, order: list[Column], name: str = "posit
     )
 
 
-# Up to this many rows Spark's top-k keeps them in one task; beyond it they are numbered.
-TOP_K_ROWS = 10_000
-
-
 def first_rows(df: DataFrame, order: list[Column], cap: int | None) -> DataFrame:
     """The first `cap` rows by `order`, or all of them without a cap.
 
-    A large cap is cut by position in a distributed sort, so no task holds `cap` rows.
+    They are cut by position in a distributed sort, so no task holds `cap` rows.
     """
     if cap is None:
         return df
-    if cap <= TOP_K_ROWS:
-        return df.orderBy(*order).limit(cap)
     numbered = positions(df.withColumn("_all", F.lit(0)), "_all", order, "_position")
     return numbered.where(F.col("_position") <= cap).drop("_all", "_position")
 

@@ -85,8 +85,9 @@ def daily_digest(state: State, profile, rules, today: Column, now: Column, zone:
     return entries, summary.withColumn("digest_date", today.cast("date")).withColumn("is_empty", F.col("total") == 0)
 
 
-def open_roles(state: State, profile, rules, limit: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(the best open roles, how many there are): everything not acted on, suppressed or not.
+def open_roles(state: State, profile, rules, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the open roles with their position, best first, how many there are): everything not
+    acted on, suppressed or not. A limit is the caller's.
 
     Unlike the digest the history includes today, and the flag says what the next digest
     would do.
@@ -99,25 +100,30 @@ def open_roles(state: State, profile, rules, limit: int = 200) -> tuple[DataFram
         "apply_url", (F.col("appearance") - 1).alias("appearances"), "suppressed",
     )
     best_first = [F.desc("score"), F.lower("company"), F.lower("title"), F.col("job_key")]
-    return K.first_rows(roles, best_first, limit).orderBy(*best_first), listed.agg(F.count(F.lit(1)).alias("open_total"))
+    return _placed(roles, best_first, limit), listed.agg(F.count(F.lit(1)).alias("open_total"))
 
 
-def dismissed_roles(state: State, profile, limit: int = 25) -> tuple[DataFrame, DataFrame]:
-    """(the latest dismissals, how many there are), with each job's score as it is now."""
+def _placed(rows: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
+    """Rows with their position in `order`, all of them or the first `limit`."""
+    placed = K.positions(rows.withColumn("_all", F.lit(0)), "_all", order).drop("_all")
+    return placed if limit is None else placed.where(F.col("position") <= limit)
+
+
+def dismissed_roles(state: State, profile, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the dismissals with their position, latest first, how many there are), with each job's score as it is now."""
     gone = state.applications.where("status = 'dismissed'")
-    newest = gone.orderBy(F.desc("created_at"), F.desc("job_key")).limit(limit)
+    newest = _placed(gone, [F.desc("created_at"), F.desc("job_key")], limit)
     best = K.best_scores(state.scores, state.postings, profile.prompt_version).select("job_key", "score")
     named = state.companies.select(F.col("slug").alias("company_slug"), F.col("name").alias("company"))
     rows = newest.join(state.jobs.drop("first_seen"), "job_key").join(named, "company_slug").join(best, "job_key", "left")
     return (
         rows.select("job_key", "title", "company", F.coalesce(F.nullif("location_raw", F.lit("")), F.col("region")).alias("location"),
-                    "work_mode", "score", F.col("created_at").alias("dismissed_at"), "apply_url")
-        .orderBy(F.desc("dismissed_at"), F.desc("job_key")),
+                    "work_mode", "score", F.col("created_at").alias("dismissed_at"), "apply_url", "position"),
         gone.agg(F.count(F.lit(1)).alias("dismissed_total")),
     )
 
 
-def dashboard(state: State, profile, rules, open_limit: int = 200, dismissed_limit: int = 25) -> dict[str, DataFrame]:
+def dashboard(state: State, profile, rules, open_limit: int | None = None, dismissed_limit: int | None = None) -> dict[str, DataFrame]:
     """Every frame of the dashboard by name."""
     facts = T.application_facts(state.applications, state.application_events)
     tiers = state.companies.select(F.col("slug").alias("company_slug"), "tier")

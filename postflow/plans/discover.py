@@ -27,13 +27,13 @@ class DiscoveryRun:
 
 def run_discovery(
     state: State, landed: DataFrame, watchlist: DataFrame, boards: DataFrame, profile,
-    extractor: BatchFunction, now: Column, max_extractions: int, reprobe_after_days: int,
+    extractor: BatchFunction, now: Column, max_extractions: int | None, reprobe_after_days: int,
     only: list[str] | None = None,
 ) -> DiscoveryRun:
     """Reads the aggregators, remembers what is new, and attaches it to companies.
 
     `boards` is the directory of known boards. Prose postings name no company; `extractor`
-    reads it out of at most `max_extractions` of them, and the rest come back next run.
+    reads it out of them; with `max_extractions`, of so many, and the rest come back next run.
     """
     moment = now.cast("timestamp")
     names_listed = list(DISCOVERY_SOURCES)

@@ -40,7 +40,7 @@ class SearchProfile:
     acceptable: list[LocationRule] = field(default_factory=list)
     bands: list[Band] = field(default_factory=list)
     threshold: int = 70
-    max_scores_per_run: int | None = 300
+    max_scores_per_run: int | None = None
     prompt_version: int = 1
 
     def problems(self) -> list[str]:

@@ -16,14 +16,17 @@ LABELLED = (
 
 
 class InvalidInput(ValueError):
-    """A table that must not be used, with every reason."""
+    """A table that must not be used; `problems` has every offending row by what is wrong with it."""
+
+    def __init__(self, problems: dict[str, DataFrame], rows: dict[str, int]):
+        super().__init__("; ".join(f"{what}: {n} rows, first {problems[what].first()}" for what, n in sorted(rows.items())))
+        self.problems = problems
 
 
 def _refuse(problems: dict[str, DataFrame]) -> None:
-    found = {what: [tuple(r) for r in df.limit(5).collect()] for what, df in problems.items()}
-    found = {what: rows for what, rows in found.items() if rows}
-    if found:
-        raise InvalidInput("; ".join(f"{what}: {rows}" for what, rows in sorted(found.items())))
+    rows = {what: n for what, df in problems.items() if (n := df.count())}
+    if rows:
+        raise InvalidInput({what: problems[what] for what in rows}, rows)
 
 
 def load_watchlist(rows: DataFrame) -> DataFrame:

@@ -24,7 +24,6 @@ from ..schemas import POSTING, struct_of
 # How the hiring thread is named, linked, and how long its titles may be.
 THREAD_TITLE = "Ask HN: Who is hiring?"
 COMMENT_URL = "https://news.ycombinator.com/item?id="
-MAX_PROSE_TITLE = 300
 
 
 def _truthy(col: Column) -> Column:
@@ -118,7 +117,7 @@ def _hn(comment: Column) -> dict[str, Column]:
     first_line = strip(F.substring_index(text, "\n", 1))
     return {
         "source_job_id": comment["id"],
-        "title": F.substring(first_line, 1, MAX_PROSE_TITLE),
+        "title": first_line,
         "url": F.concat(F.lit(COMMENT_URL), comment["id"]),
         "description": text,
         "posted_at": parse_iso_datetime(comment["created_at"]),

@@ -226,9 +226,8 @@ def test_inference_keeps_failures_as_rows(spark):
         infer(df, rejected, "company STRING, error STRING", ["content_hash"])
 
 
-def test_large_caps_are_cut_by_position(spark, monkeypatch):
+def test_caps_are_cut_by_position(spark):
     df = spark.range(500).select((F.col("id") * 7 % 500).alias("n"))
-    monkeypatch.setattr(K, "TOP_K_ROWS", 10)
     assert sorted(r["n"] for r in K.first_rows(df, [F.col("n")], 123).collect()) == list(range(123))
     assert K.first_rows(df, [F.col("n")], None).count() == 500
 

@@ -85,7 +85,7 @@ def test_hn_thread(spark):
     boards = R.thread_boards(search, threads)
     postings, runs = R.read_source(boards, "hn")
     p = postings.first()
-    assert postings.count() == 1 and p["title"] == long[:300] and "children" not in json.loads(p["raw"])
+    assert postings.count() == 1 and p["title"] == long and "children" not in json.loads(p["raw"])
     assert p["url"].endswith("?id=20") and p["company_name"] is None and runs.first()["status"] == "ok"
     missing = R.thread_boards(landed(spark, "hn_search", (200, {"hits": []})), threads)
     assert R.read_source(missing, "hn")[1].first()["status"] == "failed"
