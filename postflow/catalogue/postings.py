@@ -9,7 +9,7 @@ from ..operators.places import expand_regions, location_match, parse_location
 from ..operators.prefilter import unjudged as unjudged_postings
 from ..functions.places_data import REGION_GROUPS
 from ..schemas import TABLES, struct_of
-from .shared import PROFILE, moment, stamp, table
+from .shared import PROFILE, moment, sql_indel_similarity, stamp, table
 
 QUERIES = {}
 ORACLES = {}
@@ -267,12 +267,30 @@ def resolved_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.assignments.select("source_job_id", "job_key", "action")
 
 
-@query()
+# The titles of one brand and type in order of arrival; a title joins the founders unless one
+# of them is alike. Then every part goes to the founder it is most like of those before it.
+_SQL_FUZZY = f"""
+WITH RECURSIVE p AS (SELECT p_partkey AS k, p_brand || '/' || p_type AS block,
+  array_to_string(list_sort(string_split(p_name || ' assembly grade ' || p_size, ' ')), ' ') AS text FROM part),
+t AS (SELECT block, text, min(k) AS k, row_number() OVER (PARTITION BY block ORDER BY min(k)) AS i FROM p GROUP BY block, text),
+r AS (
+  SELECT block, i, [{{'k': k, 'text': text}}] AS founders FROM t WHERE i = 1
+  UNION ALL
+  SELECT t.block, t.i, CASE WHEN len(list_filter(r.founders, lambda f: {sql_indel_similarity('f.text', 't.text')} >= 95)) > 0
+    THEN r.founders ELSE list_append(r.founders, {{'k': t.k, 'text': t.text}}) END
+  FROM r JOIN t ON t.block = r.block AND t.i = r.i + 1),
+f AS (SELECT block, unnest(arg_max(founders, i)) AS f FROM r GROUP BY block),
+m AS (SELECT p.k, f.f.k AS founder, {sql_indel_similarity('f.f.text', 'p.text')} AS ratio
+      FROM p JOIN f ON f.block = p.block AND f.f.k <= p.k)"""
+
+
+@query(_SQL_FUZZY + """
+SELECT lpad(k::VARCHAR, 12, '0') AS source_job_id,
+  sha256('part' || chr(31) || lpad(arg_min(founder, (-ratio, founder))::VARCHAR, 12, '0')) AS job_key,
+  CASE WHEN arg_min(founder, (-ratio, founder)) = k THEN 'create' ELSE 'attach' END AS action
+FROM m WHERE ratio >= 95 GROUP BY k""")
 def fuzzy_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resolution over longer titles, where neighbouring sizes are alike and the order decides.
-
-    The greedy order cannot be said in SQL; tests compare it with a one-at-a-time model.
-    """
+    """Resolution over longer titles, where neighbouring sizes are alike and the order decides."""
     title = F.concat_ws(" ", "p_name", F.lit("assembly grade"), F.col("p_size").cast("string"))
     found = S.resolve_openings(_part_postings(spark, sf_dir, title), _no_jobs(spark))
     return found.assignments.select("source_job_id", "job_key", "action")

@@ -77,3 +77,18 @@ def sql_tidy(e: str) -> str:
 def sql_content_hash(company: str, title: str, location: str, description: str) -> str:
     parts = [sql_words(company), *[f"lower({sql_space(f'coalesce({x}, {chr(39) * 2})')})" for x in (title, location, description)]]
     return "sha256(" + " || chr(31) || ".join(parts) + ")"
+
+
+def sql_indel_similarity(a: str, b: str) -> str:
+    """Indel similarity of two texts of up to 100 characters, 0 to 100.
+
+    The longest common subsequence bit by bit: each letter of `b` is the mask of its places
+    in `a`, and the masks are folded over the places not matched yet.
+    """
+    full = f"((1::HUGEINT << length({a})) - 1::HUGEINT)"
+    masks = (
+        f"list_transform(string_split({b}, ''), lambda c: list_sum(list_transform(range(1, length({a}) + 1), "
+        f"lambda i: CASE WHEN substr({a}, i::INT, 1) = c THEN 1::HUGEINT << (i::INT - 1) ELSE 0::HUGEINT END))::HUGEINT)"
+    )
+    left = f"list_reduce({masks}, lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full}, {full})"
+    return f"200.0 * (length({a}) - bit_count({left})) / (length({a}) + length({b}))"

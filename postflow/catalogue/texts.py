@@ -11,7 +11,7 @@ from ..operators.prefilter import matched_term, strong_term, title_exclusion
 from ..session import cut
 from ..sources import readers
 from .shared import (
-    PROFILE, moment, sql_content_hash, sql_first_term, sql_strip, sql_tidy, sql_words, stamp, table, texts,
+    PROFILE, moment, sql_content_hash, sql_first_term, sql_indel_similarity, sql_strip, sql_tidy, sql_words, stamp, table, texts,
 )
 
 QUERIES = {}
@@ -140,16 +140,23 @@ def canonical_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""
-WITH n AS (SELECT p_name, p_brand, list_sort(string_split(p_name, ' ')) AS words FROM part GROUP BY ALL)
-SELECT p_brand, p_name, array_to_string(words, ' ') AS sorted_words, 100.0::DOUBLE AS ratio FROM n""")
+@query(f"""
+WITH n AS (SELECT DISTINCT p_brand, p_size, p_name AS one,
+             split_part(p_name, ' ', 2) || ' ' || split_part(p_type, ' ', 1) || ' ' || p_size AS two,
+             array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS a FROM part),
+s AS (SELECT *, array_to_string(list_sort(string_split(two, ' ')), ' ') AS b FROM n)
+SELECT p_brand, p_size, one, two, a AS sorted_words, round({sql_indel_similarity('a', 'b')}, 6) AS ratio FROM s
+UNION ALL SELECT p_brand, p_size, one, 'reversed', a, 100.0 FROM s""")
 def token_sort_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A name and its words in another order are fully alike."""
-    names = table(spark, sf_dir, "part").select("p_brand", "p_name").distinct()
-    backwards = F.array_join(F.reverse(F.split("p_name", " ")), " ")
-    return names.select(
-        "p_brand", "p_name", similarity.sorted_tokens(F.col("p_name")).alias("sorted_words"),
-        similarity.token_sort_ratio(F.col("p_name"), backwards).alias("ratio"),
+    """Names against their second word with type and size, and against their own words reversed."""
+    one, words = F.col("p_name"), F.split("p_name", " ")
+    two = F.concat_ws(" ", words[1], F.split("p_type", " ")[0], F.col("p_size").cast("string"))
+    pairs = table(spark, sf_dir, "part").select("p_brand", "p_size", one.alias("one"), two.alias("two")).distinct()
+    reversed_ = pairs.select("p_brand", "p_size", "one", F.array_join(F.reverse(F.split("one", " ")), " ").alias("other"), F.lit("reversed").alias("two"))
+    every = pairs.select("p_brand", "p_size", "one", F.col("two").alias("other"), "two").unionByName(reversed_)
+    return every.select(
+        "p_brand", "p_size", "one", "two", similarity.sorted_tokens(F.col("one")).alias("sorted_words"),
+        F.round(similarity.token_sort_ratio(F.col("one"), F.col("other")), 6).alias("ratio"),
     )
 
 

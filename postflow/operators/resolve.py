@@ -6,12 +6,13 @@ The rule compares postings with jobs in arrival order and is not transitive, so
 components would be wrong. Instead:
 
 1. titles are reduced to distinct (company, region, sorted words) nodes;
-2. pairs of similar nodes come from an exact similarity join on shared text segments;
-3. the nodes that found a job are the greedy choice in arrival order (a node does unless
-   an earlier similar one did), computed in rounds over the pairs;
-4. each posting takes its best match among stored jobs and earlier founders.
+2. the nodes that found a job are the greedy choice in arrival order (a node does unless
+   an earlier similar one did): a bounded batch of each company's first undecided titles
+   is settled at a time, and its founders then settle every later title like them;
+3. each posting takes its best match among stored jobs and earlier founders.
 
-No step holds a company, or a title shared by many postings, in one task.
+Titles are only ever compared with founders and stored jobs, never all with all, so a
+thousand near-equal titles of one company cost a thousand comparisons.
 """
 
 from __future__ import annotations
@@ -19,164 +20,89 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.similarity import THRESHOLD, may_match, sorted_ratio, sorted_tokens
+from ..functions.similarity import THRESHOLD, indel_similarity, may_match, sorted_ratio, sorted_tokens
 from ..functions.text import canonical_key, normalize_company, sha256
 from ..functions.titles import normalize_title
 from ..session import cut
 from .prefilter import POSTING_KEY
 
-# A bucket of shared segments with more candidate pairs than this is split further.
-MAX_BUCKET_PAIRS = 4096
-# How often a bucket is split before its candidates are compared in any case.
-SPLITS = 3
+# Titles of one company and region whose founders are chosen in one task, at first; every
+# round doubles it up to the last value. The result does not depend on either.
+FIRST_BATCH = 64
+LAST_BATCH = 2048
 
 
 # --- similar titles ----------------------------------------------------------------------
 
 
-def _budget(total: Column, threshold: int) -> Column:
-    """The most single-character insertions and deletions a matching pair may need."""
-    return F.floor(total * F.lit(100 - threshold) / 100).cast("int")
+def similar_titles(titles: DataFrame, targets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Pairs (node, other, ratio) of a title and a target at or above `threshold`.
 
-
-def _segments(rest: Column, pieces: Column) -> Column:
-    """A text cut into `pieces` even segments, as an array of (number, start, text)."""
-    def segment(i: Column) -> Column:
-        start = F.floor(i * F.length(rest) / pieces).cast("int")
-        end = F.floor((i + 1) * F.length(rest) / pieces).cast("int")
-        return F.struct(i.alias("i"), start.alias("start"), F.substring(rest, start + 1, end - start).alias("piece"))
-
-    return F.transform(F.sequence(F.lit(0), pieces - 1), segment)
-
-
-def _windows(rest: Column, other_length: Column, pieces: Column, before: Column, after: Column) -> Column:
-    """Where each segment of a longer text could sit in this one, as (number, start, text).
-
-    A segment that needs no edit is shifted left by at most the insertions and right by at
-    most the deletions the pair's budget allows.
-    """
-    def shifted(i: Column) -> Column:
-        start = F.floor(i * other_length / pieces).cast("int")
-        size = F.floor((i + 1) * other_length / pieces).cast("int") - start
-        first = F.greatest(start - before, F.lit(0))
-        last = F.least(start + after, F.length(rest) - size)
-        starts = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            starts, lambda at: F.struct(i.alias("i"), at.alias("start"), F.substring(rest, at + 1, size).alias("piece"))
-        )
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), pieces - 1), shifted))
-
-
-def _without(rest: Column, found: Column) -> Column:
-    size = F.length(found["piece"])
-    return F.concat(F.substring(rest, F.lit(1), found["start"]), F.substring(rest, found["start"] + size + 1, F.length(rest)))
-
-
-def similar_titles(titles: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (node, other, ratio) of titles at or above `threshold`, `node` being a fresh one.
-
-    `titles` holds node, block, text (sorted words, unique per block) and `fresh`. Only rows
-    of one block are compared, never two that are both stale. A pair of two fresh titles
-    appears both ways.
-
-    Exact: a pair within the threshold needs at most `budget` insertions and deletions, so
-    if the longer text is cut into budget + 1 segments, one of them occurs unchanged in the
-    shorter text, near its place. Rows meet on (block, length, segment). A segment too many
-    rows share is refined: what is left of both texts must share a segment in turn.
+    Both sides hold node, block and text (sorted words); only rows of one block and of
+    lengths that could reach the threshold meet, and a native edit distance that gives up at
+    the pair's budget goes before the ratio. Targets are founders or stored jobs, which are
+    unlike each other, so a title meets few that it is like.
     """
     alike = F.lit(100 - threshold) / 100
-    longest = F.floor(F.length("text") * (1 + alike) / (1 - alike) + 1e-9).cast("int")
-    bucket = F.concat_ws(":", "block", F.col("long_length").cast("string"))
-    pieces = _budget(F.col("long_length") * 2, threshold) + 1
-
-    longer = titles.withColumn("long_length", F.length("text")).select(
-        F.col("node").alias("long"), F.col("text").alias("long_text"), F.col("fresh").alias("long_fresh"),
-        F.col("text").alias("rest"), pieces.alias("pieces"), bucket.alias("bucket"),
+    length = F.length("text")
+    shortest = F.ceil(length * (1 - alike) / (1 + alike) - 1e-9).cast("int")
+    longest = F.floor(length * (1 + alike) / (1 - alike) + 1e-9).cast("int")
+    offered = targets.select(
+        F.col("node").alias("other"), "block", F.col("text").alias("other_text"),
+        F.explode(F.sequence(shortest, longest)).alias("length"),
     )
-    grown = titles.withColumn("long_length", F.explode(F.sequence(F.length("text"), longest)))
-    budget = _budget(F.length("text") + F.col("long_length"), threshold)
-    extra = F.col("long_length") - F.length("text")
-    shorter = grown.where(extra <= budget).select(
-        F.col("node").alias("short"), F.col("text").alias("short_text"), F.col("fresh").alias("short_fresh"),
-        F.col("text").alias("rest"), F.col("long_length").alias("other_rest"), pieces.alias("pieces"),
-        F.floor((budget + extra) / 2).cast("int").alias("before"),
-        F.floor((budget - extra) / 2).cast("int").alias("after"), bucket.alias("bucket"),
-    )
-
-    def split(df: DataFrame, cuts: Column) -> DataFrame:
-        found = F.col("found")
-        kept = df.withColumn("found", F.explode(cuts))
-        return kept.withColumns({
-            "rest": _without(F.col("rest"), found),
-            "bucket": F.concat_ws(":", "bucket", found["i"].cast("string"), found["piece"]),
-        })
-
-    candidates = []
-    for level in range(1, SPLITS + 1):
-        longer = split(longer, _segments(F.col("rest"), F.col("pieces"))).drop("found")
-        shorter = split(shorter, _windows(
-            F.col("rest"), F.col("other_rest"), F.col("pieces"), F.col("before"), F.col("after")
-        )).withColumn("other_rest", F.col("other_rest") - F.length("found.piece")).drop("found")
-        ready = longer, shorter
-        if level < SPLITS:
-            here = longer.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("long_fresh").alias("some"))
-            there = shorter.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.max("short_fresh").alias("any"))
-            # Buckets one side lacks, or without a fresh title, drop out here.
-            weight = here.join(there, "bucket").where("some OR any").select(
-                "bucket", (F.col("n") * F.col("m") > MAX_BUCKET_PAIRS).alias("crowded"))
-            longer, shorter = longer.join(weight, "bucket"), shorter.join(weight, "bucket")
-            ready = longer.where("NOT crowded"), shorter.where("NOT crowded")
-            longer, shorter = longer.where("crowded").drop("crowded"), shorter.where("crowded").drop("crowded")
-        candidates.append(
-            ready[0].select("bucket", "long", "long_text", "long_fresh")
-            .join(ready[1].select("bucket", "short", "short_text", "short_fresh"), "bucket")
-            .where((F.col("long") != F.col("short")) & (F.col("long_fresh") | F.col("short_fresh")))
-            .where(may_match(F.col("long_text"), F.col("short_text"), threshold))
-            .drop("bucket")
-        )
-    # Texts of one length meet in both roles; one of the two is enough.
-    pairs = reduce(DataFrame.unionByName, candidates).where(
-        (F.length("long_text") != F.length("short_text")) | (F.col("long") < F.col("short"))).distinct()
-    alike_pairs = pairs.withColumn("ratio", sorted_ratio(F.col("long_text"), F.col("short_text"))).where(
-        F.col("ratio") >= threshold)
-    both = F.array(
-        F.struct(F.col("long").alias("node"), F.col("short").alias("other"), F.col("long_fresh").alias("fresh")),
-        F.struct(F.col("short").alias("node"), F.col("long").alias("other"), F.col("short_fresh").alias("fresh")),
+    # A title of no words is like no other; equal texts are one node.
+    asked = titles.select("node", "block", "text", length.alias("length"))
+    budget = F.floor((length + F.length("other_text")) * alike + 1e-9).cast("int")
+    near = F.call_function("levenshtein", F.col("text"), F.col("other_text"), budget) >= 0
+    pairs = asked.join(offered, ["block", "length"]).where((F.col("node") != F.col("other")) & near)
+    return (
+        pairs.select("node", "other", sorted_ratio(F.col("text"), F.col("other_text")).alias("ratio"))
+        .where(F.col("ratio") >= threshold)
     )
-    return alike_pairs.select(F.explode(both).alias("p"), "ratio").where("p.fresh").select("p.node", "p.other", "ratio")
 
 
 # --- who founds a job --------------------------------------------------------------------
 
 
-def followers(pairs: DataFrame) -> DataFrame:
-    """The nodes that do not found a job, given (earlier, later) pairs of similar nodes.
+def founders_of(batch: pd.DataFrame, threshold: int) -> pd.DataFrame:
+    """The titles of one bounded batch that found a job, in arrival order."""
+    chosen: list[str] = []
+    rows = []
+    for node, text in batch.sort_values("place")[["node", "text"]].itertuples(index=False):
+        if all(indel_similarity(text, earlier) < threshold for earlier in chosen):
+            chosen.append(text)
+            rows.append(node)
+    return pd.DataFrame({"node": rows})
+
+
+def job_founders(titles: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The nodes (with block, text) that found a job.
 
-    Greedy in arrival order: a node founds unless an earlier similar node does. Each round
-    settles every node that has no undecided earlier neighbour left, so the number of
-    rounds is the longest chain of similar titles, not the number of titles.
+    Greedy in arrival order: a node founds unless an earlier similar founder exists. Each
+    round settles the first undecided titles of every block and then all later titles that
+    are like one of the new founders. `titles` holds node, block, text and `at`.
     """
-    spark = pairs.sparkSession
-    open_pairs = cut(pairs.select("earlier", "later").distinct())
-    settled = spark.createDataFrame([], "node STRING")
-    while not open_pairs.isEmpty():
-        later = open_pairs.select(F.col("later").alias("node")).distinct()
-        founding = open_pairs.select(F.col("earlier").alias("node")).distinct().join(later, "node", "left_anti")
-        founding = cut(founding)
-        dropped = cut(
-            open_pairs.join(founding.withColumnRenamed("node", "earlier"), "earlier", "left_semi")
-            .select(F.col("later").alias("node")).distinct()
-        )
-        settled = settled.unionByName(dropped)
-        gone = founding.unionByName(dropped)
-        open_pairs = cut(
-            open_pairs.join(gone.withColumnRenamed("node", "earlier"), "earlier", "left_anti")
-            .join(dropped.withColumnRenamed("node", "later"), "later", "left_anti")
-        )
-    return settled
+    spark = titles.sparkSession
+    order = Window.partitionBy("block").orderBy("at")
+    undecided = cut(titles.select("node", "block", "text", "at"))
+    found, size = [], FIRST_BATCH
+    while not undecided.isEmpty():
+        # Spark keeps no more than `size` rows per block and task before the shuffle.
+        batch = cut(undecided.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size))
+        chosen = batch.groupBy("block").applyInPandas(lambda rows: founders_of(rows, threshold), "node string")
+        new = cut(batch.select("node", "block", "text").join(chosen, "node", "left_semi"))
+        found.append(new)
+        rest = undecided.join(batch.select("node"), "node", "left_anti")
+        like = similar_titles(rest, new, threshold).select("node").distinct()
+        undecided = cut(rest.join(like, "node", "left_anti"))
+        size = min(2 * size, LAST_BATCH)
+    if not found:
+        return spark.createDataFrame([], "node string, block string, text string")
+    return reduce(DataFrame.unionByName, found)
 
 
 # --- resolution --------------------------------------------------------------------------
@@ -253,13 +179,8 @@ def resolve_openings(postings: DataFrame, jobs: DataFrame, threshold: int = THRE
     # Stored jobs a title could join: by key, by the same words, by similar words.
     by_words = nodes.join(job_titles.select("block", "text", "job_at"), ["block", "text"]).select(
         "node", "job_at", F.lit(100.0).alias("ratio"))
-    stale = job_titles.join(nodes.select("block").distinct(), "block", "left_semi").select(
-        F.col("title_node").alias("node"), "block", "text").join(nodes.select("node"), "node", "left_anti")
-    alike = cut(similar_titles(
-        nodes.select("node", "block", "text", F.lit(True).alias("fresh"))
-        .unionByName(stale.withColumn("fresh", F.lit(False))), threshold))
-    by_similarity = alike.join(job_titles.select(F.col("title_node").alias("other"), "job_at"), "other").select(
-        "node", "job_at", "ratio")
+    by_similarity = similar_titles(nodes, job_titles.select(F.col("title_node").alias("node"), "block", "text"), threshold).join(
+        job_titles.select(F.col("title_node").alias("other"), "job_at"), "other").select("node", "job_at", "ratio")
     job_matches = by_words.unionByName(by_similarity)
     by_key = moving.join(
         stored.groupBy("canonical_key").agg(F.min("job_at").alias("job_at")), "canonical_key"
@@ -269,13 +190,7 @@ def resolve_openings(postings: DataFrame, jobs: DataFrame, threshold: int = THRE
 
     settled_by_jobs = cut(job_matches.select("node").unionByName(first_by_key.select("node")).distinct())
     free = nodes.join(settled_by_jobs, "node", "left_anti")
-    between = (
-        alike.join(free.select("node", F.col("at").alias("at")), "node")
-        .join(free.select(F.col("node").alias("other"), F.col("at").alias("other_at")), "other")
-        .where("other_at < at")
-    )
-    following = followers(between.select(F.col("other").alias("earlier"), F.col("node").alias("later")))
-    founders = cut(free.join(following, "node", "left_anti").select(
+    founders = cut(free.join(job_founders(free, threshold).select("node"), "node", "left_semi").select(
         "node", "at", "canonical_key",
         F.coalesce("job_key", sha256(F.col("at.source"), F.col("at.source_job_id"))).alias("founder_job"),
     ))
@@ -283,7 +198,7 @@ def resolve_openings(postings: DataFrame, jobs: DataFrame, threshold: int = THRE
     # Every posting's candidates, best first: same key, then most alike, then oldest.
     titled = moving.withColumn("node", _node())
     own_founder = founders.select("node", F.col("node").alias("other"), F.lit(100.0).alias("ratio"))
-    other_founders = alike.join(founders.select(F.col("node").alias("other")), "other", "left_semi")
+    other_founders = similar_titles(nodes, founders.join(nodes.select("node", "block", "text"), "node"), threshold)
     near = own_founder.unionByName(other_founders.select("node", "other", "ratio")).join(
         founders.select(F.col("node").alias("other"), F.col("at").alias("founded_at"), "founder_job"), "other")
     keyed = founders.select("canonical_key", F.col("at").alias("founded_at"), "founder_job")

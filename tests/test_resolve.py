@@ -41,7 +41,7 @@ def random_titles(seed, n):
     return out
 
 
-def test_similar_titles_is_exact(spark, monkeypatch):
+def test_similar_titles_is_exact(spark):
     titles = sorted({words(t) for t in random_titles(1, 120)})
     rows = [(str(i), f"b{i % 2}", t) for i, t in enumerate(titles)]
     df = spark.createDataFrame(rows, "node STRING, block STRING, text STRING")
@@ -50,16 +50,32 @@ def test_similar_titles_is_exact(spark, monkeypatch):
         if i != j and bi == bj and indel_similarity(a, b) >= 95
     }
     assert len(expected) > 20
-    got = {(r["node"], r["other"]) for r in R.similar_titles(df.withColumn("fresh", F.lit(True))).collect()}
-    assert got == expected
-    # A stale title is never the first of a pair, and two stale ones never meet.
-    some = df.withColumn("fresh", F.col("node").cast("int") % 3 == 0)
-    got = {(r["node"], r["other"]) for r in R.similar_titles(some).collect()}
-    assert got == {(i, j) for i, j in expected if int(i) % 3 == 0}
-    # The same with every shared segment counted as crowded, so buckets are split to the end.
-    monkeypatch.setattr(R, "MAX_BUCKET_PAIRS", 0)
-    got = {(r["node"], r["other"]) for r in R.similar_titles(df.withColumn("fresh", F.lit(True))).collect()}
-    assert got == expected
+    assert {(r["node"], r["other"]) for r in R.similar_titles(df, df).collect()} == expected
+    some = df.where(F.col("node").cast("int") % 3 == 0)
+    got = {(r["node"], r["other"]) for r in R.similar_titles(df, some).collect()}
+    assert got == {(i, j) for i, j in expected if int(j) % 3 == 0}
+
+
+def test_batches_do_not_change_who_founds(spark, monkeypatch):
+    titles = sorted({words(t) for t in random_titles(3, 150)}, key=lambda t: hash(t) % 97)
+    df = spark.createDataFrame([(str(i), "b", t, i) for i, t in enumerate(titles)], "node STRING, block STRING, text STRING, at INT")
+    expected = []
+    for i, t in enumerate(titles):
+        if all(indel_similarity(t, titles[j]) < 95 for j in expected):
+            expected.append(i)
+    for first, last in ((64, 2048), (1, 4), (7, 7)):
+        monkeypatch.setattr(R, "FIRST_BATCH", first)
+        monkeypatch.setattr(R, "LAST_BATCH", last)
+        assert sorted(int(r["node"]) for r in R.job_founders(df).collect()) == expected
+
+
+def test_a_company_of_many_near_equal_titles(spark):
+    stem = "principal platform engineer for reliable distributed storage and streaming number"
+    rows = [(f"{i:04}", "b", f"{i:04} {stem}", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "node STRING, block STRING, text STRING, at INT")
+    assert [r["node"] for r in R.job_founders(df).collect()] == ["0000"]
+    plan = R.similar_titles(df, df.limit(1))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and "block" in plan
 
 
 def one_at_a_time(titles):
