@@ -21,6 +21,15 @@ def narrow(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is not among `ids`, a written table, with all their columns.
+
+    Spark sends the ids to the texts while they are few and small, and shuffles both otherwise.
+    """
+    gone = ids.select(F.col("doc_id").alias("_gone_id"))
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]), "left_anti")
+
+
 def content(text: str = "text") -> Column:
     """A null text counts as an empty one."""
     return F.coalesce(F.col(text), F.lit(""))

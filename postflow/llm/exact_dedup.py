@@ -21,7 +21,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import cut, working_folder
-from .common import BLANKS, content, narrow
+from .common import BLANKS, content, narrow, without
 
 STATE_ON_DISK = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -151,22 +151,27 @@ def deduplicate(docs: DataFrame, digest: Digest = sha256_digest, files_per_batch
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, one row each, with all their columns.
 
-    Of repeated rows the longest stays, then the first by text.
+    What goes is fewer than what stays, so texts meet the doc_ids that go. Rows that share a
+    doc_id, or have none, are told apart by their digest; of repeated rows the longest stays,
+    then the first by text.
     """
-    keep = cut(deduplicate(docs).where("kept").groupBy("doc_id", _digest_of("class").alias("digest")).count())
-    rows = docs.select(
-        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    ).withColumn("digest", sha256_digest(normalised(), 0))
-
-    def of(keys: DataFrame) -> DataFrame:
-        return rows.join(keys, rows.doc_id.eqNullSafe(keys.doc_id) & (rows.digest == keys.digest), "left_semi")
-
-    once = of(keep.where("count = 1")).select("row.*")
-    repeated = keep.where("count > 1")
-    if repeated.isEmpty():
+    rows = cut(deduplicate(docs).select("doc_id", "kept", _digest_of("class").alias("digest")))
+    ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_or("kept").alias("kept"))
+    shared = F.col("doc_id").isNull() | (F.col("rows") > 1)
+    marked = cut(ids.where(shared | ~F.col("kept")).select("doc_id", shared.alias("shared")))
+    once = without(docs, marked.select("doc_id"))
+    shared_ids = marked.where("shared").select("doc_id")
+    if shared_ids.isEmpty():
         return once
+    held = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    )
+    held = held.join(shared_ids, held.doc_id.eqNullSafe(shared_ids.doc_id), "left_semi")
+    held = held.withColumn("digest", sha256_digest(normalised(), 0))
+    keep = rows.where("kept")
+    held = held.join(keep, held.doc_id.eqNullSafe(keep.doc_id) & (held.digest == keep.digest), "left_semi")
     order = Window.partitionBy("doc_id", "digest").orderBy(F.char_length(content()).desc(), "text")
-    first = of(repeated).withColumn("number", F.row_number().over(order)).where("number = 1")
+    first = held.withColumn("number", F.row_number().over(order)).where("number = 1")
     return once.unionByName(first.select("row.*"))
 
 

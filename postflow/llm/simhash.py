@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut
-from .common import narrow, roots, small, texts_of
+from .common import narrow, roots, small, texts_of, without
 
 SEED = 42
 WORDS = 16  # bits of a word of the population counts
@@ -187,9 +187,9 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     A decision is made for a doc_id: rows that share one go together. Rows without a doc_id
     stay, all of them, if some class has no other row; else they go.
     """
-    keep = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = cut(keep.select(F.col("doc_id").alias("_keep_id")).distinct())
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_keep_id"]), "left_semi")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = near_duplicates(docs).groupBy("doc_id").agg(F.bool_or(first).alias("kept"))
+    return without(docs, cut(ids.where("NOT kept").select("doc_id")))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
