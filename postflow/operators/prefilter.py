@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import content_hash, first_term, words_only
@@ -58,12 +60,12 @@ def unjudged(postings: DataFrame, scores: DataFrame, version: int) -> DataFrame:
 
 
 def disposition(
-    postings: DataFrame, texts: DataFrame, jobs: DataFrame, companies: DataFrame, scores: DataFrame, profile
+    postings: DataFrame, texts: DataFrame | Callable[[DataFrame], DataFrame], jobs: DataFrame, companies: DataFrame, scores: DataFrame, profile
 ) -> DataFrame:
     """Every open attached posting with what the prefilter decided about it, without its text.
 
     `texts` is the replayed record of stored postings (key, `title`, `location_raw`,
-    `description`). Adds `disposition` (already_judged, title, location, stale, unmatched or
+    `description`), or a function that replays the postings whose keys it is given. Adds `disposition` (already_judged, title, location, stale, unmatched or
     candidate), `matched_on`, `location_fit`, and the job's display columns.
 
     Cheap rules first: jobs are ruled out on the job table, and judged postings by key. Only
@@ -88,7 +90,8 @@ def disposition(
         .join(ruled, "job_key")
     )
     pending = open_rows.where("judged IS NULL AND reason IS NULL").select(*POSTING_KEY, "company", "content_hash")
-    read = texts.select(*POSTING_KEY, "title", "location_raw", "description").join(pending, POSTING_KEY)
+    records = texts(pending.select(*POSTING_KEY)) if callable(texts) else texts
+    read = records.select(*POSTING_KEY, "title", "location_raw", "description").join(pending, POSTING_KEY)
     current = content_hash(F.col("company"), F.col("title"), F.col("location_raw"), F.col("description"))
     compared = read.select(
         *POSTING_KEY,

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.inference import BatchFunction, append_scores, require_answers, score_texts, scoring_report
-from ..operators.prefilter import disposition, disposition_counts
+from ..operators.inference import (
+    BatchFunction, append_scores, capped_groups, require_answers, score_texts, scoring_report,
+)
+from ..operators.prefilter import POSTING_KEY, disposition, disposition_counts
 from ..session import cut
 from ..sources.readers import BOARD_SOURCES, replay
 from ..sources.store import State
@@ -31,8 +34,12 @@ def stored_texts(postings: DataFrame) -> DataFrame:
 
 def prefilter_run(state: State, profile) -> DataFrame:
     """Every open posting with its disposition."""
-    texts = stored_texts(state.postings.where("is_open AND job_key IS NOT NULL"))
-    return disposition(state.postings, texts, state.jobs, state.companies, state.scores, profile)
+    return disposition(state.postings, _texts_of(state), state.jobs, state.companies, state.scores, profile)
+
+
+def _texts_of(state: State) -> Callable[[DataFrame], DataFrame]:
+    """Replays the payloads of some postings: keys decide first, then payloads are read."""
+    return lambda keys: stored_texts(state.postings.join(keys, POSTING_KEY, "left_semi"))
 
 
 def run_scoring(
@@ -46,7 +53,8 @@ def run_scoring(
     if scorer is None:
         return ScoringRun(state, decided, None, counts)
     candidates = decided.where("disposition = 'candidate'")
-    texts = stored_texts(state.postings)
+    leads = capped_groups(candidates, limit).select("lead.source", "lead.source_job_id")
+    texts = _texts_of(state)(leads)
     scores, verdicts = score_texts(candidates, texts, scorer, profile, model, now, limit)
     require_answers(verdicts, max_failed_share)
     after = state.with_(scores=append_scores(state.scores, scores))
