@@ -47,7 +47,7 @@ from .mph import PerfectHash, fingerprints
 MAGIC = b"TIDS\x01\x00\x00\x00"
 TAIL = "<8sQQQ"  # magic, bytes of an id, documents, ids
 # Parts whose ids a worker remembers; beyond it the memory starts anew.
-MEMORY = 600_000
+MEMORY = 1_200_000
 MAX_TOKENIZER_BYTES = 64 << 20
 
 
@@ -100,7 +100,8 @@ class Encoder(dict):
 
     def __missing__(self, part: str) -> bytes:
         if self.splits and part.islower() and _WORD.fullmatch(part):
-            ids = self._pack([t.id for t in self.tokenizer.model.tokenize(part.translate(self.spelling))])
+            spelled = part if part.isascii() else part.translate(self.spelling)  # ASCII spells itself
+            ids = self._pack([t.id for t in self.tokenizer.model.tokenize(spelled)])
         else:
             ids = self._pack(self.tokenizer.encode(part, add_special_tokens=False).ids)
         self[part] = ids
