@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import discovery as D
+from ..sources.dimensions import load_watchlist
 from .scoring import as_table
 from .shared import moment, stamp, table
 
@@ -128,11 +129,12 @@ def approve_watched(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_SQL_CANDIDATES}
 SELECT name_key, replace(name_key, ' ', '-') AS proposed_slug, ats IS NOT NULL AS has_board, c_nationkey + 1 AS sightings,
   CASE ats WHEN 'lever' THEN 'https://jobs.lever.co/c' || c_custkey WHEN 'ashby' THEN 'https://jobs.ashbyhq.com/c' || c_custkey
-    WHEN 'greenhouse' THEN 'https://job-boards.greenhouse.io/c' || c_custkey END AS page_url
+    WHEN 'greenhouse' THEN 'https://job-boards.greenhouse.io/c' || c_custkey END AS page_url,
+  row_number() OVER (ORDER BY ats IS NULL, c_nationkey DESC, lower(c_name), name_key) AS position
 FROM m WHERE status = 'pending' AND watched_slug IS NULL""")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     queue = D.review_queue(_customers(spark, sf_dir), _watchlist(spark, sf_dir), F.lit(NOW))
-    return queue.select("name_key", "proposed_slug", "has_board", "sightings", "page_url")
+    return queue.select("name_key", "proposed_slug", "has_board", "sightings", "page_url", "position")
 
 
 @query(f"""WITH {_SQL_CANDIDATES}
@@ -274,3 +276,18 @@ def attach_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         sightings, known.unionByName(holder), D.watched_names(watchlist), D.watched_boards(machines), boards, F.lit(NOW), 7)
     return attached.outcomes.select("source_job_id", "outcome")
 
+
+
+@query("""
+SELECT n_name AS slug, 'Customer #' || lpad(n_nationkey::VARCHAR, 9, '0') AS name,
+  CASE n_regionkey WHEN 0 THEN 'lever' WHEN 1 THEN 'ashby' ELSE 'greenhouse' END AS ats_type,
+  'C' || n_nationkey * 40 AS token, 'discovered' AS tier, n_nationkey % 2 = 0 AS active FROM nation""")
+def watchlist_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The watchlist as it is loaded: checked, with default tier and flag."""
+    entries = _watchlist(spark, sf_dir).select(
+        "slug", "name", F.col("ats_type").alias("ats"), F.col("ats_config")["token"].alias("token"),
+        F.lit(None).cast("string").alias("tier"))
+    nation = table(spark, sf_dir, "nation").select(F.col("n_name").alias("slug"), "n_nationkey")
+    flagged = entries.join(nation, "slug").withColumn("active", F.when(F.col("n_nationkey") % 2 == 1, F.lit(False)))
+    loaded = load_watchlist(flagged.drop("n_nationkey"))
+    return loaded.select("slug", "name", "ats_type", F.col("ats_config")["token"].alias("token"), "tier", "active")

@@ -9,6 +9,7 @@ from ..operators.places import expand_regions, location_match, parse_location
 from ..operators.prefilter import unjudged as unjudged_postings
 from ..functions.places_data import REGION_GROUPS
 from ..schemas import TABLES, struct_of
+from .scoring import as_table
 from .shared import PROFILE, moment, sql_indel_similarity, stamp, table
 
 QUERIES = {}
@@ -296,6 +297,104 @@ def fuzzy_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.assignments.select("source_job_id", "job_key", "action")
 
 
+# Every distinct part is a stored job with one posting, titled by a hash so that only equal
+# titles are alike. A quarter of the postings moves to a new title, a quarter to the title of
+# the first job of its brand and type; parts that repeat another one arrive as new postings.
+_SQL_KNOWN = """
+WITH j AS (SELECT p_brand, p_type, p_name, p_size, min(p_partkey) AS k FROM part GROUP BY ALL),
+m AS (SELECT p_brand, p_type, min(k) AS first FROM j GROUP BY ALL),
+a AS (SELECT j.*, first, CASE WHEN k % 4 = 1 THEN 'rename' WHEN k % 4 = 2 AND k <> first THEN 'merge' ELSE 'keep' END AS action
+      FROM j JOIN m ON m.p_brand = j.p_brand AND m.p_type = j.p_type)"""
+
+
+def _known_openings(spark: SparkSession, sf_dir: str) -> S.Resolution:
+    part = table(spark, sf_dir, "part")
+    kind = ["p_brand", "p_type", "p_name", "p_size"]
+    hashed = F.concat(F.lit("x"), F.substring(F.md5(F.concat_ws("/", "p_name", F.col("p_size").cast("string"))), 1, 20))
+    known = part.groupBy(*kind).agg(F.min("p_partkey").alias("k")).withColumn("title", hashed)
+    identity = [F.col("p_brand").alias("company"), F.col("p_type").alias("region")]
+    jobs = S.with_identity(known.select(
+        F.concat(F.lit("j"), "k").alias("job_key"), "title", *identity, F.timestamp_seconds("k").alias("first_seen"))).select(
+        "job_key", "canonical_key", "company", "title", "region", "first_seen")
+    first = known.groupBy("p_brand", "p_type").agg(F.min_by("title", "k").alias("first_title"))
+    moved = F.when(F.col("k") % 4 == 1, F.concat(F.lit("y"), F.substring(F.md5(F.concat(F.lit("y"), "k")), 1, 20))).when(
+        F.col("k") % 4 == 2, F.col("first_title")).otherwise(F.col("title"))
+    stored = known.join(first, ["p_brand", "p_type"]).select(
+        F.col("k").alias("key"), F.concat(F.lit("j"), "k").alias("job_key"), moved.alias("title"), *identity)
+    fresh = part.join(known.select(F.col("k").alias("p_partkey")), "p_partkey", "left_anti").select(
+        F.col("p_partkey").alias("key"), F.lit(None).cast("string").alias("job_key"), hashed.alias("title"), *identity)
+    postings = stored.unionByName(fresh).select(
+        F.lit("part").alias("source"), F.lpad(F.col("key").cast("string"), 12, "0").alias("source_job_id"), "job_key",
+        F.timestamp_seconds("key").alias("first_seen"), "company", "title", "region")
+    return S.resolve_openings(postings, jobs)
+
+
+@query(_SQL_KNOWN + """
+SELECT lpad(k::VARCHAR, 12, '0') AS source_job_id, 'j' || k AS job_key, action FROM a
+UNION ALL
+SELECT lpad(p_partkey::VARCHAR, 12, '0'), 'j' || k, 'attach' FROM part JOIN j USING (p_brand, p_type, p_name, p_size) WHERE p_partkey <> k""")
+def known_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings against stored jobs: kept, renamed, merged or attached."""
+    return _known_openings(spark, sf_dir).assignments.select("source_job_id", "job_key", "action")
+
+
+@query(_SQL_KNOWN + " SELECT 'j' || k AS kept_from, 'j' || first AS merged_into FROM a WHERE action = 'merge'")
+def opening_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which stored jobs turn out to be another one."""
+    return _known_openings(spark, sf_dir).merges.select("kept_from", "merged_into")
+
+
+@query(_SQL_KNOWN + """
+SELECT 'j' || k AS job_key, sha256(trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) || chr(31)
+  || 'y' || left(md5('y' || k), 20) || chr(31) || p_type) AS canonical_key FROM a WHERE action = 'rename'""")
+def renamed_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored jobs whose posting moved to a title of its own."""
+    return _known_openings(spark, sf_dir).renamed.select("job_key", "canonical_key")
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> S.Merged:
+    """Customers are jobs, and every third takes the next two over; orders are postings and showings."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    plan = customer.where(key % 3 != 0).select(
+        key.cast("string").alias("job_key"), (key - key % 3).cast("string").alias("survivor"))
+    plan = plan.join(customer.select(key.cast("string").alias("survivor")), "survivor", "left_semi").select("job_key", "survivor")
+    job = F.col("o_custkey").cast("string").alias("job_key")
+    dated = orders.groupBy("o_custkey").agg(F.min("o_orderdate").cast("timestamp").alias("posted_at"))
+    jobs = as_table(customer.join(dated, key == F.col("o_custkey"), "left"), "jobs", job_key=key.cast("string"),
+                    posted_at=F.col("posted_at"), first_seen=F.timestamp_seconds("c_custkey"))
+    postings = orders.select(job, F.col("o_orderkey").cast("string").alias("source_job_id"))
+    shown = orders.groupBy(job, F.col("o_orderdate").cast("date").alias("digest_date")).agg(
+        F.lit("priority").alias("section"), F.min("o_orderkey").alias("position"))
+    showings = as_table(shown, "digest_appearances", **{c: F.col(c) for c in ("job_key", "digest_date", "section", "position")})
+    return S.merge_openings(plan, jobs, postings, spark.createDataFrame([], struct_of(TABLES["applications"])), showings)
+
+
+_SQL_MERGED = """
+WITH s AS (SELECT c_custkey AS job, CASE WHEN c_custkey - c_custkey % 3 IN (SELECT c_custkey FROM customer) THEN c_custkey - c_custkey % 3 ELSE c_custkey END AS survivor FROM customer)"""
+
+
+@query(_SQL_MERGED + " SELECT o_orderkey::VARCHAR AS source_job_id, survivor::VARCHAR AS job_key FROM orders JOIN s ON job = o_custkey")
+def merged_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir).postings.select("source_job_id", "job_key")
+
+
+@query(_SQL_MERGED + """,
+d AS (SELECT survivor, o_orderdate::DATE AS day, job <> survivor AS moved, min(o_orderkey) AS position FROM orders JOIN s ON job = o_custkey GROUP BY survivor, o_orderdate::DATE, job)
+SELECT survivor::VARCHAR AS job_key, strftime(day, '%Y-%m-%d') AS digest_date, arg_min(position, (moved, position)) AS position FROM d GROUP BY ALL""")
+def merged_appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Showings of one day become one; the survivor's own goes before those it took over."""
+    return _merged(spark, sf_dir).appearances.select(
+        "job_key", F.date_format("digest_date", "yyyy-MM-dd").alias("digest_date"), F.col("position").cast("bigint").alias("position"))
+
+
+@query(_SQL_MERGED + """
+SELECT survivor::VARCHAR AS job_key, strftime(min(o_orderdate), '%Y-%m-%d') AS posted_at FROM s LEFT JOIN orders ON job = o_custkey GROUP BY survivor""")
+def merged_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving jobs with the earliest day of all they stand for."""
+    return _merged(spark, sf_dir).jobs.select("job_key", F.date_format("posted_at", "yyyy-MM-dd").alias("posted_at"))
+
+
 @query("""
 WITH p AS (SELECT p_partkey AS k, p_brand, p_type, p_size >= 45 AS applied, p_size <= 10 AS scored, o_orderdate AS d
            FROM part JOIN orders ON o_orderkey = p_partkey),

@@ -13,6 +13,7 @@ from ..plans import digest as D
 from ..plans.profile import RepeatRules, SearchProfile
 from ..schemas import TABLES, struct_of
 from ..session import cut
+from ..sources.dimensions import load_labelled
 from ..sources.store import State, empty_state
 from .shared import PROFILE, RULES, moment, sql_content_hash, sql_first_term, sql_words, table, texts
 
@@ -351,13 +352,14 @@ def open_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_SQL_NEWS}, p AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
 SELECT c_custkey::VARCHAR AS slug, c_name AS name, c_mktsegment AS tier, coalesce(n, 0) AS open_postings,
-  strftime(since, '%Y-%m-%d') AS added FROM news LEFT JOIN p ON c_custkey = o_custkey""")
+  strftime(since, '%Y-%m-%d') AS added, row_number() OVER (ORDER BY since DESC, c_custkey::VARCHAR DESC) AS position
+FROM news LEFT JOIN p ON c_custkey = o_custkey""")
 def new_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = _orders_state(spark, sf_dir)
     postings = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").cast("string").alias("company_slug"), (F.col("o_orderstatus") == "O").alias("is_open"))
     return D.new_companies(state.companies, postings, F.lit("1995-03-01"), "Europe/Lisbon").select(
-        "slug", "name", "tier", "open_postings", F.date_format("added", "yyyy-MM-dd").alias("added"))
+        "slug", "name", "tier", "open_postings", F.date_format("added", "yyyy-MM-dd").alias("added"), "position")
 
 
 # --- repeat suppression over events ----------------------------------------------------------
@@ -435,3 +437,73 @@ def digest_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         K.repeat_note(nation, nation > 3).alias("repeat_note"))
 
 
+
+
+@query("""
+SELECT l_orderkey::VARCHAR AS source_job_id, l_partkey::VARCHAR AS content_hash, min(l_linenumber) * 10 + 1 AS score
+FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL
+UNION ALL
+SELECT l_orderkey::VARCHAR, l_partkey::VARCHAR, min(l_linenumber) * 10 + 2 FROM lineitem l
+WHERE NOT EXISTS (SELECT 1 FROM lineitem s WHERE s.l_linenumber <= 2 AND s.l_orderkey = l.l_orderkey AND s.l_partkey = l.l_partkey)
+GROUP BY ALL""")
+def score_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as scores: the first two lines of an order are stored, and all of them arrive again."""
+    def scores(rows: DataFrame, run: int) -> DataFrame:
+        keyed = rows.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("line"))
+        return keyed.select(
+            F.lit("orders").alias("source"), F.col("l_orderkey").cast("string").alias("source_job_id"),
+            F.col("l_partkey").cast("string").alias("content_hash"), F.lit(1).alias("prompt_version"),
+            (F.col("line") * 10 + run).alias("score"))
+
+    items = table(spark, sf_dir, "lineitem")
+    after = I.append_scores(scores(items.where("l_linenumber <= 2"), 1), scores(items, 2))
+    return after.select("source_job_id", "content_hash", "score")
+
+
+@query("""
+SELECT d.doc_id::VARCHAR AS id, d.source AS company, d.lang AS title, quality = 1 AS relevant, length(d.text) AS n_chars
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id""")
+def labelled_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled set as it is loaded, checked."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = docs.join(labels, "doc_id").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("source").alias("company"), F.col("lang").alias("title"),
+        F.lit(None).cast("string").alias("location"), F.lit("remote").alias("work_mode"),
+        (F.col("quality") == 1).alias("relevant"), F.lit(None).cast("string").alias("note"), F.col("text").alias("description"))
+    return load_labelled(rows).select("id", "company", "title", "relevant", F.length("description").alias("n_chars"))
+
+
+def first_words(batch: pd.DataFrame) -> pd.DataFrame:
+    """Stands in for a model: the first word is the company, and some texts cannot be read."""
+    if batch["text"].str.len().mod(7).eq(0).any():
+        raise ValueError("unreadable")
+    words = batch["text"].str.split()
+    return pd.DataFrame({"company": words.str[0], "roles": words.str[1:3].map(list), "careers_url": [None] * len(batch)})
+
+
+@query("""
+WITH w AS (SELECT doc_id, length(text) % 7 = 0 AS bad, list_filter(regexp_split_to_array(text, '[ \t\n]+'), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id::VARCHAR AS source_job_id, CASE WHEN NOT bad THEN w[1] END AS company,
+  CASE WHEN NOT bad THEN array_to_string(w[2:3], '|') END AS roles, CASE WHEN bad THEN 'ValueError: unreadable' END AS error FROM w""")
+def extracted_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction over every document; a text that fails stays as a row with its reason."""
+    prose = texts(spark, sf_dir, "documents").select(
+        F.lit("docs").alias("source"), F.col("doc_id").cast("string").alias("source_job_id"), "text")
+    answers = I.extract_companies(prose, first_words, None, [F.col("source_job_id")])
+    return answers.select("source_job_id", "company", F.array_join("roles", "|").alias("roles"), "error")
+
+
+def by_length(batch: pd.DataFrame) -> pd.DataFrame:
+    """Stands in for a model: a label per length, one of them outside the vocabulary."""
+    size = batch["n_chars"] % 4
+    if (size == 3).any():
+        raise ValueError("no answer")
+    return pd.DataFrame({"tier": size.map({0: "lab", 1: "startup", 2: "elsewhere"}), "because": ["length"] * len(batch)})
+
+
+@query("""
+SELECT doc_id, CASE n_chars % 4 WHEN 0 THEN 'lab' WHEN 1 THEN 'startup' WHEN 2 THEN 'discovered' END AS tier FROM documents""")
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label per document: the default for answers outside the vocabulary, null where the call failed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return I.classify(docs, by_length, ["doc_id"], ["lab", "startup"], "discovered").select("doc_id", "tier")

@@ -308,9 +308,10 @@ def queue_order() -> list[Column]:
 
 
 def review_queue(candidates: DataFrame, watchlist: DataFrame, now: Column) -> DataFrame:
-    """Pending candidates in review order, without those the watchlist has meanwhile."""
+    """Pending candidates with their position in review order, without those the watchlist has meanwhile."""
     current = approve_watched(candidates, watchlist, now)
-    return queue_columns(current.where("status = 'pending'")).orderBy(*queue_order())
+    queued = queue_columns(current.where("status = 'pending'"))
+    return positions(queued.withColumn("_all", F.lit(0)), "_all", queue_order()).drop("_all")
 
 
 def rejected(candidates: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -16,7 +16,12 @@ SEED_BATCH_SECONDS = 60
 
 
 def new_companies(companies: DataFrame, postings: DataFrame, now: Column, zone: str) -> DataFrame:
-    """Companies added in the last week, newest first, with their open postings.
+    """Companies added in the last week with their position, newest first, and their open postings."""
+    return _placed(_added_lately(companies, postings, now, zone), [F.desc("created_at"), F.desc("slug")], None)
+
+
+def _added_lately(companies: DataFrame, postings: DataFrame, now: Column, zone: str) -> DataFrame:
+    """Companies added in the last week.
 
     Those created within a minute of the very first one are the seed list, not news.
     """
@@ -32,7 +37,6 @@ def new_companies(companies: DataFrame, postings: DataFrame, now: Column, zone:
         .join(open_counts, "slug", "left")
         .select("slug", "name", "tier", "ats_type", F.coalesce("open_postings", F.lit(0)).alias("open_postings"),
                 local_day(F.col("created_at"), zone).alias("added"), "created_at")
-        .orderBy(F.desc("created_at"), F.desc("slug"))
     )
 
 
@@ -77,7 +81,7 @@ def daily_digest(state: State, profile, rules, today: Column, now: Column, zone:
         F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("section") == s).alias(s) for s in K.SECTIONS])
     hidden = shown.agg(F.count_if("suppressed").alias("still_open"))
     waiting = state.candidate_companies.agg(F.count_if(F.col("status") == "pending").alias("pending_candidates"))
-    news = new_companies(state.companies, state.postings, now, zone).agg(F.count(F.lit(1)).alias("new_companies"))
+    news = _added_lately(state.companies, state.postings, now, zone).agg(F.count(F.lit(1)).alias("new_companies"))
     summary = totals
     # Four frames of one row each.
     for part in (hidden, waiting, news):
