@@ -17,8 +17,13 @@ def looked_up(entries: dict[str, str]) -> Callable[[Column], Column]:
     by_letter: dict[str, dict[str, str]] = {}
     for key, value in entries.items():
         by_letter.setdefault(key[0], {})[key] = value
-    table = F.from_json(F.lit(json.dumps(by_letter)), "MAP<STRING, MAP<STRING, STRING>>")
-    return lambda key: F.try_element_at(F.try_element_at(table, F.substring(key, 1, 1)), key)
+    spelled = json.dumps(by_letter)
+
+    def value(key: Column) -> Column:
+        table = F.from_json(F.lit(spelled), "MAP<STRING, MAP<STRING, STRING>>")
+        return F.try_element_at(F.try_element_at(table, F.substring(key, 1, 1)), key)
+
+    return value
 
 
 def words(values: Iterable[str]) -> Column:

@@ -1,17 +1,17 @@
 """Text expressions: whitespace, names, hashes, HTML, term search, slugs.
 
-Everything is a native column expression. The two exceptions are entity decoding
-(`html_to_text`) and titles (`normalize_title`, in `titles.py`), which are Arrow UDFs.
+Everything is a native column expression.
 """
 
 from __future__ import annotations
 
-import html
 import re
 from collections.abc import Callable, Sequence
+from html.entities import html5
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
+
+from .lookup import looked_up
 
 # Fixed value: the characters Python counts as whitespace, as a regex class body.
 # Spark's own \s is ASCII only.
@@ -108,10 +108,61 @@ _BLOCK = rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?=[\s/>]){_ATTRIBUTES}>"
 _TAG = rf"</?[a-zA-Z]{_ATTRIBUTES}>"
 
 
-@F.pandas_udf(T.StringType())
-def decode_entities(texts: pd.Series) -> pd.Series:
-    """One layer of HTML character references decoded, by the standard library's table."""
-    return texts.map(html.unescape, na_action="ignore")
+# Named references by the standard library's table. Those without a semicolon also count in
+# front of other letters.
+_NAMED = looked_up(html5)
+_OPEN_NAMES = {name: value for name, value in html5.items() if not name.endswith(";")}
+_OPEN_NAMED = looked_up(_OPEN_NAMES)
+_OPEN_SIZES = sorted({len(name) for name in _OPEN_NAMES}, reverse=True)
+# HTML reads the codes from 128 to 159 as the bytes of Windows-1252.
+_CONTROL_CODES = {str(c): bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0)}
+_CONTROL_CODE = looked_up(_CONTROL_CODES)
+
+
+def _character(code: Column) -> Column:
+    """The text of a numeric reference: U+FFFD for codes that are none, nothing for non-characters."""
+    spelled = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    silent = (
+        code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF)
+        | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+    )
+    return (
+        F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit("\uFFFD"))
+        .when(code.between(0x80, 0x9F), _CONTROL_CODE(code.cast("string")))
+        .when(silent, F.lit("")).otherwise(spelled)
+    )
+
+
+def _numeric(piece: Column) -> Column:
+    """What stands behind an ampersand, if it is a numeric reference, decoded; else null."""
+    form = r"^#(?:0*([0-9]+)|[xX]0*([0-9a-fA-F]+));?"
+    decimal, hexadecimal = (F.regexp_extract(piece, form, k) for k in (1, 2))
+    # Eight digits are beyond every code either way.
+    code = F.when(
+        decimal != "", F.when(F.length(decimal) < 8, decimal).otherwise(F.lit("9999999")).cast("bigint")
+    ).otherwise(F.conv(F.when(F.length(hexadecimal) < 8, hexadecimal).otherwise(F.lit("FFFFFFF")), 16, 10).cast("bigint"))
+    return F.when(F.regexp_like(piece, F.lit(form)), F.concat(let(code, _character), F.regexp_replace(piece, form, "")))
+
+
+def _named(piece: Column) -> Column:
+    """What stands behind an ampersand with a named reference at its start decoded."""
+    def decoded(name: Column) -> Column:
+        rest = F.substring(piece, F.length(name) + 1, F.length(piece))
+        shorter = [
+            F.when(F.length(name) > size, F.concat(
+                _OPEN_NAMED(F.substring(name, 1, size)), F.substring(name, F.lit(size + 1), F.length(name))))
+            for size in _OPEN_SIZES
+        ]
+        return F.concat(F.coalesce(_NAMED(name), *shorter, F.concat(F.lit("&"), name)), rest)
+
+    return let(F.regexp_extract(piece, r"^([^\t\n\f <&#;]{1,32};?)", 1), decoded)
+
+
+def decode_entities(text: Column) -> Column:
+    """One layer of HTML character references decoded. Texts without an ampersand are left alone."""
+    pieces = F.transform(
+        F.split(text, "&", -1), lambda piece, i: F.when(i == 0, piece).otherwise(F.coalesce(_numeric(piece), _named(piece))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
 def without_markup(markup: Column) -> Column:
@@ -145,22 +196,15 @@ def tidy_lines(text: Column) -> Column:
 def html_to_text(markup: Column, escaped: bool = False) -> Column:
     """The readable text of an HTML fragment, blocks as lines and list items as bullets.
 
-    `escaped` is for sources that send HTML escaped once more. Tags, scripts, comments
-    and spacing are native expressions; only entity decoding leaves the JVM.
+    `escaped` is for sources that send HTML escaped once more.
     """
     source = decode_entities(F.coalesce(markup, F.lit(""))) if escaped else markup
     return tidy_lines(decode_entities(without_markup(source)))
 
 
-# A private-use character, so several texts can share one pass through `decode_entities`.
-_JOINT = "\uE000"
-
-
 def html_array_to_text(fragments: Column) -> Column:
-    """`html_to_text` for every element of an array, with one trip through Python per row."""
-    bare = F.transform(fragments, lambda f: F.translate(without_markup(f), _JOINT, ""))
-    decoded = F.split(decode_entities(F.array_join(bare, _JOINT)), _JOINT)
-    return F.transform(decoded, tidy_lines)
+    """`html_to_text` for every element of an array."""
+    return F.transform(fragments, lambda fragment: html_to_text(fragment))
 
 
 # --- term search -------------------------------------------------------------------------

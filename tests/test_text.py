@@ -1,6 +1,9 @@
 """Text functions against goldens and against the standard library."""
 
 import hashlib
+import html
+import random
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +71,20 @@ def test_html_to_text_of_a_whole_page(spark):
     assert one(spark, text.html_to_text(F.col("m")), m=PAGE) == PAGE_TEXT
 
 
+def test_entities_as_the_standard_library_decodes_them(spark):
+    rng = random.Random(2)
+    names = sorted(html5)
+    codes = [0, 9, 13, 31, 65, 127, 128, 129, 159, 160, 8364, 0xD800, 0xFDD0, 0xFFFE, 0x10FFFF, 0x110000, 10**12]
+    parts = ["&", "&&", "&;", "&#;", "&#x;", "& amp;", "&notit;", "&ampamp", "&" + "q" * 40 + ";", "&amp;lt;", "&#0000065;", "a", "<"]
+    for _ in range(400):
+        name, code = rng.choice(names), rng.choice(codes)
+        parts += [f"&{name}", f"&{name.rstrip(';')}x", f"&#{code};", f"&#{code}z", f"&#x{code:x};", f"&#X{code:X}g"]
+    rows = [("".join(rng.choices(parts, k=rng.randint(0, 6))),) for _ in range(2000)] + [(p,) for p in parts]
+    df = spark.createDataFrame(rows, "t STRING").select("t", text.decode_entities(F.col("t")).alias("d"))
+    assert all(r["d"] == html.unescape(r["t"]) for r in df.collect())
+    assert "Python" not in df.select(text.html_to_text(F.col("t"), escaped=True))._jdf.queryExecution().toString()
+
+
 def test_html_array_to_text_keeps_elements_apart(spark):
     df = spark.createDataFrame([(["<ul><li>a&amp;b</li></ul>", "", "<script>x", "<p>c"],)], "f ARRAY<STRING>")
     assert df.select(text.html_array_to_text(F.col("f"))).first()[0] == ["- a&b", "", "", "c"]
