@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import cut
 from .common import held_out, narrow, small, table, texts_of
 
-SAMPLE = 8000  # labelled documents per class that are learned from, in expectation
+SAMPLE = 5000  # labelled documents per class that are learned from, in expectation
 MAX_FEATURES = 4096  # features of the model
 BEGINNINGS = range(3, 9)
 MIN_DOCUMENTS = 5  # toxic documents of the sample that hold a feature of the model
@@ -111,17 +112,20 @@ class Scorer:
         return float(-np.expm1(-doubt)), len(spans), offending
 
 
-def learn(rows: list[tuple[int, int, list[np.ndarray]]], size: int, weigh: tuple[float, float], steps: int = 400) -> tuple[np.ndarray, float, float]:
-    """Weights of `size` features, bias and leak, from (label, sentences, features of each telling sentence).
+def learn(
+    label: np.ndarray, number: np.ndarray, telling: np.ndarray, lengths: np.ndarray, words: np.ndarray,
+    size: int, weigh: tuple[float, float], steps: int = 400,
+) -> tuple[np.ndarray, float, float]:
+    """Weights of `size` features, bias and leak.
 
+    Per document its label, its number of sentences and how many of them are telling; per
+    telling sentence how many features it holds; and those features, one behind the other.
     Minimises the log-loss of noisy-or by Adam over the whole sample; weights stay at or above 0.
     """
-    label = np.array([r[0] for r in rows], np.float64)
-    owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
-    lengths = [len(s) for r in rows for s in r[2]]
-    words = np.concatenate([np.empty(0, np.int64), *(s for r in rows for s in r[2])]).astype(np.int64)
+    count = len(label)
+    owner = np.repeat(np.arange(count), telling)
     at = np.repeat(np.arange(len(lengths)), lengths)
-    quiet = np.array([r[1] - len(r[2]) for r in rows], np.float64)
+    quiet = (number - telling).astype(np.float64)
     worth = np.where(label == 1, weigh[1], weigh[0])
     worth /= worth.sum()
     theta = np.concatenate([np.full(size, 4.0), [-8.0, -4.0]])  # weights, bias, log leak
@@ -130,7 +134,7 @@ def learn(rows: list[tuple[int, int, list[np.ndarray]]], size: int, weigh: tuple
     for step in range(1, steps + 1):
         w, b, leak = theta[:-2], theta[-2], np.exp(theta[-1])
         z = b + np.bincount(at, w[words], minlength=len(lengths))
-        doubt = np.bincount(owner, np.logaddexp(0, z), minlength=len(rows)) + quiet * np.logaddexp(0, b) + leak
+        doubt = np.bincount(owner, np.logaddexp(0, z), minlength=count) + quiet * np.logaddexp(0, b) + leak
         pull = worth * np.where(label == 1, -1 / np.expm1(np.clip(doubt, 1e-9, 500)), 1.0)
         each = pull[owner] * sigmoid(z)
         grad = np.concatenate([
@@ -208,11 +212,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["toxic", "n", "words"])
 
     seen = rows.mapInArrow(look, "toxic int, n long, words array<array<int>>").toArrow()
-    bags = [
-        (toxic, n, [np.array(w, np.int64) for w in words])
-        for toxic, n, words in zip(*(seen.column(c).to_pylist() for c in ("toxic", "n", "words")))
-    ]
-    weights, bias, leak = learn(bags, len(keys), (1 / share[0], 1 / share[1]))
+    documents = seen.column("words").combine_chunks()
+    told = documents.flatten()
+    weights, bias, leak = learn(
+        seen.column("toxic").to_numpy(), seen.column("n").to_numpy(), pc.list_value_length(documents).to_numpy(),
+        pc.list_value_length(told).to_numpy(), told.flatten().to_numpy(), len(keys), (1 / share[0], 1 / share[1]),
+    )
     return Model({key: float(w) for key, w in zip(keys, weights) if w > 0}, bias, leak)
 
 
