@@ -396,23 +396,23 @@ def merged_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT p_partkey AS k, p_brand, p_type, p_size >= 45 AS applied, p_size <= 10 AS scored, o_orderdate AS d
-           FROM part JOIN orders ON o_orderkey = p_partkey),
-g AS (SELECT p_brand, p_type, min(k) AS hub, count(*) AS n FROM p GROUP BY ALL),
-b AS (SELECT p.p_brand, p.p_type, arg_min(k, (NOT applied, NOT scored, d, lpad(k::VARCHAR, 12, '0'))) AS best FROM p GROUP BY ALL)
+WITH p AS (SELECT c_custkey AS k, c_nationkey AS n, c_mktsegment AS m, c_acctbal >= 9000 AS applied, c_acctbal < 1000 AS scored,
+             coalesce(min(o_orderdate), TIMESTAMP '1900-01-01') AS d
+           FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+g AS (SELECT n, m, min(k) AS hub, arg_min(k, (NOT applied, NOT scored, d, lpad(k::VARCHAR, 12, '0'))) AS best FROM p GROUP BY ALL HAVING count(*) > 1)
 SELECT lpad(p.k::VARCHAR, 12, '0') AS job_key,
-  lpad((CASE WHEN p.applied THEN p.k WHEN hub.applied THEN hub.k ELSE b.best END)::VARCHAR, 12, '0') AS survivor
-FROM p JOIN g ON p.p_brand = g.p_brand AND p.p_type = g.p_type AND g.n > 1
-JOIN b ON p.p_brand = b.p_brand AND p.p_type = b.p_type JOIN p hub ON hub.k = g.hub""")
+  lpad((CASE WHEN p.applied THEN p.k WHEN hub.applied THEN hub.k ELSE g.best END)::VARCHAR, 12, '0') AS survivor
+FROM p JOIN g ON p.n = g.n AND p.m = g.m JOIN p hub ON hub.k = g.hub""")
 def merge_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of one brand and type are linked to the first of them and merge."""
-    part, orders = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
-    key = F.lpad(F.col("p_partkey").cast("string"), 12, "0")
-    jobs = part.join(orders, F.col("o_orderkey") == F.col("p_partkey")).select(
-        key.alias("job_key"), "p_brand", "p_type", "p_size", moment("o_orderdate").alias("first_seen"))
-    hubs = jobs.groupBy("p_brand", "p_type").agg(F.min("job_key").alias("merged_into"))
-    pairs = jobs.join(hubs, ["p_brand", "p_type"]).select(F.col("job_key").alias("kept_from"), "merged_into")
-    ranks = S.ranked_jobs(jobs, jobs.where("p_size >= 45"), jobs.where("p_size <= 10"))
+    """Customers of one nation and segment are linked to the first of them and merge."""
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    since = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").cast("timestamp").alias("since"))
+    jobs = customer.join(since, "c_custkey", "left").select(
+        F.lpad(F.col("c_custkey").cast("string"), 12, "0").alias("job_key"), "c_nationkey", "c_mktsegment", "c_acctbal",
+        F.coalesce("since", F.lit("1900-01-01").cast("timestamp")).alias("first_seen"))
+    hubs = jobs.groupBy("c_nationkey", "c_mktsegment").agg(F.min("job_key").alias("merged_into"))
+    pairs = jobs.join(hubs, ["c_nationkey", "c_mktsegment"]).select(F.col("job_key").alias("kept_from"), "merged_into")
+    ranks = S.ranked_jobs(jobs, jobs.where("c_acctbal >= 9000"), jobs.where("c_acctbal < 1000"))
     return S.survivors(pairs, ranks)
 
 

@@ -269,11 +269,14 @@ def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_SQL_LANDED}
-SELECT kind AS source, doc_id::VARCHAR AS company_slug, source AS title, length({sql_strip('text')}) AS n_chars
-FROM d WHERE kind IN ('lever', 'ashby') AND lang = 'en'""")
+SELECT kind AS source, doc_id::VARCHAR AS company_slug, source AS title,
+  length(CASE WHEN kind IN ('lever', 'ashby') THEN {sql_strip('text')}
+              WHEN kind = 'hn' THEN {sql_tidy("source || chr(10) || chr(10) || text")}
+              ELSE {sql_tidy('text')} END) AS n_chars
+FROM d WHERE kind <> 'workday' AND lang NOT IN ('de', 'fr', 'es')""")
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The record again, from the stored payload alone."""
-    stored, _ = readers.read_sources(_landed(spark, sf_dir), only=["lever", "ashby"])
+    """The records of every source again, from the stored payloads alone."""
+    stored, _ = readers.read_sources(_landed(spark, sf_dir))
     again = readers.replay(stored.select("source", "company_slug", "raw"))
     return again.select("source", "company_slug", "title", F.length("description").alias("n_chars"))
 

@@ -31,8 +31,8 @@ def _added_lately(companies: DataFrame, postings: DataFrame, now: Column, zone:
         F.col("company_slug").alias("slug")).agg(F.count(F.lit(1)).alias("open_postings"))
     recent = companies.where(F.col("created_at") >= moment - F.expr(f"INTERVAL {NEW_COMPANY_DAYS} DAYS"))
     return (
-        # `first` is a single row.
-        recent.withColumn("_one", F.lit(1)).join(first, "_one")
+        # `first` is a single row by construction, so the many rows stay where they are.
+        recent.withColumn("_one", F.lit(1)).join(F.broadcast(first), "_one")
         .where(F.col("created_at") > F.col("_first") + F.expr(f"INTERVAL {SEED_BATCH_SECONDS} SECONDS"))
         .join(open_counts, "slug", "left")
         .select("slug", "name", "tier", "ats_type", F.coalesce("open_postings", F.lit(0)).alias("open_postings"),
