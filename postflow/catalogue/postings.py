@@ -98,6 +98,11 @@ _QUIET = "('5-LOW', '4-NOT SPECIFIED')"
 @query(_sql_reconcile(f"o_orderpriority NOT IN {_QUIET}", f"board NOT IN {_QUIET}"))
 def reconcile_failed_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One board fails and one answers with nothing: neither may close anything."""
+    reconciled, _ = _failed_board(spark, sf_dir)
+    return _shown(reconciled)
+
+
+def _failed_board(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders = table(spark, sf_dir, "orders")
     listed = _snapshot(orders)
     snapshot = listed.where(f"company_slug NOT IN {_QUIET}")
@@ -106,7 +111,31 @@ def reconcile_failed_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("company_slug") == "5-LOW", F.lit("failed")).otherwise(F.lit("ok"))
     count = F.when(F.col("company_slug") == "4-NOT SPECIFIED", F.lit(0)).otherwise(F.col("item_count"))
     runs = _runs(listed).withColumn("status", status).withColumn("item_count", count)
-    return _shown(R.reconcile(_state(orders), snapshot.unionByName(leftovers), runs, F.lit(NOW)))
+    return R.reconcile(_state(orders), snapshot.unionByName(leftovers), runs, F.lit(NOW)), runs
+
+
+@query(f"""
+WITH r AS ({_sql_reconcile(f"o_orderpriority NOT IN {_QUIET}", f"board NOT IN {_QUIET}")}),
+c AS (
+  SELECT company_slug, change AS counter, count(*) AS n FROM r GROUP BY ALL
+  UNION ALL SELECT o_orderpriority, 'fetched', CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN count(*) ELSE 0 END
+    FROM orders WHERE o_orderdate >= '1997-01-01' GROUP BY o_orderpriority
+  UNION ALL SELECT '5-LOW', 'failed', 1
+  UNION ALL SELECT '9-OTHER', 'skipped', count(*) FROM orders WHERE o_orderdate >= '1997-01-01' AND o_orderkey % 7 = 0)
+SELECT company_slug, CASE WHEN company_slug IS NOT NULL THEN 'orders' END AS source,
+  {", ".join(f"coalesce(sum(n) FILTER (WHERE counter = '{c}'), 0)::BIGINT AS {name}" for c, name in (
+      ("fetched", "fetched"), ("failed", "failed"), ("new", "new_postings"), ("updated", "updated"), ("closed", "closed"),
+      ("skipped", "skipped"), ("new", "new_jobs"), ("closed", "repointed")))}
+FROM c WHERE counter NOT IN ('seen', 'untouched') GROUP BY GROUPING SETS ((company_slug), ())""")
+def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of a poll in which a board fails and a company claims the postings of others."""
+    reconciled, runs = _failed_board(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders")
+    claims = _snapshot(orders.where("o_orderkey % 7 = 0")).withColumn("company_slug", F.lit("9-OTHER"))
+    refused = R.refused_sightings(_state(orders), _snapshot(orders).unionByName(claims))
+    board = ["company_slug", "source"]
+    new, closed = (reconciled.where(F.col("change") == c).select(*board) for c in ("new", "closed"))
+    return R.board_report(reconciled, runs, refused, new, closed)
 
 
 @query("""
