@@ -42,7 +42,7 @@ from .common import narrow, small, texts_of
 
 MARK = "▁"  # fixed value: what stands for a blank in pieces
 # Parts, stretches and pairs a worker remembers; beyond it a memory starts anew.
-MEMORY = 500_000
+MEMORY = 300_000
 MAX_MODEL_BYTES = 64 << 20
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
 

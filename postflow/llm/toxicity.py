@@ -38,7 +38,7 @@ BEGINNINGS = range(3, 9)
 MIN_DOCUMENTS = 5  # toxic documents of the sample that hold a feature of the model
 MIN_SIGMA = 5.0  # standard errors between a feature's share in toxic and in clean documents
 THRESHOLD = 0.3
-MEMORY = 500_000  # runs that a worker remembers; beyond it the memory starts anew
+MEMORY = 300_000  # runs that a worker remembers; beyond it the memory starts anew
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W_]+")
 
