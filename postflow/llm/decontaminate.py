@@ -7,8 +7,10 @@ So shared q-grams are counted in overlapping bands of diagonals, a band that rea
 bound is a candidate, and banded alignment settles whether the item occurs there within its
 budget of edits. k is `RATE` of n.
 
-An item longer than `PIECE` characters is sought in overlapping pieces, so a part of it is
-found too. An item with fewer than `LEAST` folded characters says nothing inside a longer
+An item longer than `PIECE` characters is sought in overlapping pieces. Every item longer than
+`PART` is also sought in overlapping parts of that length: whatever its length, a passage of
+one and a half parts holds a part whole and is found. A part is reported where no piece of its
+item is. An item with fewer than `LEAST` folded characters says nothing inside a longer
 text; it is only found as a whole text.
 
 Items travel to the documents in blocks of a bounded size, one pass over the documents per
@@ -37,6 +39,7 @@ from .common import narrow, small, table, texts_of
 Q = 10
 RATE = 0.06
 PIECE = 400
+PART = 100
 LEAST = 50
 WINDOW = 32  # q-grams in which a text must show enough hits to be looked at
 STRETCH = 1 << 20  # folded characters that are searched at once
@@ -89,21 +92,30 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
     return ((hashes ^ (hashes >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - _SLOTS)
 
 
+def _piece(item_id: int, codes: np.ndarray) -> tuple[int, np.ndarray, int, int]:
+    count = len(codes) - Q + 1
+    edits = int(RATE * count)
+    return item_id, codes, edits, count - Q * edits
+
+
 class Index:
     """The q-grams of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.pieces: list[tuple[int, np.ndarray, int, int]] = []  # item_id, characters, edits, shared q-grams at least
         self.whole: dict[bytes, list[int]] = {}
+        parts: list[tuple[int, np.ndarray, int, int]] = []
         for item_id, text in items:
             codes, _ = fold(text or "")
             if 0 < len(codes) < LEAST:
                 self.whole.setdefault(codes.tobytes(), []).append(item_id)
             for start in range(0, max(1, len(codes) - PIECE // 2), PIECE // 2) if len(codes) >= LEAST else ():
-                piece = codes[start : start + PIECE]
-                count = len(piece) - Q + 1
-                edits = int(RATE * count)
-                self.pieces.append((item_id, piece, edits, count - Q * edits))
+                self.pieces.append(_piece(item_id, codes[start : start + PIECE]))
+            if len(codes) > PART:
+                last = len(codes) - PART
+                parts += [_piece(item_id, codes[start : start + PART]) for start in [*range(0, last, PART // 2), last]]
+        self.parts_from = len(self.pieces)
+        self.pieces += parts
         hashed = [grams(p[1]) for p in self.pieces]
         flat = np.concatenate([np.empty(0, np.uint32), *hashed])
         order = np.argsort(flat, kind="stable")
@@ -162,7 +174,14 @@ class Index:
                 if hit := align(piece, part, low, high, budget):
                     a, b, edits = hit
                     found.append((number, (item, int(places[start + a]), int(places[start + b - 1]) + 1, edits)))
-        return _best(found)
+        wide = _best([f for f in found if f[0] < self.parts_from])
+        parts = _best([f for f in found if f[0] >= self.parts_from])
+        lone = [m for m in parts if not any(w[0] == m[0] and w[1] < m[2] and m[1] < w[2] for w in wide)]
+        return _sorted(wide + lone)
+
+
+def _sorted(matches: list[Match]) -> list[Match]:
+    return sorted(matches, key=lambda m: (m[1:], str(m[0])))
 
 
 def _best(found: list[tuple[int, Match]]) -> list[Match]:
@@ -173,7 +192,7 @@ def _best(found: list[tuple[int, Match]]) -> list[Match]:
         at = bisect(own, match[1], key=lambda m: m[1])
         if (at == 0 or own[at - 1][2] <= match[1]) and (at == len(own) or match[2] <= own[at][1]):
             own.insert(at, match)
-    return sorted({match for own in kept.values() for match in own}, key=lambda m: (m[1:], str(m[0])))
+    return _sorted(list({match for own in kept.values() for match in own}))
 
 
 def _last_row(piece: np.ndarray, text: np.ndarray, low: int, high: int) -> np.ndarray:
