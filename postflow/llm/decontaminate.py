@@ -13,8 +13,9 @@ one and a half parts holds a part whole and is found. A part is reported where n
 item is. An item with fewer than `LEAST` folded characters says nothing inside a longer
 text; it is only found as a whole text.
 
-Items travel to the documents in blocks of a bounded size, one pass over the documents per
-block, so a large benchmark costs passes and not memory.
+Distinct texts of items travel to the documents in blocks of a bounded size, one pass over the
+documents per block, so a large benchmark costs passes and not memory. A text is sought once,
+however many items have it; their item_ids join its matches in Spark.
 
 Defined results: a null or blank text has no matches; items that are null or fold to nothing
 are not sought; equal items are each reported. A null doc_id and repeated rows give their
@@ -31,6 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -228,25 +230,37 @@ def align(piece: np.ndarray, text: np.ndarray, low: int, high: int, budget: int)
     return max(0, begin), end, int(row[best])
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return items.where(F.col("text").isNotNull())
+
+
 def blocks(benchmark: DataFrame, characters: int = BLOCK_CHARACTERS) -> Iterator[Broadcast]:
-    """Indexes of the items, each over about `characters` of them."""
+    """Items, one of each distinct text, with about `characters` in a block."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = _items(benchmark).groupBy("text").agg(F.min("item_id").alias("item_id"))
     size = items.agg(F.sum(F.char_length("text")).alias("n")).first()["n"] or 0
     number = max(1, -(-size // characters))
     for k in range(number):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == k)
+        own = items.where(F.pmod(F.xxhash64("text"), F.lit(number)) == k)
         yield spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in own.collect()])
 
 
+def text_key(text: str) -> int:
+    """What Spark's xxhash64 gives for the text."""
+    value = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
 @lru_cache(maxsize=1)
 def _index(items: tuple[tuple[int, str], ...]) -> Index:
-    return Index(list(items))
+    """An index whose matches name the key of a text."""
+    return Index([(text_key(text), text) for _, text in items])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, end, edits: every place where an item occurs in a document."""
-    names = ["doc_id", "item_id", "start", "end", "edits"]
+    names = ["doc_id", "key", "start", "end", "edits"]
 
     def seek(items: Broadcast) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +277,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    owners = _items(benchmark).select(F.xxhash64("text").alias("key"), "item_id").distinct()
+    return out.join(owners, "key").select("doc_id", "item_id", "start", "end", "edits")
 
 
 def _holds_item(items: Broadcast) -> Column:
