@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    decontaminate, exact_dedup, language_id, pii, quality, simhash, subwords, token_counts, token_store, toxicity,
-    whitening,
+    decontaminate, exact_dedup, language_id, packing, periodic_runs, pii, quality, simhash, subwords, token_counts,
+    token_store, toxicity, whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,7 @@ _ALL: list[Query] = [
     decontaminate.op1_decontaminate, subwords.op2_sentencepiece, pii.op3_pii, toxicity.op4_toxicity,
     simhash.op5_simhash, token_store.op6_token_store, quality.op7_quality, exact_dedup.op8_exact_dedup,
     token_counts.op9_token_counts, language_id.op10_language_id, whitening.op11_whitening,
+    packing.op12_packing, periodic_runs.op13_periodic_runs,
 ]
 
 QUERIES: dict[str, Query] = {q.__name__: _with_settings(q) for q in _ALL}
