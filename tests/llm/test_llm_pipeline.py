@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from postflow.llm import decontaminate, toxicity
 from test_llm_exact_dedup import brute
-from test_llm_simhash import slow_classes, slow_fingerprint
+from test_llm_near_dedup import slow_classes
 
 import public_tokenizers
 import sentencepiece
@@ -16,8 +16,7 @@ def test_run_against_brute_force(spark):
     scorer = toxicity.Scorer(toxicity.train(docs, marks))
     rows = {k: t for k, t in rows.items() if scorer.score(t)[0] < toxicity.THRESHOLD}
     rows = {k: rows[k] for k, _, _, kept in brute(list(rows.items())) if kept}
-    pairs = [(k, slow_fingerprint(t)) for k, t in rows.items()]
-    rows = {k: rows[k] for (k, _), name in zip(pairs, slow_classes(pairs)) if k == name}
+    rows = {k: rows[k] for k, name in zip(rows, slow_classes(list(rows.items()))) if k == name}
     bench = given("benchmark")
     index = decontaminate.Index(list(zip(bench.item_id.tolist(), bench.text)))
     rows = {k: t for k, t in rows.items() if not index.search(t)}
