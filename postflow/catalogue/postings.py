@@ -38,7 +38,7 @@ def _state(orders: DataFrame) -> DataFrame:
     return orders.where("o_orderdate < '1998-07-01'").select(
         F.col("o_orderpriority").alias("company_slug"), F.col("o_custkey").cast("string").alias("job_key"),
         F.lit("orders").alias("source"), key.alias("source_job_id"),
-        F.concat(F.lit("old/"), key).alias("url"), raw.alias("raw"), F.sha2(raw, 256).alias("raw_hash"),
+        F.concat(F.lit("old/"), key).alias("url"), F.sha2(raw, 256).alias("raw_hash"),
         F.lit("text").alias("content_hash"), moment("o_orderdate").alias("first_seen"),
         moment("o_orderdate").alias("last_seen"), (F.col("o_orderstatus") != "P").alias("is_open"),
     )

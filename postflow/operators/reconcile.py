@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .prefilter import POSTING_KEY
 
 BOARD = ["company_slug", "source"]
+# What a poll compares and stores of a sighting; payloads never meet the stored postings.
+SIGHTING = ["company_slug", "url", "raw_hash", "content_hash"]
+PAYLOAD = [*POSTING_KEY, "raw_hash"]
 
 
 def good_boards(fetch_runs: DataFrame) -> DataFrame:
@@ -55,15 +58,15 @@ def refused_sightings(state: DataFrame, snapshot: DataFrame) -> DataFrame:
 def reconcile(state: DataFrame, snapshot: DataFrame, fetch_runs: DataFrame, now: Column) -> DataFrame:
     """Stored postings after one poll, with a `change` column saying what happened to each.
 
-    `snapshot` has one row per posting key and company with url, raw, raw_hash and
-    content_hash (`latest_sightings`). A board that failed, or answered with nothing,
-    changes nothing. A key another company owns is left to that company.
+    `snapshot` has one row per posting key and company with url, raw_hash and content_hash
+    (`latest_sightings`). A board that failed, or answered with nothing, changes nothing. A
+    key another company owns is left to that company. Only keys, hashes and flags are
+    shuffled; `fresh_payloads` are what is to be stored of the payloads.
     """
     good = good_boards(fetch_runs)
-    listed = owned_sightings(state, snapshot.join(good, BOARD, "left_semi")).select(
-        *POSTING_KEY,
-        *[F.col(c).alias(f"_new_{c}") for c in ("company_slug", "url", "raw", "raw_hash", "content_hash")],
-        F.lit(True).alias("_listed"),
+    narrow = snapshot.select(*POSTING_KEY, *SIGHTING)
+    listed = owned_sightings(state, narrow.join(good, BOARD, "left_semi")).select(
+        *POSTING_KEY, *[F.col(c).alias(f"_new_{c}") for c in SIGHTING], F.lit(True).alias("_listed"),
     )
     # Whether a stored row's board spoke this time. Boards are few next to postings; Spark
     # broadcasts them while they are small and splits a hot board otherwise.
@@ -79,15 +82,13 @@ def reconcile(state: DataFrame, snapshot: DataFrame, fetch_runs: DataFrame, now:
     def take(column: str, when_changed: Column) -> Column:
         return F.when(new | when_changed, F.col(f"_new_{column}")).otherwise(F.col(column)).alias(column)
 
-    carried = [c for c in state.columns if c not in (
-        *POSTING_KEY, "company_slug", "url", "raw", "raw_hash", "content_hash", "first_seen", "last_seen", "is_open")]
+    carried = [c for c in state.columns if c not in (*POSTING_KEY, *SIGHTING, "first_seen", "last_seen", "is_open")]
     moment = now.cast("timestamp")
     return both.select(
         F.when(new, F.col("_new_company_slug")).otherwise(F.col("company_slug")).alias("company_slug"),
         *POSTING_KEY,
         *carried,
-        take("url", raw_changed), take("raw", raw_changed), take("raw_hash", raw_changed),
-        take("content_hash", text_changed),
+        take("url", raw_changed), take("raw_hash", raw_changed), take("content_hash", text_changed),
         F.when(new, moment).otherwise(F.col("first_seen")).alias("first_seen"),
         F.when(new | seen, moment).otherwise(F.col("last_seen")).alias("last_seen"),
         F.when(new | seen, F.lit(True)).when(gone, F.lit(False)).otherwise(F.col("is_open")).alias("is_open"),
@@ -96,6 +97,21 @@ def reconcile(state: DataFrame, snapshot: DataFrame, fetch_runs: DataFrame, now:
     )
 
 
+def fresh_payloads(before: DataFrame, after: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """The payloads that `after` refers to and `before` did not, of the rows of `snapshot`.
+
+    Which ones is told by keys and hashes alone; only their payloads are read.
+    """
+    own = [*PAYLOAD, "company_slug"]
+    wanted = after.select(*own).join(before.select(*own), own, "left_anti")
+    return snapshot.join(wanted, own, "left_semi").groupBy(*PAYLOAD).agg(F.min("raw").alias("raw"))
+
+
+def with_payloads(postings: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Postings with the payload (`raw`) they were last read from."""
+    return postings.join(payloads, PAYLOAD)
+
+
 def good_polls(fetch_runs: DataFrame) -> DataFrame:
     """(board, fetched_at) of the polls that answered with at least one posting."""
     return fetch_runs.where("status = 'ok' AND item_count > 0").select(*BOARD, "fetched_at").distinct()
@@ -133,7 +149,7 @@ def reconcile_polls(state: DataFrame, snapshots: DataFrame, fetch_runs: DataFram
     nothing, neither as sightings nor as claims; a poll older than the state is left out.
     """
     polls = due_polls(state, fetch_runs)
-    snapshots = snapshots.join(polls, [*BOARD, "fetched_at"], "left_semi")
+    snapshots = snapshots.select(*POSTING_KEY, *SIGHTING, "fetched_at").join(polls, [*BOARD, "fetched_at"], "left_semi")
     # A key belongs to the company stored for it, else to the one that listed it first.
     claims = (
         snapshots.select(*POSTING_KEY, "company_slug", "fetched_at", F.lit(1).alias("rank"))
@@ -147,8 +163,7 @@ def reconcile_polls(state: DataFrame, snapshots: DataFrame, fetch_runs: DataFram
     own = snapshots.join(owners, [*POSTING_KEY, "company_slug"], "left_semi")
     batch = collapse_polls(own, polls).select(
         *POSTING_KEY,
-        *[F.col(c).alias(f"_new_{c}") for c in (
-            "company_slug", "url", "raw", "raw_hash", "content_hash", "first_seen", "last_seen", "is_open")],
+        *[F.col(c).alias(f"_new_{c}") for c in (*SIGHTING, "first_seen", "last_seen", "is_open")],
     )
     both = state.withColumn("_stored", F.lit(True)).join(
         polled_boards.withColumn("_good", F.lit(True)), BOARD, "left"
@@ -159,12 +174,11 @@ def reconcile_polls(state: DataFrame, snapshots: DataFrame, fetch_runs: DataFram
     def newest(column: str, condition: Column) -> Column:
         return F.when(condition, F.col(f"_new_{column}")).otherwise(F.col(column)).alias(column)
 
-    carried = [c for c in state.columns if c not in (
-        *POSTING_KEY, "company_slug", "url", "raw", "raw_hash", "content_hash", "first_seen", "last_seen", "is_open")]
+    carried = [c for c in state.columns if c not in (*POSTING_KEY, *SIGHTING, "first_seen", "last_seen", "is_open")]
     return both.select(
         newest("company_slug", new), *POSTING_KEY, *carried,
-        newest("url", raw_changed), newest("raw", raw_changed), newest("raw_hash", raw_changed),
-        newest("content_hash", seen), newest("first_seen", new), newest("last_seen", seen),
+        newest("url", raw_changed), newest("raw_hash", raw_changed), newest("content_hash", seen),
+        newest("first_seen", new), newest("last_seen", seen),
         F.when(seen, F.col("_new_is_open")).when(F.col("_good"), F.lit(False))
         .otherwise(F.col("is_open")).alias("is_open"),
     )

@@ -69,9 +69,10 @@ def run_discovery(
         sightings, candidates, D.watched_names(watchlist, state.companies),
         D.watched_boards(watchlist, state.companies), boards, now, reprobe_after_days)
     columns = struct_of(TABLES["postings"]).fieldNames()
-    remembered = sightings.select(
+    hashed = sightings.withColumn("raw_hash", raw_hash(F.col("raw")))
+    remembered = hashed.select(
         F.lit(None).cast("string").alias("company_slug"), F.lit(None).cast("string").alias("job_key"),
-        *POSTING_KEY, "url", "raw", raw_hash(F.col("raw")).alias("raw_hash"),
+        *POSTING_KEY, "url", "raw_hash",
         content_hash(F.col("name"), F.col("title"), F.col("location_raw"), F.col("description")).alias("content_hash"),
         moment.alias("first_seen"), moment.alias("last_seen"), F.lit(True).alias("is_open"),
     )
@@ -80,6 +81,7 @@ def run_discovery(
     report = D.discovery_report(runs, kept, fresh, answers, capped, attached.outcomes, boarded)
     after = state.with_(
         postings=D.touch_seen(state.postings, kept, now).unionByName(remembered).select(*columns),
+        new_payloads=state.new_payloads.unionByName(hashed.select(*POSTING_KEY, "raw_hash", "raw")),
         candidate_companies=attached.candidates,
         fetch_runs=state.fetch_runs.unionByName(runs.select(*struct_of(TABLES["fetch_runs"]).fieldNames())),
     )

@@ -61,6 +61,7 @@ def run_ingest(
     snapshot = cut(prepare_snapshot(records, companies))
 
     reconciled = cut(R.reconcile(state.postings, snapshot, runs, now))
+    payloads = cut(R.fresh_payloads(state.postings, reconciled, snapshot))
     refused = R.refused_sightings(state.postings, snapshot)
     listed = reconciled.where("change IN ('new', 'seen', 'updated')").select(
         *POSTING_KEY, "company_slug", "job_key", "first_seen", "last_seen")
@@ -106,7 +107,8 @@ def run_ingest(
     fresh = shown.drop("job_key").join(postings.select(*POSTING_KEY, "job_key"), POSTING_KEY).select(*RECORD)
     if not moved.isEmpty():
         # A job that moved is re-derived from the stored payload of its new posting.
-        stored = postings.join(moved, POSTING_KEY, "left_semi").select("job_key", *POSTING_KEY, "raw", "content_hash")
+        held = postings.join(moved, POSTING_KEY, "left_semi").select("job_key", *POSTING_KEY, "raw_hash", "content_hash")
+        stored = R.with_payloads(held, state.all_payloads().unionByName(payloads)).drop("raw_hash")
         adopted = parse_locations(replay(stored, BOARD_SOURCES)).withColumn("last_seen", moment).select(*RECORD)
         fresh = fresh.join(moved, POSTING_KEY, "left_anti").unionByName(adopted)
     refreshed = R.refresh_jobs(pointed, fresh)
@@ -122,6 +124,8 @@ def run_ingest(
     after = state.with_(
         companies=stored(companies, "companies"),
         postings=stored(postings, "postings"),
+        payloads=state.payloads,
+        new_payloads=stored(state.new_payloads.unionByName(payloads), "payloads"),
         jobs=cut(stored(refreshed, "jobs")),
         applications=stored(applications, "applications"),
         digest_appearances=stored(appearances, "digest_appearances"),

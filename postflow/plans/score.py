@@ -11,6 +11,7 @@ from ..operators.inference import (
     BatchFunction, append_scores, capped_groups, require_answers, score_texts, scoring_report,
 )
 from ..operators.prefilter import POSTING_KEY, disposition, disposition_counts
+from ..operators.reconcile import with_payloads
 from ..session import cut
 from ..sources.readers import BOARD_SOURCES, replay
 from ..sources.store import State
@@ -26,9 +27,9 @@ class ScoringRun:
     report: DataFrame
 
 
-def stored_texts(postings: DataFrame) -> DataFrame:
+def stored_texts(postings: DataFrame, payloads: DataFrame) -> DataFrame:
     """The records of stored postings of boards, from their payloads."""
-    return replay(postings.select("source", F.col("source_job_id").alias("stored_id"), "raw"), BOARD_SOURCES).drop(
+    return replay(with_payloads(postings, payloads).select("source", F.col("source_job_id").alias("stored_id"), "raw"), BOARD_SOURCES).drop(
         "source_job_id").withColumnRenamed("stored_id", "source_job_id")
 
 
@@ -39,7 +40,7 @@ def prefilter_run(state: State, profile) -> DataFrame:
 
 def _texts_of(state: State) -> Callable[[DataFrame], DataFrame]:
     """Replays the payloads of some postings: keys decide first, then payloads are read."""
-    return lambda keys: stored_texts(state.postings.join(keys, POSTING_KEY, "left_semi"))
+    return lambda keys: stored_texts(state.postings.join(keys, POSTING_KEY, "left_semi"), state.all_payloads())
 
 
 def run_scoring(

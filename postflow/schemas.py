@@ -66,9 +66,10 @@ TABLES: dict[str, str] = {
     ),
     "postings": (
         "company_slug STRING, job_key STRING, source STRING, source_job_id STRING, url STRING, "
-        "raw STRING, raw_hash STRING, content_hash STRING, first_seen TIMESTAMP, "
-        "last_seen TIMESTAMP, is_open BOOLEAN"
+        "raw_hash STRING, content_hash STRING, first_seen TIMESTAMP, last_seen TIMESTAMP, is_open BOOLEAN"
     ),
+    # What a posting was read from, one row per payload it has had; `raw_hash` says which is its own.
+    "payloads": "source STRING, source_job_id STRING, raw_hash STRING, raw STRING",
     "jobs": (
         "job_key STRING, canonical_key STRING, company_slug STRING, title STRING, "
         "location_raw STRING, region STRING, regions ARRAY<STRING>, work_mode STRING, "

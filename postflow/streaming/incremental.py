@@ -8,11 +8,12 @@ from the same input state and overwrites its own output.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.prefilter import POSTING_KEY
-from ..operators.reconcile import reconcile_polls
+from ..operators.reconcile import PAYLOAD, fresh_payloads, reconcile_polls, with_payloads
 from ..operators.tracking import fold_events
 from ..schemas import TABLES, struct_of
 from ..session import cut
@@ -45,6 +46,64 @@ def _last_batch(spark: SparkSession, path: str) -> int:
     return max((int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")), default=-1)
 
 
+class ChangeTable:
+    """A table as the changes that each batch made, by key, on top of a base.
+
+    A row of a later batch replaces that of an earlier one. A batch that is retried reads
+    what the batches before it left and writes its own changes anew.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, ddl: str, key: list[str]):
+        self.spark, self.path, self.schema, self.key = spark, path, struct_of(ddl), key
+
+    def _folders(self) -> dict[str, list[int]]:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found: dict[str, list[int]] = {"base": [], "batch": []}
+        for status in files.listStatus(hadoop) if files.exists(hadoop) else []:
+            kind, _, number = status.getPath().getName().partition("=")
+            if kind in found and (kind == "batch" or files.exists(status.getPath().suffix("/_SUCCESS"))):
+                found[kind].append(int(number))
+        return found
+
+    def before(self, number: int) -> DataFrame:
+        """The table as the batches before `number` left it."""
+        found = self._folders()
+        base = max((n for n in found["base"] if n < number), default=-1)
+        names = [f"base={base}"] * (base >= 0) + [f"batch={n}" for n in found["batch"] if base < n < number]
+        if not names:
+            return self.spark.createDataFrame([], self.schema)
+        parts = [
+            self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}").withColumn("_batch", F.lit(int(name.split("=")[1])))
+            for name in names
+        ]
+        if len(parts) == 1:
+            return parts[0].drop("_batch")
+        others = [c for c in self.schema.fieldNames() if c not in self.key]
+        every = reduce(DataFrame.unionByName, parts)
+        latest = every.groupBy(*self.key).agg(F.max_by(F.struct(*others), "_batch").alias("_row"))
+        return latest.select(*self.key, "_row.*").select(*self.schema.fieldNames())
+
+    def now(self) -> DataFrame:
+        return self.before(max(self._folders()["batch"], default=-1) + 1)
+
+    def write(self, changes: DataFrame, number: int) -> None:
+        changes.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+
+    def compact(self, number: int) -> None:
+        """Before batch `number`: all that came before it as one base, and the folders that this replaces gone."""
+        last = number - 1
+        if last not in self._folders()["base"]:
+            self.before(number).write.mode("overwrite").parquet(f"{self.path}/base={last}")
+        files = None
+        for kind, numbers in self._folders().items():
+            for n in numbers:
+                if n < last or (kind == "batch" and n == last):
+                    folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}={n}")
+                    files = files or folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+                    files.delete(folder, True)
+
+
 def fold_event_stream(log: DataFrame, root: str) -> dict[str, DataFrame]:
     """Folds a stream of actions and steps; returns applications, events and outcomes.
 
@@ -72,23 +131,31 @@ def fold_event_stream(log: DataFrame, root: str) -> dict[str, DataFrame]:
 
 
 def reconcile_stream(
-    landed: DataFrame, root: str, parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+    landed: DataFrame, root: str, parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]], compact_every: int = 16
 ) -> DataFrame:
-    """Stored postings after every landed response so far.
+    """Stored postings, with their payloads, after every landed response so far.
 
     `parse` turns landed rows into (snapshot rows, fetch runs), both with `fetched_at`. A
     batch may hold several polls of a board. There is no watermark: a posting is missing
-    only from a complete snapshot, never because time passed.
+    only from a complete snapshot, never because time passed. A batch writes the postings
+    that it changed and the payloads that they are the first to refer to.
     """
     spark = landed.sparkSession
+    postings = ChangeTable(spark, f"{root}/postings", TABLES["postings"], POSTING_KEY)
+    payloads = ChangeTable(spark, f"{root}/payloads", TABLES["payloads"], PAYLOAD)
 
     def step(batch: DataFrame, number: int) -> None:
-        snapshots, runs = parse(cut(batch))
-        after = reconcile_polls(_table(spark, "postings", root, number), cut(snapshots), cut(runs))
-        after.select(*struct_of(TABLES["postings"]).fieldNames()).write.mode("overwrite").parquet(f"{root}/postings/batch={number}")
+        if number and number % compact_every == 0:
+            postings.compact(number)
+            payloads.compact(number)
+        snapshots, runs = (cut(df) for df in parse(cut(batch)))
+        before = cut(postings.before(number))
+        after = cut(reconcile_polls(before, snapshots, runs).select(*before.columns))
+        payloads.write(fresh_payloads(before, after, snapshots), number)
+        postings.write(after.exceptAll(before), number)  # narrow rows: payloads are apart
 
     _run_all(landed, root, step)
-    return _table(spark, "postings", root, _last_batch(spark, f"{root}/postings") + 1)
+    return with_payloads(postings.now(), payloads.now())
 
 
 def first_sightings_stream(postings: DataFrame) -> DataFrame:

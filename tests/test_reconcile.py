@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from postflow.operators import reconcile as R
 from postflow.schemas import TABLES
-from postflow.session import cut
+from postflow.session import cut, working_folder
+from postflow.sources import store
 
 T0 = datetime(2026, 1, 1)
 SNAPSHOT = "source STRING, source_job_id STRING, company_slug STRING, url STRING, raw STRING, raw_hash STRING, content_hash STRING, fetched_at TIMESTAMP"
@@ -146,3 +147,52 @@ def test_sync_companies(spark):
     stored = spark.createDataFrame([("a", "A", "lever", {}, "lab", False, at(0)), ("z", "Z", "lever", {}, "lab", True, at(0))], TABLES["companies"])
     got = {r["slug"]: (r["name"], r["active"], r["created_at"]) for r in R.sync_companies(stored, watch, F.lit(at(5))).collect()}
     assert got == {"a": ("A2", True, at(0)), "n": ("N", False, at(5)), "z": ("Z", False, at(0))}
+
+
+def test_payloads_are_not_read(spark):
+    """Neither stored nor listed payloads take part: the scans of both sides do without them."""
+    snapshot, runs = poll(spark, 0, "acme", {"1": "A", "2": "B"})
+    snapshot, state = cut(snapshot), cut(run(empty_state(spark), snapshot, runs, 0).drop("change"))
+    for after in (run(state, snapshot, runs, 1), R.reconcile_polls(state, snapshot, runs)):
+        plan = after._jdf.queryExecution().executedPlan().toString()
+        assert "raw_hash:string" in plan and "raw:string" not in plan
+
+
+def test_untouched_parts_keep_their_files(spark):
+    def files():
+        found = store.read_state(spark, root).postings.select("company_slug", F.input_file_name().alias("file")).distinct()
+        return {r["company_slug"]: r["file"] for r in found.collect()}
+
+    root = working_folder(spark, "store")
+    a, ra = poll(spark, 0, "acme", {"1": "A", "2": "B"})
+    b, rb = poll(spark, 0, "zeta", {"9": "Z"})
+    first = cut(run(empty_state(spark), a.unionByName(b), ra.unionByName(rb), 0).drop("change"))
+    state = store.empty_state(spark).with_(postings=first, new_payloads=R.fresh_payloads(empty_state(spark), first, a.unionByName(b)))
+    store.write_state(spark, root, state)
+    before, stored = files(), store.read_state(spark, root)
+    c, rc = poll(spark, 1, "acme", {"1": "A2"})
+    after = cut(run(stored.postings, c, rc, 1).drop("change"))
+    store.write_state(spark, root, stored.with_(postings=after, new_payloads=R.fresh_payloads(stored.postings, after, c)))
+    assert files()["zeta"] == before["zeta"] and files()["acme"] != before["acme"]
+    now = store.read_state(spark, root)
+    assert view(now.postings) == {
+        "1": (True, at(0), at(1), "u/A2", "c-a2"), "2": (False, at(0), at(0), "u/B", "c-b"), "9": (True, at(0), at(0), "u/Z", "c-z")}
+    assert {r["source_job_id"]: r["raw"] for r in R.with_payloads(now.postings, now.all_payloads()).collect()} == {"1": "A2", "2": "B", "9": "Z"}
+    assert view(store.read_state(spark, root, 1).postings)["1"] == (True, at(0), at(0), "u/A", "c-a")
+    # A board that is gone altogether leaves no part behind.
+    store.write_state(spark, root, now.with_(postings=now.postings.where("company_slug = 'acme'")))
+    assert set(files()) == {"acme"}
+
+
+def test_fresh_payloads_are_those_of_new_and_changed_postings(spark):
+    first, runs = poll(spark, 0, "acme", {"1": "A", "2": "B"})
+    before = cut(run(empty_state(spark), first, runs, 0).drop("change"))
+    second, runs = poll(spark, 1, "acme", {"1": "A", "2": "B2", "3": "C"})
+    refused, others = poll(spark, 1, "zeta", {"1": "Z"})
+    both = second.unionByName(refused)
+    after = cut(run(before, both, runs.unionByName(others), 1).drop("change"))
+    payloads = R.fresh_payloads(empty_state(spark), before, first)
+    fresh = R.fresh_payloads(before, after, both)
+    assert sorted((r["source_job_id"], r["raw"]) for r in fresh.collect()) == [("2", "B2"), ("3", "C")]
+    held = R.with_payloads(after, payloads.unionByName(fresh))
+    assert sorted((r["source_job_id"], r["raw"]) for r in held.collect()) == [("1", "A"), ("2", "B2"), ("3", "C")]

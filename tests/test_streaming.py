@@ -53,7 +53,9 @@ def test_reconcile(spark):
     at = [T0 + timedelta(hours=h) for h in range(3)]
     assert got == {"1": (True, at[0], at[2], "a2"), "2": (False, at[0], at[0], "b"), "3": (True, at[2], at[2], "c")}
     snapshots, runs = parse(polls[0].unionByName(polls[1]).unionByName(polls[2]))
-    batch = R.reconcile_polls(spark.createDataFrame([], TABLES["postings"]), snapshots, runs)
+    nothing = spark.createDataFrame([], TABLES["postings"])
+    batch = R.reconcile_polls(nothing, snapshots, runs)
+    batch = R.with_payloads(batch, R.fresh_payloads(nothing, batch, snapshots))
     assert {r["source_job_id"]: (r["is_open"], r["first_seen"], r["last_seen"], r["raw"]) for r in batch.collect()} == got
 
 
