@@ -11,8 +11,9 @@ components would be wrong. Instead:
    is settled at a time, and its founders then settle every later title like them;
 3. each posting takes its best match among stored jobs and earlier founders.
 
-Titles are only ever compared with founders and stored jobs, never all with all, so a
-thousand near-equal titles of one company cost a thousand comparisons.
+Titles are only ever compared with founders and stored jobs, never all with all, and only
+with those that share a segment of letters (`functions/segments.py`): a thousand near-equal
+titles of one company cost a thousand comparisons, and a thousand unlike ones hardly any.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.segments import entries, entry_keys, probe_keys, probes
 from ..functions.similarity import THRESHOLD, indel_similarity, may_match, sorted_ratio, sorted_tokens
 from ..functions.text import canonical_key, normalize_company, sha256
 from ..functions.titles import normalize_title
@@ -30,37 +32,41 @@ from ..session import cut
 from .prefilter import POSTING_KEY
 
 # Titles of one company and region whose founders are chosen in one task, at first; every
-# round doubles it up to the last value. The result does not depend on either.
-FIRST_BATCH = 64
-LAST_BATCH = 2048
+# round takes `GROWTH` times as many, up to the last value. The result does not depend on them.
+FIRST_BATCH = 256
+GROWTH = 8
+LAST_BATCH = 16_384
 
 
 # --- similar titles ----------------------------------------------------------------------
 
 
+def offered_pairs(titles: DataFrame, targets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(node, other) of the titles and targets that share a segment; no like pair is missing.
+
+    Keys meet keys: how many a title has follows its length, and only targets that hold the
+    same letters at nearly the same place are offered to it.
+    """
+    held = targets.select(F.col("node").alias("other"), F.explode(entry_keys(F.col("block"), F.col("text"), threshold)).alias("key"))
+    asked = titles.select("node", F.explode(probe_keys(F.col("block"), F.col("text"), threshold)).alias("key"))
+    return asked.join(held, "key").where("node <> other").select("node", "other").distinct()
+
+
 def similar_titles(titles: DataFrame, targets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs (node, other, ratio) of a title and a target at or above `threshold`.
 
-    Both sides hold node, block and text (sorted words); only rows of one block and of
-    lengths that could reach the threshold meet, and a native edit distance that gives up at
-    the pair's budget goes before the ratio. Targets are founders or stored jobs, which are
-    unlike each other, so a title meets few that it is like.
+    Both sides hold node, block and text (sorted words); a native edit distance that gives up
+    at the pair's budget goes before the ratio. Targets are founders or stored jobs, which are
+    unlike each other, so a title meets few that it is like. A title of no words is like no
+    other; equal texts are one node.
     """
-    alike = F.lit(100 - threshold) / 100
-    length = F.length("text")
-    shortest = F.ceil(length * (1 - alike) / (1 + alike) - 1e-9).cast("int")
-    longest = F.floor(length * (1 + alike) / (1 - alike) + 1e-9).cast("int")
-    offered = targets.select(
-        F.col("node").alias("other"), "block", F.col("text").alias("other_text"),
-        F.explode(F.sequence(shortest, longest)).alias("length"),
-    )
-    # A title of no words is like no other; equal texts are one node.
-    asked = titles.select("node", "block", "text", length.alias("length"))
-    budget = F.floor((length + F.length("other_text")) * alike + 1e-9).cast("int")
-    near = F.call_function("levenshtein", F.col("text"), F.col("other_text"), budget) >= 0
-    pairs = asked.join(offered, ["block", "length"]).where((F.col("node") != F.col("other")) & near)
+    one = titles.select("node", "block", "text")
+    two = targets.select(F.col("node").alias("other"), F.col("block").alias("other_block"), F.col("text").alias("other_text"))
+    pairs = offered_pairs(titles, targets, threshold).join(one, "node").join(two, "other").where("block = other_block")
+    budget = F.floor((F.length("text") + F.length("other_text")) * F.lit(100 - threshold) / 100 + 1e-9).cast("int")
+    near = pairs.where(F.call_function("levenshtein", F.col("text"), F.col("other_text"), budget) >= 0)
     return (
-        pairs.select("node", "other", sorted_ratio(F.col("text"), F.col("other_text")).alias("ratio"))
+        near.select("node", "other", sorted_ratio(F.col("text"), F.col("other_text")).alias("ratio"))
         .where(F.col("ratio") >= threshold)
     )
 
@@ -69,12 +75,14 @@ def similar_titles(titles: DataFrame, targets: DataFrame, threshold: int = THRES
 
 
 def founders_of(batch: pd.DataFrame, threshold: int) -> pd.DataFrame:
-    """The titles of one bounded batch that found a job, in arrival order."""
-    chosen: list[str] = []
+    """The titles of one bounded batch that found a job, in arrival order, by the same segments."""
+    held: dict[tuple[int, int, str], list[str]] = {}
     rows = []
     for node, text in batch.sort_values("place")[["node", "text"]].itertuples(index=False):
-        if all(indel_similarity(text, earlier) < threshold for earlier in chosen):
-            chosen.append(text)
+        offered = {other for probe in probes(text, threshold) for other in held.get(probe, ())}
+        if all(indel_similarity(text, other) < threshold for other in offered):
+            for entry in entries(text, threshold):
+                held.setdefault(entry, []).append(text)
             rows.append(node)
     return pd.DataFrame({"node": rows})
 
@@ -96,10 +104,12 @@ def job_founders(titles: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         chosen = batch.groupBy("block").applyInPandas(lambda rows: founders_of(rows, threshold), "node string")
         new = cut(batch.select("node", "block", "text").join(chosen, "node", "left_semi"))
         found.append(new)
-        rest = undecided.join(batch.select("node"), "node", "left_anti")
+        rest = cut(undecided.join(batch.select("node"), "node", "left_anti"))
+        if rest.isEmpty():
+            break
         like = similar_titles(rest, new, threshold).select("node").distinct()
         undecided = cut(rest.join(like, "node", "left_anti"))
-        size = min(2 * size, LAST_BATCH)
+        size = min(GROWTH * size, LAST_BATCH)
     if not found:
         return spark.createDataFrame([], "node string, block string, text string")
     return reduce(DataFrame.unionByName, found)

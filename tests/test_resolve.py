@@ -5,6 +5,7 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from postflow.functions import segments
 from postflow.functions.similarity import indel_similarity
 from postflow.operators import resolve as R
 from postflow.schemas import TABLES
@@ -93,6 +94,65 @@ def one_at_a_time(titles):
     return out
 
 
+def edited(rnd, text, edits):
+    letters = list(text)
+    for _ in range(edits):
+        at = rnd.randrange(len(letters) + 1)
+        if letters and rnd.random() < 0.5:
+            letters.pop(min(at, len(letters) - 1))
+        else:
+            letters.insert(at, rnd.choice("abcde "))
+    return "".join(letters)
+
+
+def test_segments_miss_no_like_pair():
+    rnd = random.Random(4)
+    for _ in range(3000):
+        one = "".join(rnd.choice("abcde ") for _ in range(rnd.choice([1, 5, 19, 20, 21, 40, 70, 130])))
+        two = edited(rnd, one, rnd.randrange(1 + len(one) // 8 + 1))
+        for threshold in (90, 95, 99):
+            if one and two and indel_similarity(one, two) >= threshold:
+                assert set(segments.entries(one, threshold)) & set(segments.probes(two, threshold))
+
+
+def test_native_segments_are_the_same(spark):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("abc ") for _ in range(n)) for n in (*range(1, 45), 70, 130)]
+    df = spark.createDataFrame([("b", t) for t in texts], "block string, text string")
+    found = df.select("text", segments.entry_keys(F.col("block"), F.col("text"), 95).alias("e"),
+                      segments.probe_keys(F.col("block"), F.col("text"), 95).alias("p"))
+    every = {e for t in texts for e in (*segments.entries(t, 95), *segments.probes(t, 95))}
+    keys = spark.createDataFrame(list(every), "l int, i int, s string").select("l", "i", "s", F.xxhash64(F.lit("b"), "l", "i", "s").alias("k"))
+    named = {(r["l"], r["i"], r["s"]): r["k"] for r in keys.collect()}
+    for r in found.collect():
+        assert r["e"] == [named[e] for e in segments.entries(r["text"], 95)]
+        assert r["p"] == [named[e] for e in segments.probes(r["text"], 95)]
+
+
+def unlike(rnd, n):
+    return [" ".join(sorted("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(4))) for _ in range(n)]
+
+
+def test_unlike_founders_are_not_offered(spark):
+    rnd = random.Random(6)
+    wanted = unlike(rnd, 50)
+
+    def frame(texts, mark):
+        return spark.createDataFrame([(f"{mark}{i}", "acme", t) for i, t in enumerate(texts)], "node string, block string, text string")
+
+    titles = frame([edited(rnd, t, 1) for t in wanted], "t")
+    few = R.offered_pairs(titles, frame(wanted + unlike(rnd, 100), "f")).count()
+    many = R.offered_pairs(titles, frame(wanted + unlike(rnd, 10_000), "f")).count()
+    assert 50 <= few <= many <= 60
+
+
+def test_a_company_of_many_unlike_titles(spark):
+    texts = unlike(random.Random(7), 50_000)
+    titles = spark.createDataFrame(
+        [(f"n{i}", "acme", t, i) for i, t in enumerate(texts)], "node string, block string, text string, at long")
+    assert R.job_founders(titles).count() == len(texts)
+
+
 def test_resolution_equals_the_sequential_rule(spark):
     titles = random_titles(7, 60)
     rows = [("gh", f"{i:03}", None, at(i), "Acme", t, "us") for i, t in enumerate(titles)]

@@ -180,6 +180,24 @@ def test_similarity(spark):
     assert one(spark, ratio, a="", b="") == 100
 
 
+def test_native_similarity_is_exact(spark):
+    """Texts of one word of bits and of several, with letters beyond the basic plane."""
+    rnd, rows = random.Random(1), []
+    for _ in range(300):
+        a = [rnd.choice("ab c01") for _ in range(rnd.choice([0, 1, 5, 40, 61, 62, 63, 124, 125, 200]))]
+        b = list(a)
+        for _ in range(rnd.randrange(12)):
+            if b and rnd.random() < 0.5:
+                b.pop(rnd.randrange(len(b)))
+            else:
+                b.insert(rnd.randrange(len(b) + 1), rnd.choice("abcé🙂"))
+        rows.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("ratio", similarity.sorted_ratio(F.col("a"), F.col("b")))
+    assert "Arrow" not in df._jdf.queryExecution().executedPlan().toString()
+    for r in df.collect():
+        assert abs(r["ratio"] - similarity.indel_similarity(r["a"], r["b"])) < 1e-9
+
+
 def test_slug_variants_and_board_links(spark):
     assert one(spark, text.slug_variants(F.col("n")), n="Liquid AI") == [
         "liquidai", "liquidaiai", "liquidai-ai", "liquid-ai", "liquid-aiai", "liquid-ai-ai", "liquid"]
