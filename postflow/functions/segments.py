@@ -18,6 +18,8 @@ from math import floor
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
+
 _SLACK = 1e-9
 
 
@@ -91,16 +93,21 @@ def _key(block: Column, length: Column, segment: Column, letters: Column) -> Col
     return F.xxhash64(block, length, segment, letters)
 
 
+def _cut(segment: Column, length: Column, parts: Column) -> Column:
+    """(start, size) of a segment."""
+    start, end = _place(segment, length, parts), _place(segment + 1, length, parts)
+    return let(start, lambda at: F.struct(at.alias("start"), (end - at).alias("size")))
+
+
 def entry_keys(block: Column, text: Column, threshold: int) -> Column:
     """An array of hashes: what a text of `block` is held by."""
     length = F.length(text)
-    parts = _parts(length, threshold)
 
-    def entry(i: Column) -> Column:
-        start = _place(i, length, parts)
-        return _key(block, length, i, F.substring(text, start + 1, _place(i + 1, length, parts) - start))
+    def of_parts(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), parts - 1), lambda i: let(
+            _cut(i, length, parts), lambda c: _key(block, length, i, F.substring(text, c["start"] + 1, c["size"]))))
 
-    return F.transform(F.sequence(F.lit(0), parts - 1), entry)
+    return let(_parts(length, threshold), of_parts)
 
 
 def probe_keys(block: Column, text: Column, threshold: int) -> Column:
@@ -108,17 +115,28 @@ def probe_keys(block: Column, text: Column, threshold: int) -> Column:
     asked, alike = F.length(text), _share(threshold)
 
     def of_length(length: Column) -> Column:
-        parts, grown = _parts(length, threshold), asked - length
-        most = _bound((length + asked) * alike)
-
-        def of_segment(i: Column) -> Column:
-            start = _place(i, length, parts)
-            size, behind = _place(i + 1, length, parts) - start, parts - 1 - i
-            low = F.greatest(-i, grown - behind, -F.floor((most - grown) / 2).cast("int"), -start)
-            high = F.least(i, grown + behind, F.floor((most + grown) / 2).cast("int"), asked - size - start)
-            places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-            return F.transform(places, lambda s: _key(block, length, i, F.substring(text, start + s + 1, size)))
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), parts - 1), of_segment))
+        bounds = F.struct(
+            _parts(length, threshold).alias("parts"), (asked - length).alias("grown"),
+            _bound((length + asked) * alike).alias("most"))
+
+        def of_bounds(b: Column) -> Column:
+            least, greatest = -F.floor((b["most"] - b["grown"]) / 2).cast("int"), F.floor((b["most"] + b["grown"]) / 2).cast("int")
+
+            def of_segment(i: Column) -> Column:
+                behind = b["parts"] - 1 - i
+
+                def of_cut(c: Column) -> Column:
+                    low = F.greatest(-i, b["grown"] - behind, least, -c["start"])
+                    high = F.least(i, b["grown"] + behind, greatest, asked - c["size"] - c["start"])
+                    places = F.when(low <= high, F.sequence(low + c["start"] + 1, high + c["start"] + 1))
+                    return F.transform(
+                        F.coalesce(places, F.array().cast("array<int>")),
+                        lambda at: _key(block, length, i, F.substring(text, at, c["size"])))
+
+                return let(_cut(i, length, b["parts"]), of_cut)
+
+            return F.flatten(F.transform(F.sequence(F.lit(0), b["parts"] - 1), of_segment))
+
+        return let(bounds, of_bounds)
 
     return F.flatten(F.transform(_lengths(asked, threshold), of_length))

@@ -7,10 +7,10 @@ longer than a word of the machine take a word at a time and hand the carries on.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
+from .binding import let
+
 THRESHOLD = 95
 # Places per word: a sum of two such numbers and a carry is still a long.
 WORD = 62
@@ -40,11 +40,6 @@ def indel_similarity(a: str, b: str) -> float:
     return 100.0 if total == 0 else 200.0 * _common_subsequence(a, b) / total
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use(value)` with the value computed once, also where `use` folds over an array."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _letters(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
@@ -73,7 +68,7 @@ def _in_one_word(a: Column, letters: Column) -> Column:
     """The common subsequence of a text of up to `WORD` letters and the letters of another, last one first."""
     none = F.lit(0).cast("long")
     bound = F.struct(_masks(a).alias("masks"), _full(F.length(a)).alias("full"))
-    left = _let(bound, lambda s: F.aggregate(
+    left = let(bound, lambda s: F.aggregate(
         letters, s["full"], lambda v, c: _step(v, F.coalesce(F.try_element_at(s["masks"], c), none), s["full"])))
     return F.length(a) - F.bit_count(left)
 
@@ -95,15 +90,15 @@ def _in_words(a: Column, letters: Column) -> Column:
             def row(v: Column, r: Column) -> Column:
                 mask = F.coalesce(F.try_element_at(s["masks"], r["c"]), none)
                 hits = v["left"].bitwiseAND(mask)
-                return _let(v["left"] + hits + r["in"], lambda total: F.struct(
+                return let(v["left"] + hits + r["in"], lambda total: F.struct(
                     total.bitwiseAND(s["full"]).bitwiseOR(v["left"] - hits).alias("left"),
                     F.concat(v["out"], F.array(F.call_function("shiftright", total, F.lit(WORD)))).alias("out")))
 
             start = F.struct(s["full"].alias("left"), F.array().cast("array<bigint>").alias("out"))
-            return _let(F.aggregate(s["rows"], start, row), lambda end: F.struct(
+            return let(F.aggregate(s["rows"], start, row), lambda end: F.struct(
                 (state["matched"] + s["size"] - F.bit_count(end["left"])).alias("matched"), end["out"].alias("carries")))
 
-        return _let(bound, fold)
+        return let(bound, fold)
 
     start = F.struct(F.lit(0).alias("matched"), F.array_repeat(none, F.size(letters)).alias("carries"))
     words = F.sequence(F.lit(0), F.floor((length - 1) / WORD).cast("int"))
@@ -114,7 +109,7 @@ def common_subsequence(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two texts."""
     shorter, longer = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
     bound = F.struct(shorter.alias("a"), F.reverse(_letters(longer)).alias("letters"))
-    return _let(bound, lambda s: F.when(F.length(s["a"]) == 0, F.lit(0))
+    return let(bound, lambda s: F.when(F.length(s["a"]) == 0, F.lit(0))
                 .when(F.length(s["a"]) <= WORD, _in_one_word(s["a"], s["letters"])).otherwise(_in_words(s["a"], s["letters"])))
 
 

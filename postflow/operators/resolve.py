@@ -18,10 +18,12 @@ titles of one company cost a thousand comparisons, and a thousand unlike ones ha
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.segments import entries, entry_keys, probe_keys, probes
@@ -41,15 +43,29 @@ LAST_BATCH = 16_384
 # --- similar titles ----------------------------------------------------------------------
 
 
+def _dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """Dealt out to as many tasks as the session shuffles to: few bytes can be much work, which AQE cannot see."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+@lru_cache(maxsize=4)
+def _title_columns(context: SparkContext, threshold: int) -> tuple[Column, Column, Column]:
+    """What titles are held by, looked up by and compared by: large expressions, built once per context."""
+    block, text = F.col("block"), F.col("text")
+    return entry_keys(block, text, threshold), probe_keys(block, text, threshold), sorted_ratio(text, F.col("other_text"))
+
+
 def offered_pairs(titles: DataFrame, targets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(node, other) of the titles and targets that share a segment; no like pair is missing.
 
     Keys meet keys: how many a title has follows its length, and only targets that hold the
     same letters at nearly the same place are offered to it.
     """
-    held = targets.select(F.col("node").alias("other"), F.explode(entry_keys(F.col("block"), F.col("text"), threshold)).alias("key"))
-    asked = titles.select("node", F.explode(probe_keys(F.col("block"), F.col("text"), threshold)).alias("key"))
-    return asked.join(held, "key").where("node <> other").select("node", "other").distinct()
+    entry, probe, _ = _title_columns(titles.sparkSession.sparkContext, threshold)
+    held = targets.select(F.col("node").alias("other"), F.explode(entry).alias("key"))
+    asked = _dealt(titles.select("node", "block", "text"), "node").select("node", F.explode(probe).alias("key"))
+    shared = asked.join(held, "key").where("node <> other").select("node", "other")
+    return _dealt(shared, "node", "other").dropDuplicates(["node", "other"])
 
 
 def similar_titles(titles: DataFrame, targets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -65,26 +81,41 @@ def similar_titles(titles: DataFrame, targets: DataFrame, threshold: int = THRES
     pairs = offered_pairs(titles, targets, threshold).join(one, "node").join(two, "other").where("block = other_block")
     budget = F.floor((F.length("text") + F.length("other_text")) * F.lit(100 - threshold) / 100 + 1e-9).cast("int")
     near = pairs.where(F.call_function("levenshtein", F.col("text"), F.col("other_text"), budget) >= 0)
-    return (
-        near.select("node", "other", sorted_ratio(F.col("text"), F.col("other_text")).alias("ratio"))
-        .where(F.col("ratio") >= threshold)
-    )
+    ratio = _title_columns(titles.sparkSession.sparkContext, threshold)[2]
+    return near.select("node", "other", ratio.alias("ratio")).where(F.col("ratio") >= threshold)
 
 
 # --- who founds a job --------------------------------------------------------------------
 
 
-def founders_of(batch: pd.DataFrame, threshold: int) -> pd.DataFrame:
-    """The titles of one bounded batch that found a job, in arrival order, by the same segments."""
-    held: dict[tuple[int, int, str], list[str]] = {}
-    rows = []
-    for node, text in batch.sort_values("place")[["node", "text"]].itertuples(index=False):
-        offered = {other for probe in probes(text, threshold) for other in held.get(probe, ())}
-        if all(indel_similarity(text, other) < threshold for other in offered):
-            for entry in entries(text, threshold):
-                held.setdefault(entry, []).append(text)
-            rows.append(node)
-    return pd.DataFrame({"node": rows})
+class _Founders:
+    """The titles of one block that found a job, in arrival order, held by their segments."""
+
+    def __init__(self, threshold: int):
+        self.threshold, self.held = threshold, {}
+
+    def takes(self, text: str) -> bool:
+        offered = {other for probe in probes(text, self.threshold) for other in self.held.get(probe, ())}
+        if any(indel_similarity(text, other) >= self.threshold for other in offered):
+            return False
+        for entry in entries(text, self.threshold):
+            self.held.setdefault(entry, []).append(text)
+        return True
+
+
+def _choose(threshold: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, founders = None, None
+        for batch in batches:
+            chosen = []
+            for node, block, text in zip(*(batch.column(c).to_pylist() for c in ("node", "block", "text"))):
+                if founders is None or block != current:
+                    current, founders = block, _Founders(threshold)
+                if founders.takes(text):
+                    chosen.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(chosen, pa.string())], names=["node"])
+
+    return work
 
 
 def job_founders(titles: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -101,7 +132,9 @@ def job_founders(titles: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     while not undecided.isEmpty():
         # Spark keeps no more than `size` rows per block and task before the shuffle.
         batch = cut(undecided.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size))
-        chosen = batch.groupBy("block").applyInPandas(lambda rows: founders_of(rows, threshold), "node string")
+        # The rows of a block lie in one task one after the other, `size` at most.
+        ordered = _dealt(batch, "block").sortWithinPartitions("block", "place").select("node", "block", "text")
+        chosen = ordered.mapInArrow(_choose(threshold), "node string")
         new = cut(batch.select("node", "block", "text").join(chosen, "node", "left_semi"))
         found.append(new)
         rest = cut(undecided.join(batch.select("node"), "node", "left_anti"))
