@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import discovery as D
 from ..sources.dimensions import load_watchlist
+from ..session import working_folder
+from ..streaming.incremental import write_sightings
 from .scoring import as_table
 from .shared import moment, stamp, table
 
@@ -116,6 +118,16 @@ def watched_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matched.select("name_key", "watched_slug")
 
 
+@query(f"""WITH {_SQL_CANDIDATES},
+u AS (SELECT name_key, slug, 0 AS rank FROM w UNION ALL SELECT replace(lower(slug), '_', ' '), slug, 0 FROM w
+  UNION ALL SELECT name_key, c_name, 1 FROM k)
+SELECT name_key, arg_min(slug, (rank, slug)) AS slug FROM u GROUP BY name_key""")
+def watched_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names watched by the list or by the stored companies, the list first where both have one."""
+    companies = table(spark, sf_dir, "customer").select(F.col("c_name").alias("slug"), F.col("c_name").alias("name"))
+    return D.watched_names(_watchlist(spark, sf_dir), companies)
+
+
 @query(f"""WITH {_SQL_CANDIDATES}
 SELECT name_key, CASE WHEN status = 'pending' AND watched_slug IS NOT NULL THEN 'approved' ELSE status END AS status,
   CASE WHEN status = 'pending' THEN watched_slug END AS slug,
@@ -225,6 +237,18 @@ def sightings_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.new_sightings(docs, seen).select("doc_id")
 
 
+@query("SELECT doc_id, doc_id % 3 AS piece FROM documents")
+def stream_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three listings as a stream, each with all keys of the one before: a key is kept where it comes first."""
+    landed = working_folder(spark, "listings")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("docs").alias("source"), F.col("doc_id").alias("source_job_id"))
+    for piece in range(3):
+        listing = docs.where(F.col("doc_id") % 3 <= piece).withColumn("piece", F.lit(piece).cast("long"))
+        listing.write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(spark.read.parquet(landed).schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    return write_sightings(stream, working_folder(spark, "seen")).select("doc_id", "piece")
+
+
 @query("SELECT doc_id, doc_id IN (SELECT item_id FROM benchmark) AS touched FROM documents")
 def sightings_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = table(spark, sf_dir, "documents").select(

@@ -9,6 +9,9 @@ from ..operators.places import expand_regions, location_match, parse_location
 from ..operators.prefilter import unjudged as unjudged_postings
 from ..functions.places_data import REGION_GROUPS
 from ..schemas import TABLES, struct_of
+from ..session import cut, working_folder
+from ..sources.store import empty_state, read_state, write_state
+from ..streaming.incremental import reconcile_stream
 from .scoring import as_table
 from .shared import PROFILE, moment, sql_indel_similarity, stamp, table
 
@@ -92,6 +95,22 @@ def snapshot_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(R.reconcile(_state(orders), snapshot, _runs(snapshot), F.lit(NOW)))
 
 
+@query(f"SELECT * EXCLUDE (change), CASE WHEN change IN ('new', 'updated') THEN change END AS fetched FROM ({_sql_reconcile('TRUE', 'TRUE')})")
+def stored_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The poll between two versions of the store: parts that differ are rewritten, payloads of new and changed ones added."""
+    orders, root = table(spark, sf_dir, "orders"), working_folder(spark, "store")
+    write_state(spark, root, empty_state(spark).with_(postings=_state(orders)), parts=8)
+    state, snapshot = read_state(spark, root), _snapshot(orders)
+    after = cut(R.reconcile(state.postings, snapshot, _runs(snapshot), F.lit(NOW)))
+    fresh = R.fresh_payloads(state.postings, after, snapshot)
+    write_state(spark, root, state.with_(postings=after.drop("change"), new_payloads=fresh), parts=8)
+    state = read_state(spark, root)
+    fetched = state.payloads.select(*R.PAYLOAD, F.lit(True).alias("_fetched"))
+    rows = state.postings.join(fetched, R.PAYLOAD, "left")
+    kind = F.when(F.col("_fetched") & (F.col("first_seen") == F.lit(NOW).cast("timestamp")), F.lit("new")).when(F.col("_fetched"), F.lit("updated"))
+    return _shown(rows.withColumn("change", kind)).withColumnRenamed("change", "fetched")
+
+
 _QUIET = "('5-LOW', '4-NOT SPECIFIED')"
 
 
@@ -154,7 +173,7 @@ def reconcile_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _polled(R.reconcile_polls(nothing, snapshots, runs))
 
 
-@query("""
+_SQL_FAILED_POLLS = """
 WITH polls AS (SELECT o_custkey AS k, year(o_orderdate) AS yr, min(o_orderpriority) AS board FROM orders GROUP BY ALL),
 good AS (SELECT * FROM polls WHERE (yr + length(board)) % 3 <> 0),
 owner AS (SELECT k, arg_min(board, (yr, board)) AS board FROM good GROUP BY k),
@@ -162,18 +181,45 @@ mine AS (SELECT p.* FROM good p JOIN owner o ON p.k = o.k AND p.board = o.board)
 lastpoll AS (SELECT board, max(yr) AS yr FROM good GROUP BY board)
 SELECT m.k::VARCHAR AS source_job_id, m.board AS company_slug, min(m.yr) AS first_year, max(m.yr) AS last_year,
        max(m.yr) = any_value(l.yr) AS is_open
-FROM mine m JOIN lastpoll l ON m.board = l.board GROUP BY m.k, m.board""")
+FROM mine m JOIN lastpoll l ON m.board = l.board GROUP BY m.k, m.board"""
+
+
+@query(_SQL_FAILED_POLLS)
 def reconcile_failed_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third poll fails and leaves its rows behind, and the early ones come a second time, too late."""
     snapshots, runs = _yearly_polls(spark, sf_dir)
-    fails = (F.year("fetched_at") + F.length("company_slug")) % 3 == 0
-    runs = runs.withColumn("status", F.when(fails, F.lit("failed")).otherwise(F.lit("ok")))
-    early = F.year("fetched_at") <= 1994
+    runs = _with_failures(runs)
+    early = F.year("fetched_at") <= 1996
     nothing = spark.createDataFrame([], struct_of(TABLES["postings"]))
     state = R.reconcile_polls(nothing, snapshots.where(early), runs.where(early))
     return _polled(R.reconcile_polls(state, snapshots, runs))
 
 
+def _with_failures(runs: DataFrame) -> DataFrame:
+    fails = (F.year("fetched_at") + F.length("company_slug")) % 3 == 0
+    return runs.withColumn("status", F.when(fails, F.lit("failed")).otherwise(F.lit("ok")))
+
+
+@query(_SQL_FAILED_POLLS)
+def stream_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same polls as a stream, a file of complete polls at a time, the early ones once more in between.
+
+    State is compacted after every other batch, so later ones read a base and the changes since.
+    """
+    polls = cut(_yearly_polls(spark, sf_dir)[0])
+    landed = working_folder(spark, "polls")
+    year = F.year("fetched_at")
+    for piece in (year <= 1995, year == 1996, year.between(1997, 1998), year <= 1995, year.between(1999, 2000), year > 2000):
+        # One file a batch: a poll must not come in parts.
+        polls.where(piece).coalesce(1).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(polls.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    return _polled(reconcile_stream(stream, working_folder(spark, "stored"), _parsed, compact_every=2))
+
+
+def _parsed(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return landed, _with_failures(_poll_runs(landed))
+
+
 def _yearly_polls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders = table(spark, sf_dir, "orders")
     polled = orders.groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(
@@ -183,9 +229,12 @@ def _yearly_polls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         F.lit("orders").alias("source"), key.alias("source_job_id"), "company_slug", key.alias("url"),
         key.alias("raw"), key.alias("raw_hash"), key.alias("content_hash"),
         F.make_timestamp("year", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("fetched_at"))
-    runs = snapshots.groupBy("company_slug", "source", "fetched_at").agg(
+    return snapshots, _poll_runs(snapshots)
+
+
+def _poll_runs(snapshots: DataFrame) -> DataFrame:
+    return snapshots.groupBy("company_slug", "source", "fetched_at").agg(
         F.count(F.lit(1)).alias("item_count"), F.lit("ok").alias("status"))
-    return snapshots, runs
 
 
 def _polled(after: DataFrame) -> DataFrame:

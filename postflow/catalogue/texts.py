@@ -10,6 +10,7 @@ from ..operators.inference import text_groups
 from ..operators.prefilter import matched_term, strong_term, title_exclusion
 from ..session import cut
 from ..sources import readers
+from ..schemas import TABLES, struct_of
 from .shared import (
     PROFILE, moment, sql_content_hash, sql_first_term, sql_indel_similarity, sql_strip, sql_tidy, sql_words, stamp, table, texts,
 )
@@ -251,7 +252,7 @@ def read_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""
+_SQL_OUTCOMES = f"""
 WITH {_SQL_LANDED},
 r AS (SELECT doc_id::VARCHAR AS company_slug, kind AS source,
       CASE WHEN kind = 'workday' THEN 'No reader for source workday' WHEN lang = 'de' THEN 'HTTP 503'
@@ -261,12 +262,37 @@ r AS (SELECT doc_id::VARCHAR AS company_slug, kind AS source,
              WHEN 'remotive' THEN 'Remotive' ELSE 'Hacker News' END || ' payload: no item list' END AS error
       FROM d)
 SELECT company_slug, source, CASE WHEN error IS NULL THEN 'ok' ELSE 'failed' END AS status,
-       CASE WHEN error IS NULL THEN 1 END AS item_count, error FROM r""")
+       CASE WHEN error IS NULL THEN 1 END AS item_count, error FROM r"""
+
+
+@query(_SQL_OUTCOMES)
 def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, runs = readers.read_sources(_landed(spark, sf_dir))
     return runs.select("company_slug", "source", "status", "item_count", "error")
 
 
+@query(f"SELECT * FROM ({_SQL_OUTCOMES}) WHERE source IN ('lever', 'remotive')")
+def narrowed_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only two of the sources are read."""
+    wanted = ["lever", "remotive"]
+    _, runs = readers.read_sources(_landed(spark, sf_dir).where(F.col("source").isin(wanted)), only=wanted)
+    return runs.select("company_slug", "source", "status", "item_count", "error")
+
+
+@query(f"""SELECT source, status, count(*) * 2 AS runs, count(*) AS later, sum(item_count) * 2 AS items FROM ({_SQL_OUTCOMES})
+GROUP BY source, status""")
+def fetch_run_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of a second poll, a day later, behind those of the first."""
+    landed = _landed(spark, sf_dir)
+    first = readers.read_sources(landed)[1]
+    second = readers.read_sources(landed.withColumn("fetched_at", F.col("fetched_at") + F.expr("INTERVAL 1 DAY")))[1]
+    after = readers.append_runs(readers.append_runs(spark.createDataFrame([], struct_of(TABLES["fetch_runs"])), first), second)
+    first_day = after.agg(F.min("started_at").alias("first_day"))
+    return after.crossJoin(F.broadcast(first_day)).groupBy("source", "status").agg(  # one row
+        F.count(F.lit(1)).alias("runs"), F.count_if(F.col("started_at") > F.col("first_day")).alias("later"),
+        F.sum("item_count").alias("items"))
+
+
 @query(f"""
 WITH {_SQL_LANDED}
 SELECT kind AS source, doc_id::VARCHAR AS company_slug, source AS title,

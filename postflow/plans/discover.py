@@ -12,7 +12,7 @@ from ..operators.inference import BatchFunction, extract_companies
 from ..operators.prefilter import POSTING_KEY, strong_term, title_exclusion
 from ..schemas import TABLES, struct_of
 from ..session import cut
-from ..sources.readers import DISCOVERY_SOURCES, read_sources
+from ..sources.readers import DISCOVERY_SOURCES, append_runs, read_sources
 from ..sources.store import State
 
 
@@ -83,7 +83,7 @@ def run_discovery(
         postings=D.touch_seen(state.postings, kept, now).unionByName(remembered).select(*columns),
         new_payloads=state.new_payloads.unionByName(hashed.select(*POSTING_KEY, "raw_hash", "raw")),
         candidate_companies=attached.candidates,
-        fetch_runs=state.fetch_runs.unionByName(runs.select(*struct_of(TABLES["fetch_runs"]).fieldNames())),
+        fetch_runs=append_runs(state.fetch_runs, runs),
     )
     return DiscoveryRun(after, attached.outcomes, report)
 

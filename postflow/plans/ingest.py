@@ -13,7 +13,7 @@ from ..operators.prefilter import POSTING_KEY
 from ..operators.resolve import merge_openings, resolve_openings, retaken_keys, survivors, ranked_jobs
 from ..schemas import TABLES, struct_of
 from ..session import cut
-from ..sources.readers import BOARD_SOURCES, read_sources, replay
+from ..sources.readers import BOARD_SOURCES, append_runs, read_sources, replay
 from ..sources.store import State
 
 
@@ -129,6 +129,6 @@ def run_ingest(
         jobs=cut(stored(refreshed, "jobs")),
         applications=stored(applications, "applications"),
         digest_appearances=stored(appearances, "digest_appearances"),
-        fetch_runs=state.fetch_runs.unionByName(stored(runs, "fetch_runs")),
+        fetch_runs=append_runs(state.fetch_runs, runs),
     )
     return IngestRun(after, report)

@@ -304,6 +304,11 @@ def board_runs(boards: DataFrame) -> DataFrame:
     )
 
 
+def append_runs(stored: DataFrame, runs: DataFrame) -> DataFrame:
+    """The stored fetch runs and those of a poll; nothing stored is read again or changed."""
+    return stored.unionByName(runs.select(*[F.col(f.name).cast(f.dataType) for f in stored.schema.fields]))
+
+
 def current_thread(search: DataFrame) -> DataFrame:
     """The newest hiring thread of each landed search response: (fetched_at, thread_id)."""
     hits = F.from_json("body", "hits ARRAY<STRUCT<objectID: STRING, title: STRING>>")["hits"]
@@ -349,7 +354,7 @@ def read_sources(landed: DataFrame, only: list[str] | None = None) -> tuple[Data
 
 
 __all__ = [
-    "ALL_SOURCES", "BOARD_SOURCES", "DISCOVERY_SOURCES", "board_postings", "board_runs",
+    "ALL_SOURCES", "BOARD_SOURCES", "DISCOVERY_SOURCES", "append_runs", "board_postings", "board_runs",
     "current_thread", "parse_boards", "project_raw", "read_source",
     "read_sources", "replay", "thread_boards",
 ]

@@ -158,8 +158,18 @@ def reconcile_stream(
     return with_payloads(postings.now(), payloads.now())
 
 
+# Keys that are remembered for good lie on disk, not on the heap, and are uploaded as changes.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 def first_sightings_stream(postings: DataFrame) -> DataFrame:
     """The stream without keys seen before. Memory is for good, so the state has no time limit."""
+    for name, value in STATE_STORE.items():
+        postings.sparkSession.conf.set(name, value)
     return postings.dropDuplicates(POSTING_KEY)
 
 

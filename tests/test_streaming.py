@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -48,7 +49,10 @@ def test_reconcile(spark):
         return snapshot, runs
 
     polls = [poll(0, ("1", "a"), ("2", "b")), poll(1, ("1", "a")), poll(2, ("1", "a2"), ("3", "c"))]
-    after = S.reconcile_stream(in_pieces(spark, polls, working_folder(spark, "landed")), working_folder(spark, "state"), parse)
+    state = working_folder(spark, "state")
+    after = S.reconcile_stream(in_pieces(spark, polls, working_folder(spark, "landed")), state, parse, compact_every=2)
+    for table in ("postings", "payloads"):  # what the base replaces is gone
+        assert sorted(f.name for f in Path(state.removeprefix("file:"), table).iterdir()) == ["base=1", "batch=2"]
     got = {r["source_job_id"]: (r["is_open"], r["first_seen"], r["last_seen"], r["raw"]) for r in after.collect()}
     at = [T0 + timedelta(hours=h) for h in range(3)]
     assert got == {"1": (True, at[0], at[2], "a2"), "2": (False, at[0], at[0], "b"), "3": (True, at[2], at[2], "c")}
