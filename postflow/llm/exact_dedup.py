@@ -91,14 +91,17 @@ def keyed_state(landed: DataFrame, folder: str, files_per_batch: int | None = No
 
 def _differing(texts: DataFrame, reps: DataFrame) -> DataFrame:
     """The rows (doc_id, digest) whose full text is not that of their digest's first row."""
-    hit = reps.where(F.col("rows") > 1).select(F.col("digest").alias("_digest"), "rep_id")
+    hit = cut(reps.where(F.col("rows") > 1).select(F.col("digest").alias("_digest"), "rep_id"))
+    # Only texts that another row may equal are compared: few digests are sent to the texts.
+    held = cut(texts.join(hit, texts.digest == hit["_digest"], "left_semi"))
+    # A first row that is repeated gives one text, not one per repeat.
     first = cut(
-        texts.join(hit, texts.doc_id.eqNullSafe(hit.rep_id) & (texts.digest == hit["_digest"]))
-        .select("_digest", F.col("norm").alias("_first"))
+        held.join(hit, held.doc_id.eqNullSafe(hit.rep_id) & (held.digest == hit["_digest"]))
+        .select("_digest", F.col("norm").alias("_first")).distinct()
     )
     # Written before it is made distinct: on its own, Spark can split the join of a hot digest.
     found = cut(
-        texts.join(first, texts.digest == first["_digest"]).where(F.col("norm") != F.col("_first")).select("doc_id", "digest")
+        held.join(first, held.digest == first["_digest"]).where(F.col("norm") != F.col("_first")).select("doc_id", "digest")
     )
     return found.distinct()
 

@@ -70,3 +70,10 @@ def test_query_against_brute_force(spark):
     docs = given("documents")
     expected = brute(list(zip(docs.doc_id.tolist(), docs.text.tolist())))
     assert rows_of(QUERIES["op8_exact_dedup"](spark, SF), *COLUMNS) == expected
+
+
+def test_a_row_repeated_very_often(spark):
+    """The first text of a digest is held once, so repeats are compared once each."""
+    docs = spark.range(40_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text again").alias("text"))
+    found = E.deduplicate(docs).groupBy("keep_id", "group_size", "kept").count().collect()
+    assert [tuple(r) for r in found] == [(7, 40_000, True, 40_000)]
