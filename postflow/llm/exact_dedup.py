@@ -92,8 +92,9 @@ def keyed_state(landed: DataFrame, folder: str, files_per_batch: int | None = No
 def _differing(texts: DataFrame, reps: DataFrame) -> DataFrame:
     """The rows (doc_id, digest) whose full text is not that of their digest's first row."""
     hit = cut(reps.where(F.col("rows") > 1).select(F.col("digest").alias("_digest"), "rep_id"))
-    # Only texts that another row may equal are compared: few digests are sent to the texts.
-    held = cut(texts.join(hit, texts.digest == hit["_digest"], "left_semi"))
+    # Only texts that another row may equal are compared. Texts and digests meet by a shuffle at
+    # every size: how many digests repeat grows with the documents.
+    held = cut(texts.join(hit.hint("merge"), texts.digest == hit["_digest"], "left_semi"))
     # A first row that is repeated gives one text, not one per repeat.
     first = cut(
         held.join(hit, held.doc_id.eqNullSafe(hit.rep_id) & (held.digest == hit["_digest"]))
