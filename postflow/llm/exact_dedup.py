@@ -1,11 +1,13 @@
 """Exact deduplication through the disk-backed state of a streaming query.
 
 Digests land as a narrow table. A streaming aggregation over it keeps, per digest and
-without expiry, a stable identifier, the locator of its content and a count; the state
-lies in RocksDB, and its checkpoint in the shared folder, so a lost executor costs a
-reload. A digest that is already known is a hit, and a hit is only believed after the
-full bytes of both texts were compared. Texts that differ under one digest go into
-another round with a digest of their own round.
+without expiry, a stable identifier, the locator of its content, a count and the row that
+stays; the state lies in RocksDB, and its checkpoint in the shared folder, so a lost
+executor costs a reload. `keep_id` and `group_size` are read from that state. A digest that
+is already known is a hit, and a hit is only believed after the full bytes of both texts
+were compared: the first one is found by its identifier and locator. Texts that differ
+under one digest go into another round with a digest of their own round; the count and the
+row that stays of a digest they leave are taken from its remaining rows instead.
 
 Defined results: a null text is an empty text; empty texts are equal to each other. A
 null doc_id is a value like any other and comes last. A repeated row (same doc_id, equal
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -55,11 +58,21 @@ def _on_disk(spark: SparkSession):
                 spark.conf.set(key, value)
 
 
+def _best() -> Column:
+    """The row that stays of a group: the most code points, then the smallest doc_id, null last."""
+    return F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("back"))).alias("best")
+
+
+def _kept(best: Column) -> Column:
+    return F.bitwise_not(best["back"])
+
+
 def keyed_state(landed: DataFrame, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """Runs the stream over the landed digests in `folder` and returns (digest, rep_id, locator, rows).
+    """Runs the stream over the landed digests in `folder` and returns (digest, rep_id, locator, rows, keep_id).
 
-    `arrival` orders landings: a digest keeps the identifier of its first one. Running again
-    over a folder that has grown goes on from the stored state.
+    `arrival` orders landings: a digest keeps the identifier of its first one, while `keep_id`
+    follows the longest text. Running again over a folder that has grown goes on from the
+    stored state.
     """
     spark = landed.sparkSession
     seen = f"{folder}/seen"
@@ -71,7 +84,7 @@ def keyed_state(landed: DataFrame, folder: str, files_per_batch: int | None = No
     if files_per_batch:
         source = source.option("maxFilesPerTrigger", files_per_batch)
     state = source.parquet(f"{folder}/landed").groupBy("digest").agg(
-        F.min(F.struct("arrival", "doc_id", "locator")).alias("first"), F.count(F.lit(1)).alias("rows")
+        F.min(F.struct("arrival", "doc_id", "locator")).alias("first"), F.count(F.lit(1)).alias("rows"), _best()
     )
     with _on_disk(spark):
         query = (
@@ -80,24 +93,26 @@ def keyed_state(landed: DataFrame, folder: str, files_per_batch: int | None = No
         )
         query.awaitTermination()
     changes = spark.read.schema(
-        "digest string, first struct<arrival:long,doc_id:long,locator:string>, rows long, batch long"
+        "digest string, first struct<arrival:long,doc_id:long,locator:string>, rows long, "
+        "best struct<n_points:long,back:long>, batch long"
     ).parquet(seen)
     # Every change of a digest was written; the newest holds its whole count.
-    return changes.groupBy("digest").agg(F.max(F.struct("batch", "first", "rows")).alias("last")).select(
+    return changes.groupBy("digest").agg(F.max(F.struct("batch", "first", "rows", "best")).alias("last")).select(
         "digest", F.col("last.first.doc_id").alias("rep_id"), F.col("last.first.locator").alias("locator"),
-        F.col("last.rows").alias("rows"),
+        F.col("last.rows").alias("rows"), _kept(F.col("last.best")).alias("keep_id"),
     )
 
 
 def _differing(texts: DataFrame, reps: DataFrame) -> DataFrame:
     """The rows (doc_id, digest) whose full text is not that of their digest's first row."""
-    hit = cut(reps.where(F.col("rows") > 1).select(F.col("digest").alias("_digest"), "rep_id"))
+    hit = cut(reps.where(F.col("rows") > 1).select(F.col("digest").alias("_digest"), "rep_id", F.col("locator").alias("_locator")))
     # Only texts that another row may equal are compared. Texts and digests meet by a shuffle at
     # every size: how many digests repeat grows with the documents.
     held = cut(texts.join(hit.hint("merge"), texts.digest == hit["_digest"], "left_semi"))
     # A first row that is repeated gives one text, not one per repeat.
+    place = held.doc_id.eqNullSafe(hit.rep_id) & (held.locator == hit["_locator"])
     first = cut(
-        held.join(hit, held.doc_id.eqNullSafe(hit.rep_id) & (held.digest == hit["_digest"]))
+        held.join(hit, place & (held.digest == hit["_digest"]))
         .select("_digest", F.col("norm").alias("_first")).distinct()
     )
     # Written before it is made distinct: on its own, Spark can split the join of a hot digest.
@@ -107,9 +122,10 @@ def _differing(texts: DataFrame, reps: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def classes(docs: DataFrame, digest: Digest = sha256_digest, files_per_batch: int | None = None) -> DataFrame:
-    """doc_id, n_points, class: equal texts, and only they, share a class."""
-    spark, parts, turn = docs.sparkSession, [], 0
+def _rounds(docs: DataFrame, digest: Digest, files_per_batch: int | None) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, n_points, class) and the classes (class, keep_id, group_size): equal texts, and only they, share a class."""
+    spark, turn = docs.sparkSession, 0
+    rows_of, kept_of = [], []
     pending = narrow(docs).select(
         "doc_id", normalised().alias("norm"), F.char_length(content()).cast("long").alias("n_points"),
         F.input_file_name().alias("locator"),
@@ -120,19 +136,25 @@ def classes(docs: DataFrame, digest: Digest = sha256_digest, files_per_batch: in
         texts.drop("norm").withColumn("arrival", F.lit(0).cast("long")).write.parquet(f"{folder}/landed")
         landed = spark.read.parquet(f"{folder}/landed")
         reps = cut(keyed_state(landed, folder, files_per_batch))
-        differing = _differing(texts.select("doc_id", "digest", "norm"), reps)
-        rows = landed.withColumn("class", F.concat(F.lit(f"{turn}:"), "digest"))
+        differing = _differing(texts.select("doc_id", "digest", "norm", "locator"), reps)
+        name = F.concat(F.lit(f"{turn}:"), "digest").alias("class")
+        state = reps.select("digest", "keep_id", F.col("rows").alias("group_size"))
         if differing.isEmpty():
-            parts.append(rows.select("doc_id", "n_points", "class"))
+            rows_of.append(landed.select("doc_id", "n_points", name))
+            kept_of.append(state.select(name, "keep_id", "group_size"))
             break
         on = lambda x: x.doc_id.eqNullSafe(differing.doc_id) & (x.digest == differing.digest)
-        parts.append(rows.join(differing, on(rows), "left_anti").select("doc_id", "n_points", "class"))
+        remain = cut(landed.join(differing, on(landed), "left_anti").select("doc_id", "n_points", "digest"))
+        parted = cut(differing.select("digest").distinct())
+        counted = (
+            remain.join(parted, "digest", "left_semi").groupBy("digest").agg(_best(), F.count(F.lit(1)).alias("group_size"))
+            .select("digest", _kept(F.col("best")).alias("keep_id"), "group_size")
+        )
+        rows_of.append(remain.select("doc_id", "n_points", name))
+        kept_of.append(state.join(parted, "digest", "left_anti").unionByName(counted).select(name, "keep_id", "group_size"))
         pending = cut(texts.join(differing, on(texts), "left_semi").drop("digest"))
         turn += 1
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, rows_of), reduce(DataFrame.unionByName, kept_of)
 
 
 def deduplicate(docs: DataFrame, digest: Digest = sha256_digest, files_per_batch: int | None = None) -> DataFrame:
@@ -140,14 +162,8 @@ def deduplicate(docs: DataFrame, digest: Digest = sha256_digest, files_per_batch
 
     Of equal texts the one with the most code points stays, then the smallest doc_id.
     """
-    rows = cut(classes(docs, digest, files_per_batch))
-    best = cut(
-        rows.groupBy("class").agg(
-            F.max(F.struct("n_points", (-F.col("doc_id")).alias("back"))).alias("best"),
-            F.count(F.lit(1)).alias("group_size"),
-        ).select("class", (-F.col("best.back")).alias("keep_id"), "group_size")
-    )
-    return rows.join(best, "class").select(
+    rows, kept = _rounds(docs, digest, files_per_batch)
+    return rows.join(kept, "class").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "class"
     )
 

@@ -51,11 +51,11 @@ def test_state_goes_on_where_it_stopped(spark, tmp_path):
         return spark.read.parquet(f"{tmp_path}/landed")
 
     def state(landed):
-        return rows_of(E.keyed_state(landed, str(tmp_path)), "digest", "rep_id", "rows")
+        return rows_of(E.keyed_state(landed, str(tmp_path)), "digest", "rep_id", "rows", "keep_id")
 
-    assert state(land([(7, "a", "", 1), (8, "b", "", 1)], 0)) == [("a", 7, 1), ("b", 8, 1)]
-    # A smaller doc_id that comes later does not take the identifier over.
-    assert state(land([(1, "a", "", 1), (2, "c", "", 1)], 1)) == [("a", 7, 2), ("b", 8, 1), ("c", 2, 1)]
+    assert state(land([(7, "a", "", 1), (8, "b", "", 1)], 0)) == [("a", 7, 1, 7), ("b", 8, 1, 8)]
+    # A smaller doc_id that comes later does not take the identifier over, but it is the one that stays; a longer text stays before it.
+    assert state(land([(1, "a", "", 1), (2, "c", "", 1), (9, "b", "", 2)], 1)) == [("a", 7, 2, 1), ("b", 8, 2, 9), ("c", 2, 1, 2)]
 
 
 def test_one_row_of_each_group_stays(spark):
