@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import ranking as K, tracking as T
-from ..session import working_folder
+from ..session import cut, working_folder
 from ..streaming.incremental import fold_event_stream
 from .scoring import _SQL_BEST, _orders_state
 from .shared import stamp, table
@@ -76,19 +76,40 @@ def event_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.fold_events(_as_log(table(spark, sf_dir, "events"))).outcomes
 
 
-@query(f"""WITH {_SQL_FOLD}
-SELECT job AS job_key, status, strftime(applied_at, '%Y-%m-%d %H:%M:%S') AS applied_at FROM apps""")
+_SQL_APPLICATIONS = f"""WITH {_SQL_FOLD}
+SELECT job AS job_key, status, strftime(applied_at, '%Y-%m-%d %H:%M:%S') AS applied_at FROM apps"""
+
+
+@query(_SQL_APPLICATIONS)
 def event_fold_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = T.fold_events(_as_log(table(spark, sf_dir, "events")))
     return fold.applications.select("job_key", "status", stamp("applied_at").alias("applied_at"))
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The same log in six files, a file at a time on stored state; the stream stops after three and goes on from its checkpoint."""
+    log = cut(_as_log(table(spark, sf_dir, "events")))
+    landed, root = working_folder(spark, "log"), working_folder(spark, "fold")
+    first, last = log.agg(F.min("seq"), F.max("seq")).first()
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet
+    piece = F.floor((F.col("seq") - F.lit(first)) * 6 / F.lit((last or 0) - (first or 0) + 1))
+    for number in range(6):
+        # One file a batch, in the order of the log.
+        log.where(piece == number).coalesce(1).write.mode("append").parquet(landed)
+        if number == 2:
+            fold_event_stream(stream(landed), root, compact_every=4)
+    return fold_event_stream(stream(landed), root, compact_every=4)
+
+
 @query(_SQL_OUTCOMES)
 def stream_event_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same log as a stream of files, folded batch by batch on stored state."""
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return fold_event_stream(_as_log(stream), working_folder(spark, "fold"))["outcomes"]
+    return _streamed(spark, sf_dir)["outcomes"]
+
+
+@query(_SQL_APPLICATIONS)
+def stream_fold_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state that the stream leaves: one row per application, changes of all batches laid over each other."""
+    return _streamed(spark, sf_dir)["applications"].select("job_key", "status", stamp("applied_at").alias("applied_at"))
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> tuple[T.Fold, DataFrame]:

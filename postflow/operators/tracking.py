@@ -53,11 +53,12 @@ def repeat_bucket(event: Column, occurred_at: Column) -> Column:
 
 @dataclass(frozen=True)
 class Fold:
-    """applications and events after the log; outcomes has one row per log entry."""
+    """applications and events after the log; outcomes has one row per log entry; added are the events that are new."""
 
     applications: DataFrame
     events: DataFrame
     outcomes: DataFrame
+    added: DataFrame
 
 
 def fold_events(
@@ -174,7 +175,7 @@ def fold_events(
     )
     timeline = events.select("job_key", "event", "occurred_at", "notes", "seq").unionByName(accepted)
     outcomes = judged.select("job_key", "seq", "action", "changed", "reason")
-    return Fold(after, timeline, outcomes)
+    return Fold(after, timeline, outcomes, accepted)
 
 
 def can_act(cards: DataFrame, action: str) -> DataFrame:

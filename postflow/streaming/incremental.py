@@ -1,8 +1,9 @@
 """Streaming forms of the three incremental operators.
 
-Each micro-batch runs the batch operator against the state the previous one wrote. State
-lives in one folder per batch number, so a batch that is retried after a failure starts
-from the same input state and overwrites its own output.
+Each micro-batch runs the batch operator against the state that the batches before it left,
+for the keys it names, and writes what it changed. Changes lie in one folder per batch
+number, so a batch that is retried after a failure starts from the same state and
+overwrites its own output.
 """
 
 from __future__ import annotations
@@ -29,31 +30,15 @@ def _run_all(stream: DataFrame, root: str, step: Callable[[DataFrame, int], None
     query.awaitTermination()
 
 
-def _table(spark: SparkSession, name: str, path: str, batch: int) -> DataFrame:
-    """A table as the batch before `batch` left it."""
-    schema = struct_of(TABLES[name])
-    if batch == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/{name}/batch={batch - 1}")
-
-
-def _last_batch(spark: SparkSession, path: str) -> int:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(hadoop):
-        return -1
-    names = [s.getPath().getName() for s in files.listStatus(hadoop)]
-    return max((int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")), default=-1)
-
-
 class ChangeTable:
     """A table as the changes that each batch made, by key, on top of a base.
 
-    A row of a later batch replaces that of an earlier one. A batch that is retried reads
-    what the batches before it left and writes its own changes anew.
+    A row of a later batch replaces that of an earlier one; without a key rows are only added.
+    A batch that is retried reads what the batches before it left and writes its own changes
+    anew.
     """
 
-    def __init__(self, spark: SparkSession, path: str, ddl: str, key: list[str]):
+    def __init__(self, spark: SparkSession, path: str, ddl: str, key: list[str] | None):
         self.spark, self.path, self.schema, self.key = spark, path, struct_of(ddl), key
 
     def _folders(self) -> dict[str, list[int]]:
@@ -77,10 +62,10 @@ class ChangeTable:
             self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}").withColumn("_batch", F.lit(int(name.split("=")[1])))
             for name in names
         ]
-        if len(parts) == 1:
-            return parts[0].drop("_batch")
-        others = [c for c in self.schema.fieldNames() if c not in self.key]
         every = reduce(DataFrame.unionByName, parts)
+        if len(parts) == 1 or self.key is None:
+            return every.drop("_batch")
+        others = [c for c in self.schema.fieldNames() if c not in self.key]
         latest = every.groupBy(*self.key).agg(F.max_by(F.struct(*others), "_batch").alias("_row"))
         return latest.select(*self.key, "_row.*").select(*self.schema.fieldNames())
 
@@ -104,30 +89,40 @@ class ChangeTable:
                     files.delete(folder, True)
 
 
-def fold_event_stream(log: DataFrame, root: str) -> dict[str, DataFrame]:
+OUTCOMES = "job_key STRING, seq BIGINT, action STRING, changed BOOLEAN, reason STRING"
+
+
+def fold_event_stream(log: DataFrame, root: str, compact_every: int = 16) -> dict[str, DataFrame]:
     """Folds a stream of actions and steps; returns applications, events and outcomes.
 
-    `log` has the columns of `fold_events`. Outcomes accumulate over the batches.
+    `log` has the columns of `fold_events`; `seq` rises from batch to batch. State is kept by
+    job key: a batch reads the applications and steps of the jobs it names and writes the
+    applications it changed, the steps it added and its outcomes. An application that an undo
+    removes stays in the changes as `gone`. No group is gathered, so a job may have any share
+    of a batch. Called again with the same `root` it goes on from its checkpoint.
     """
     spark = log.sparkSession
+    applications = ChangeTable(spark, f"{root}/applications", TABLES["applications"], ["job_key"])
+    events = ChangeTable(spark, f"{root}/application_events", TABLES["application_events"], None)
+    outcomes = ChangeTable(spark, f"{root}/outcomes", OUTCOMES, None)
+    live = F.col("status") != "gone"
 
     def step(batch: DataFrame, number: int) -> None:
-        # A later batch reads the events this one adds; the log rows are read three times.
-        rows = cut(batch)
-        fold = fold_events(rows, _table(spark, "applications", root, number), _table(spark, "application_events", root, number))
-        fold.applications.write.mode("overwrite").parquet(f"{root}/applications/batch={number}")
-        fold.events.write.mode("overwrite").parquet(f"{root}/application_events/batch={number}")
-        fold.outcomes.write.mode("overwrite").parquet(f"{root}/outcomes/batch={number}")
+        if number and number % compact_every == 0:
+            applications.compact(number)
+            events.compact(number)
+        rows = cut(batch)  # read several times
+        jobs = cut(rows.select("job_key").distinct())
+        held = cut(applications.before(number).where(live).join(jobs, "job_key", "left_semi"))
+        fold = fold_events(rows, held, events.before(number).join(jobs, "job_key", "left_semi"))
+        after = cut(fold.applications.select(*held.columns))
+        gone = held.join(after, "job_key", "left_anti").withColumn("status", F.lit("gone"))
+        applications.write(after.exceptAll(held).unionByName(gone), number)
+        events.write(fold.added, number)
+        outcomes.write(fold.outcomes, number)
 
     _run_all(log, root, step)
-    last = _last_batch(spark, f"{root}/applications")
-    outcomes = "job_key STRING, seq BIGINT, action STRING, changed BOOLEAN, reason STRING"
-    return {
-        "applications": _table(spark, "applications", root, last + 1),
-        "events": _table(spark, "application_events", root, last + 1),
-        "outcomes": spark.read.schema(outcomes).parquet(*[f"{root}/outcomes/batch={n}" for n in range(last + 1)]) if last >= 0
-        else spark.createDataFrame([], outcomes),
-    }
+    return {"applications": applications.now().where(live), "events": events.now(), "outcomes": outcomes.now()}
 
 
 def reconcile_stream(

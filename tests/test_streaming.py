@@ -35,6 +35,24 @@ def test_event_fold(spark):
         (r["job_key"], r["status"]) for r in batch.applications.collect()}
 
 
+def test_event_fold_goes_on_from_stored_state(spark):
+    log = [("a", "apply"), ("b", "dismiss"), ("a", "offer"), ("b", "undismiss"), ("a", "offer"), ("b", "note"), ("c", "dismiss")]
+    rows = [(job, action, T0 + timedelta(hours=s), s, None) for s, (job, action) in enumerate(log)]
+    pieces = [spark.createDataFrame(rows[i : i + n], LOG) for i, n in ((0, 2), (2, 2), (4, 1), (5, 2))]
+    landed, root = working_folder(spark, "log"), working_folder(spark, "fold")
+    S.fold_event_stream(in_pieces(spark, pieces[:2], landed), root, compact_every=2)
+    got = S.fold_event_stream(in_pieces(spark, pieces[2:], landed), root, compact_every=2)
+    outcomes = {r["seq"]: r["reason"] for r in got["outcomes"].collect()}
+    assert outcomes == {0: "applied", 1: "dismissed", 2: "recorded", 3: "undismissed", 4: "refused: already recorded",
+                        5: "refused: no application", 6: "dismissed"}
+    assert {(r["job_key"], r["status"]) for r in got["applications"].collect()} == {("a", "offer"), ("c", "dismissed")}
+    assert sorted((r["job_key"], r["event"]) for r in got["events"].collect()) == [("a", "applied"), ("a", "offer")]
+    folder = Path(root.removeprefix("file:"), "applications")
+    assert sorted(f.name for f in folder.iterdir()) == ["base=1", "batch=2", "batch=3"]  # older batches went into the base
+    # A batch writes what it changed: nothing, then one job.
+    assert [spark.read.parquet(f"{root}/applications/batch={n}").count() for n in (2, 3)] == [0, 1]
+
+
 def test_reconcile(spark):
     listing = "company_slug STRING, source STRING, source_job_id STRING, fetched_at TIMESTAMP, text STRING"
 
