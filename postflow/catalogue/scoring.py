@@ -318,8 +318,7 @@ SELECT section, row_number() OVER (PARTITION BY section ORDER BY demoted, score
   k::VARCHAR AS job_key, score, appearance, demoted, 'u/' || id AS apply_url FROM e""")
 def digest_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole daily digest over orders."""
-    entries, _ = D.daily_digest(
-        _orders_state(spark, sf_dir), _ORDERS_PROFILE, _LOW, F.lit(_DAY), F.lit(_INSTANT), "Europe/Lisbon")
+    entries = D.digest_entries(_orders_state(spark, sf_dir), _ORDERS_PROFILE, _LOW, F.lit(_DAY))
     return entries.select("section", "position", "job_key", "score", "appearance", "demoted", "apply_url")
 
 
@@ -337,7 +336,7 @@ SELECT count(*) FILTER (WHERE appearance <= 4) AS total, count(*) FILTER (WHERE
   (SELECT count(*) FROM c0 WHERE since >= TIMESTAMP '{_INSTANT}' - INTERVAL 7 DAY AND since > (SELECT min(since) FROM c0) + INTERVAL 60 SECOND) AS new_companies
 FROM a WHERE section IS NOT NULL""")
 def digest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, summary = D.daily_digest(
+    summary = D.digest_counts(
         _orders_state(spark, sf_dir), _ORDERS_PROFILE, _LOW, F.lit(_DAY), F.lit(_INSTANT), "Europe/Lisbon")
     return summary.drop("digest_date", "is_empty")
 

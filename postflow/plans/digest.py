@@ -8,6 +8,7 @@ from ..functions.times import local_day
 from ..operators import ranking as K, tracking as T
 from ..operators.places import location_match
 from ..operators.prefilter import POSTING_KEY
+from ..session import cut
 from ..sources.store import State
 
 # How long a company is news, and how long the first batch of companies took.
@@ -55,38 +56,59 @@ def shortlist(state: State, profile) -> DataFrame:
     )
 
 
-def daily_digest(state: State, profile, rules, today: Column, now: Column, zone: str) -> tuple[DataFrame, DataFrame]:
-    """(entries, summary): the sections' entries with positions, and one row about the day.
+def _listed(state: State, profile) -> DataFrame:
+    """The shortlist with the section of each job, without jobs that belong to none."""
+    section = K.section_for(F.col("location_match.fit"), F.col("work_authorization"))
+    return shortlist(state, profile).withColumn("section", section).where("section IS NOT NULL")
 
-    An empty digest is a valid result. `rules` is the repeat suppression.
+
+def _shown(listed: DataFrame, state: State, rules, today: Column) -> DataFrame:
+    """Keys and order columns of the listed jobs with their repeat state; no display column goes along."""
+    ranked_by = listed.select("section", "job_key", "score", "content_hash", "company", "title")
+    return K.repeat_state(ranked_by, state.digest_appearances, rules, before=today)
+
+
+def digest_entries(state: State, profile, rules, today: Column) -> DataFrame:
+    """The sections' entries with positions.
+
+    The shortlist is written once, unsorted. Only keys and order columns are sorted, and what
+    an entry shows is joined to its rank.
     """
-    fit = F.col("location_match.fit")
-    listed = shortlist(state, profile).withColumn("section", K.section_for(fit, F.col("work_authorization"))).where(
-        "section IS NOT NULL")
-    shown = K.repeat_state(listed, state.digest_appearances, rules, before=today)
-    place = F.col("location_match.place")
-    entries = K.positions(
-        shown.where("NOT suppressed").select(
-            "section", "job_key", "company", "title",
-            F.coalesce(F.nullif("location_raw", F.lit("")), F.lit("not stated")).alias("location"),
-            "work_mode", "region", "score", F.trim(F.coalesce("summary", F.lit(""))).alias("summary"),
-            "concerns", "work_authorization", "apply_url", "appearance", "demoted", "content_hash",
-            fit.alias("fit"), place.alias("matched_place"),
-            K.section_note(fit, F.col("work_authorization"), place, F.col("region")).alias("section_note"),
-            K.repeat_note(F.col("appearance"), F.col("demoted")).alias("repeat_note"),
-        ),
-        "section", K.entry_order(),
-    )
-    totals = entries.agg(
-        F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("section") == s).alias(s) for s in K.SECTIONS])
-    hidden = shown.agg(F.count_if("suppressed").alias("still_open"))
+    fit, place = F.col("location_match.fit"), F.col("location_match.place")
+    listed = cut(_listed(state, profile).select(
+        "section", "job_key", "company", "title",
+        F.coalesce(F.nullif("location_raw", F.lit("")), F.lit("not stated")).alias("location"),
+        "work_mode", "region", "score", F.trim(F.coalesce("summary", F.lit(""))).alias("summary"),
+        "concerns", "work_authorization", "apply_url", "content_hash",
+        fit.alias("fit"), place.alias("matched_place"),
+        K.section_note(fit, F.col("work_authorization"), place, F.col("region")).alias("section_note"),
+    ))
+    ranked = K.positions(_shown(listed, state, rules, today).where("NOT suppressed").drop("suppressed", "content_hash"),
+                         "section", K.entry_order())
+    return listed.join(ranked.select("job_key", "appearance", "demoted", "position"), "job_key").withColumn(
+        "repeat_note", K.repeat_note(F.col("appearance"), F.col("demoted")))
+
+
+def digest_counts(state: State, profile, rules, today: Column, now: Column, zone: str) -> DataFrame:
+    """One row about the day, counted without ranking anything."""
+    shown = F.col("suppressed") == F.lit(False)
+    summary = _shown(_listed(state, profile), state, rules, today).agg(
+        F.count_if(shown).alias("total"), *[F.count_if(shown & (F.col("section") == s)).alias(s) for s in K.SECTIONS],
+        F.count_if("suppressed").alias("still_open"))
     waiting = state.candidate_companies.agg(F.count_if(F.col("status") == "pending").alias("pending_candidates"))
     news = _added_lately(state.companies, state.postings, now, zone).agg(F.count(F.lit(1)).alias("new_companies"))
-    summary = totals
-    # Four frames of one row each.
-    for part in (hidden, waiting, news):
+    # Three frames of one row each.
+    for part in (waiting, news):
         summary = summary.withColumn("_one", F.lit(1)).join(part.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    return entries, summary.withColumn("digest_date", today.cast("date")).withColumn("is_empty", F.col("total") == 0)
+    return summary.withColumn("digest_date", today.cast("date")).withColumn("is_empty", F.col("total") == 0)
+
+
+def daily_digest(state: State, profile, rules, today: Column, now: Column, zone: str) -> tuple[DataFrame, DataFrame]:
+    """(entries, summary): the sections' entries with positions, and one row about the day.
+
+    An empty digest is a valid result. `rules` is the repeat suppression.
+    """
+    return digest_entries(state, profile, rules, today), digest_counts(state, profile, rules, today, now, zone)
 
 
 def open_roles(state: State, profile, rules, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
