@@ -10,8 +10,9 @@ budget of edits. k is `RATE` of n.
 An item longer than `PIECE` characters is sought in overlapping pieces. Every item longer than
 `PART` is also sought in overlapping parts of that length: whatever its length, a passage of
 one and a half parts holds a part whole and is found. A part is reported where no piece of its
-item is. An item with fewer than `LEAST` folded characters says nothing inside a longer
-text; it is only found as a whole text.
+item is. An item with fewer than `LEAST` folded characters has a budget of no edits and few
+q-grams or none; it is found, by an automaton over all such items, wherever it stands exactly
+between the ends of words.
 
 Distinct texts of items travel to the documents in blocks of a bounded size, one pass over the
 documents per block, so a large benchmark costs passes and not memory. A text is sought once,
@@ -29,6 +30,7 @@ from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -66,6 +68,10 @@ def fold(text: str) -> tuple[np.ndarray, np.ndarray]:
     return codes[places], places
 
 
+def _characters(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
     """The polynomial hash of every q-gram, put together from hashes of powers of two."""
     out, have, power, length = None, 0, codes.astype(np.uint32), 1
@@ -105,17 +111,21 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.pieces: list[tuple[int, np.ndarray, int, int]] = []  # item_id, characters, edits, shared q-grams at least
-        self.whole: dict[bytes, list[int]] = {}
+        self.short = ahocorasick.Automaton()
+        short: dict[str, list[tuple[int, int]]] = {}  # folded characters to items, each with a number below 0
         parts: list[tuple[int, np.ndarray, int, int]] = []
-        for item_id, text in items:
+        for numbered, (item_id, text) in enumerate(items):
             codes, _ = fold(text or "")
             if 0 < len(codes) < LEAST:
-                self.whole.setdefault(codes.tobytes(), []).append(item_id)
+                short.setdefault(_characters(codes), []).append((-1 - numbered, item_id))
             for start in range(0, max(1, len(codes) - PIECE // 2), PIECE // 2) if len(codes) >= LEAST else ():
                 self.pieces.append(_piece(item_id, codes[start : start + PIECE]))
             if len(codes) > PART:
                 last = len(codes) - PART
                 parts += [_piece(item_id, codes[start : start + PART]) for start in [*range(0, last, PART // 2), last]]
+        for letters, ids in short.items():
+            self.short.add_word(letters, (len(letters), ids))
+        self.short.make_automaton()
         self.parts_from = len(self.pieces)
         self.pieces += parts
         hashed = [grams(p[1]) for p in self.pieces]
@@ -167,8 +177,13 @@ class Index:
         """The items that occur in a text, with the stretch of the text that holds them."""
         codes, places = fold(text)
         found: list[tuple[int, Match]] = []
-        for k, item in enumerate(self.whole.get(codes.tobytes(), ()) if len(codes) < LEAST else ()):
-            found.append((-1 - k, (item, int(places[0]), int(places[-1]) + 1, 0)))
+        if len(self.short):
+            # Between neighbours that do not touch in the text a word ends.
+            ends = np.concatenate([[True], np.diff(places) > 1, [True]])
+            for last, (size, ids) in self.short.iter(_characters(codes)):
+                start = last + 1 - size
+                if ends[start] and ends[last + 1]:
+                    found += [(number, (k, int(places[start]), int(places[last]) + 1, 0)) for number, k in ids]
         for start in range(0, len(codes) if self.pieces else 0, STRETCH):
             part = codes[start : start + STRETCH + 2 * self.reach]
             for number, low, high in self._candidates(grams(part)):
