@@ -11,8 +11,8 @@ from ..operators.evaluate import evaluate
 from ..operators.places import LocationRule
 from ..plans import digest as D
 from ..plans.profile import RepeatRules, SearchProfile
-from ..schemas import TABLES, struct_of
-from ..session import cut
+from ..schemas import TABLES, VERDICT, struct_of
+from ..session import cut, working_folder
 from ..sources.dimensions import load_labelled
 from ..sources.store import State, empty_state
 from .shared import PROFILE, RULES, moment, sql_content_hash, sql_first_term, sql_words, table, texts
@@ -163,6 +163,41 @@ def scoring_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         "input_tokens", "scored")
 
 
+def rejected_scorer(batch: pd.DataFrame) -> pd.DataFrame:
+    """A model whose key runs out: texts of some lengths end all further calls."""
+    if (batch["description"].str.len() % 5 == 0).any():
+        raise I.FatalInferenceError("key rejected")
+    return arithmetic_scorer(batch)
+
+
+@query(f"""WITH {_SQL_SCORED}
+SELECT stored AS content_hash, score, 1 AS answers FROM lead WHERE score <= 100""")
+def stored_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that ends on a rejected key and the run after it: the verdicts, and how many answers each text was given."""
+    decided, records = _decided(spark, sf_dir, judged=False)
+    candidates = cut(decided.where("disposition = 'candidate'"))
+    store = working_folder(spark, "answers")
+    try:
+        I.score_texts(candidates, records, rejected_scorer, PROFILE, "arithmetic", F.lit("2024-01-01"), store=store)
+    except I.FatalInferenceError:
+        pass
+    _, verdicts = I.score_texts(candidates, records, arithmetic_scorer, PROFILE, "arithmetic", F.lit("2024-01-02"), store=store)
+    schema = struct_of(f"content_hash STRING, {VERDICT}")
+    kept = I.stored_answers(spark, store, f"arithmetic-{PROFILE.prompt_version}", schema).where("error IS NULL")
+    given = kept.groupBy("content_hash").agg(F.count(F.lit(1)).alias("answers"))
+    return verdicts.where("error IS NULL").join(given, "content_hash").select("content_hash", "score", "answers")
+
+
+@query(f"""WITH {_SQL_SCORED}
+SELECT count(*) AS attempted, count(*) FILTER (WHERE score > 100) AS failed FROM lead""")
+def failed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the failure policy of a run reads."""
+    decided, records = _decided(spark, sf_dir, judged=False)
+    candidates = cut(decided.where("disposition = 'candidate'"))
+    _, verdicts = I.score_texts(candidates, records, arithmetic_scorer, PROFILE, "arithmetic", F.lit("2024-01-01"))
+    return I.failure_counts(verdicts)
+
+
 _SQL_EVALUATED = f"""
 WITH l AS (SELECT d.doc_id, quality = 1 AS relevant, n_chars, {sql_words("split_part(text, chr(10), 1)")} AS t, {sql_words('text')} AS b, text
            FROM documents d JOIN labels USING (doc_id)),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.text import render_posting
 from ..schemas import EXTRACTION, TIER_SUGGESTION, VERDICT, struct_of
 from ..session import cut
+from ..sources.store import is_written
 from .prefilter import POSTING_KEY
 from .ranking import first_rows
 
@@ -21,13 +24,13 @@ class FatalInferenceError(Exception):
     """An error that would hit every row alike, such as a rejected key. Aborts the job."""
 
 
-def infer(df: DataFrame, fn: BatchFunction, answer: str, keys: list[str]) -> DataFrame:
-    """`fn` over every row of `df`; returns `keys` and the columns of the `answer` schema.
+# What the reason of a row starts with that was not asked, or lost, because of a fatal error.
+FATAL = "fatal: "
+PER_TASK = 500
 
-    A batch that raises is retried row by row, and a row that raises keeps its place with
-    the reason in `error`. Materialised before it is returned, so a later join never
-    calls `fn` again.
-    """
+
+def _asked(df: DataFrame, fn: BatchFunction, answer: str, keys: list[str], keep_fatal: bool) -> DataFrame:
+    """`fn` over every row of `df`; after a fatal error the rest of a task is not asked, or the task fails."""
     fields = struct_of(answer)
     schema = T.StructType([df.schema[k] for k in keys] + fields.fields)
     names = fields.fieldNames()
@@ -38,31 +41,95 @@ def infer(df: DataFrame, fn: BatchFunction, answer: str, keys: list[str]) -> Dat
             raise ValueError(f"{len(batch)} rows in, {len(result)} answers out")
         return result
 
-    def one_by_one(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for position in range(len(batch)):
-            row = batch.iloc[position : position + 1]
-            try:
-                yield answered(row)
-            except FatalInferenceError:
-                raise
-            except Exception as problem:  # noqa: BLE001 - kept as data
-                yield pd.DataFrame({"error": [f"{type(problem).__name__}: {problem}"]})
+    def collect(batch: pd.DataFrame, parts: list[pd.DataFrame]) -> None:
+        try:
+            parts.append(answered(batch))
+        except FatalInferenceError:
+            raise
+        except Exception as problem:  # noqa: BLE001 - kept as data, at the row that failed
+            if len(batch) == 1:
+                parts.append(pd.DataFrame({"error": [f"{type(problem).__name__}: {problem}"]}))
+            else:
+                for position in range(len(batch)):
+                    collect(batch.iloc[position : position + 1], parts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stopped = None
         for batch in batches:
+            if len(batch) == 0:
+                continue
+            parts: list[pd.DataFrame] = []
             try:
-                result = answered(batch)
-            except FatalInferenceError:
-                raise
-            except Exception:  # noqa: BLE001 - find the row that failed
-                if len(batch) == 0:
-                    continue
-                result = pd.concat(list(one_by_one(batch)), ignore_index=True)
-            result = result.reindex(columns=names).astype(object)
+                if stopped is None:
+                    collect(batch, parts)
+            except FatalInferenceError as problem:
+                if not keep_fatal:
+                    raise
+                stopped = problem
+            left = len(batch) - sum(map(len, parts))
+            if left:
+                parts.append(pd.DataFrame({"error": [f"{FATAL}{stopped}"] * left}))
+            result = pd.concat(parts, ignore_index=True).reindex(columns=names).astype(object)
             result = result.where(result.notna(), None)
             yield pd.concat([batch[keys].reset_index(drop=True), result], axis=1)
 
-    return cut(df.mapInPandas(run, schema))
+    return df.mapInPandas(run, schema)
+
+
+def infer(df: DataFrame, fn: BatchFunction, answer: str, keys: list[str]) -> DataFrame:
+    """`fn` over every row of `df`; returns `keys` and the columns of the `answer` schema.
+
+    A batch that raises is retried row by row, and a row that raises keeps its place with
+    the reason in `error`. Materialised before it is returned, so a later join never
+    calls `fn` again.
+    """
+    return cut(_asked(df, fn, answer, keys, keep_fatal=False))
+
+
+def stored_answers(spark, store: str, version: str, schema: T.StructType) -> DataFrame:
+    """All answers and failures kept under `store` for a version, one row per attempt."""
+    folder = f"{store}/{quote(version, safe='')}"
+    schema = T.StructType([*schema.fields, T.StructField("asked_at", T.TimestampType())])
+    return spark.read.schema(schema).parquet(folder) if is_written(spark, folder) else spark.createDataFrame([], schema)
+
+
+def infer_stored(
+    df: DataFrame, fn: BatchFunction, answer: str, keys: list[str], store: str, version: str,
+    valid: Column | None = None, per_task: int = PER_TASK,
+) -> DataFrame:
+    """As `infer`, but answers outlive a run that dies: a key is asked only while `store` has no answer to it.
+
+    Answers are kept by `keys` and `version` (of the model and the prompt). A task commits the
+    answers to its `per_task` rows, about, when it ends, whatever becomes of the others. On a
+    fatal error a task keeps the answers it has, asks no further and is not repeated; once all are
+    written FatalInferenceError is raised. Failures, and answers that are not `valid`, are kept
+    as well but are asked again by the next run. Repeated keys are asked once. Returns the last
+    valid answer, or else the last failure, to each key of `df`.
+    """
+    spark = df.sparkSession
+    schema = T.StructType([df.schema[k] for k in keys] + struct_of(answer).fields)
+    fine = F.col("error").isNull()
+    if valid is not None:
+        fine = fine & F.coalesce(valid, F.lit(False))
+    wanted = cut(df.select(*keys).distinct())
+    held = stored_answers(spark, store, version, schema).where(fine).select(*keys)
+    missing = cut(wanted.join(held, keys, "left_anti"))
+    rows = missing.count()
+    if rows:
+        tasks = max(spark.sparkContext.defaultParallelism, math.ceil(rows / per_task))
+        asked = df.join(missing, keys, "left_semi").dropDuplicates(keys).repartition(tasks, *keys)
+        answers = _asked(asked, fn, answer, keys, keep_fatal=True).withColumn("asked_at", F.current_timestamp())
+        # This version of the committer puts the file of a task in place when the task ends.
+        answers.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(
+            f"{store}/{quote(version, safe='')}")
+    others = [f.name for f in schema.fields if f.name not in keys]
+    last = F.max_by(F.struct(*others), F.struct(fine, "asked_at"))
+    found = stored_answers(spark, store, version, schema).join(wanted, keys, "left_semi").groupBy(*keys).agg(last.alias("_last"))
+    found = cut(found.select(*keys, "_last.*"))
+    stopped = found.where(F.col("error").startswith(FATAL)).select("error").first()
+    if stopped:
+        raise FatalInferenceError(stopped["error"].removeprefix(FATAL))
+    return found
 
 
 def failure_counts(answers: DataFrame) -> DataFrame:
@@ -107,13 +174,14 @@ def band_mismatch(band: Column, score: Column, bands) -> Column:
 
 def score_texts(
     candidates: DataFrame, texts: DataFrame, scorer: BatchFunction, profile, model: str, scored_at,
-    cap: int | None = None,
+    cap: int | None = None, store: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(scores, verdicts): one call per distinct text, one score row per posting of it.
 
     `candidates` are `disposition` rows and `texts` the replayed records. Each call sees
     `text` (the rendered posting) and the lead posting's columns; only leads meet their text. A verdict outside 0..100 counts as failed. Failed texts
-    stay in `verdicts` with their reason and produce no score rows, so they return.
+    stay in `verdicts` with their reason and produce no score rows, so they return. With a
+    `store` the answers outlive a run that dies, see `infer_stored`.
     """
     groups = capped_groups(candidates, cap if cap is not None else profile.max_scores_per_run)
     leads = groups.select("content_hash", "lead.source", "lead.source_job_id")
@@ -124,8 +192,12 @@ def score_texts(
         render_posting(F.col("company"), F.col("title"), F.col("location_raw"), F.col("region"),
                        F.col("work_mode"), F.col("description")).alias("text"),
     )
-    answers = infer(asked.repartition("content_hash"), scorer, VERDICT, ["content_hash"])
     in_range = F.col("score").between(0, 100)
+    if store is None:
+        answers = infer(asked.repartition("content_hash"), scorer, VERDICT, ["content_hash"])
+    else:
+        answers = infer_stored(
+            asked, scorer, VERDICT, ["content_hash"], store, f"{model}-{profile.prompt_version}", in_range)
     verdicts = answers.withColumn(
         "error",
         F.coalesce("error", F.when(~F.coalesce(in_range, F.lit(False)), F.lit("score outside 0..100"))),

@@ -45,9 +45,12 @@ def _texts_of(state: State) -> Callable[[DataFrame], DataFrame]:
 
 def run_scoring(
     state: State, profile, scorer: BatchFunction | None, model: str, now: Column,
-    cap: int | None = None, max_failed_share: float = 1.0,
+    cap: int | None = None, max_failed_share: float = 1.0, store: str | None = None,
 ) -> ScoringRun:
-    """Prefilter, then one call per distinct text up to the cap. No scorer: a dry run."""
+    """Prefilter, then one call per distinct text up to the cap. No scorer: a dry run.
+
+    With a `store` a run that dies keeps the answers it has, and the next one does not ask for them.
+    """
     limit = cap if cap is not None else profile.max_scores_per_run
     decided = cut(prefilter_run(state, profile))
     counts = disposition_counts(decided, limit)
@@ -56,7 +59,7 @@ def run_scoring(
     candidates = decided.where("disposition = 'candidate'")
     leads = capped_groups(candidates, limit).select("lead.source", "lead.source_job_id")
     texts = _texts_of(state)(leads)
-    scores, verdicts = score_texts(candidates, texts, scorer, profile, model, now, limit)
+    scores, verdicts = score_texts(candidates, texts, scorer, profile, model, now, limit, store)
     require_answers(verdicts, max_failed_share)
     after = state.with_(scores=append_scores(state.scores, scores))
     return ScoringRun(after, decided, verdicts, scoring_report(counts, verdicts, scores, limit))

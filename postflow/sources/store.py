@@ -63,6 +63,11 @@ def _file_system(spark: SparkSession, root: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
+def is_written(spark: SparkSession, folder: str) -> bool:
+    fs, path = _file_system(spark, folder)
+    return fs.exists(path)
+
+
 def versions(spark: SparkSession, root: str) -> list[int]:
     """Complete versions under `root`, oldest first. A version is complete once marked."""
     fs, path = _file_system(spark, root)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postflow.operators import ranking as K, tracking as T
-from postflow.operators.inference import FatalInferenceError, infer, require_answers
+from postflow.operators.inference import FatalInferenceError, infer, infer_stored, require_answers
 from postflow.operators.places import LocationRule
 from postflow.plans import digest as D
 from postflow.plans.discover import run_discovery
@@ -226,6 +226,45 @@ def test_inference_keeps_failures_as_rows(spark):
         infer(df, rejected, "company STRING, error STRING", ["content_hash"])
 
 
+def test_stored_answers_outlive_a_failed_run(spark, tmp_path):
+    df = spark.createDataFrame([(str(i), f"t{i}") for i in range(40)] * 2, "content_hash STRING, text STRING")
+    answer, log = "company STRING, error STRING", tmp_path / "asked"
+    log.mkdir()
+
+    def scorer(rejecting):
+        def ask(batch):
+            if len(batch) > 1:
+                raise ValueError("one at a time")
+            text = batch["text"].iloc[0]
+            if rejecting and text == "t7":
+                raise FatalInferenceError("bad key")
+            with open(log / text, "a") as f:
+                f.write("x")
+            if text == "t3":
+                raise ValueError("no answer")
+            return pd.DataFrame({"company": [text]})
+        return ask
+
+    def calls():
+        return {p.name: len(p.read_text()) for p in log.iterdir()}
+
+    def ask(fn, version="m/1", rows=df):
+        return infer_stored(rows, fn, answer, ["content_hash"], str(tmp_path / "store"), version)
+
+    with pytest.raises(FatalInferenceError, match="bad key"):
+        ask(scorer(True))
+    first = calls()
+    assert 0 < len(first) < 40 and set(first.values()) == {1}
+    got = {r["content_hash"]: (r["company"], r["error"]) for r in ask(scorer(False)).collect()}
+    assert len(got) == 40 and got["3"] == (None, "ValueError: no answer") and got["7"] == ("t7", None)
+    assert {t: n for t, n in calls().items() if n > 1} == ({"t3": 2} if "t3" in first else {})  # only a failure is asked again
+    before = calls()
+    assert ask(scorer(False)).count() == 40
+    assert {t for t, n in calls().items() if n > before[t]} == {"t3"}
+    assert ask(scorer(False), rows=df.limit(0)).count() == 0
+    assert ask(scorer(False), "m/2").count() == 40 and calls()["t9"] == 2  # another version is asked anew
+
+
 def test_caps_are_cut_by_position(spark):
     df = spark.range(500).select((F.col("id") * 7 % 500).alias("n"))
     assert sorted(r["n"] for r in K.first_rows(df, [F.col("n")], 123).collect()) == list(range(123))
