@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +59,21 @@ def working_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
+    """While a table is written: no batch for a Python worker has more rows or bytes; tighter settings stay."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, most in names.items():
+            held = before[name].lower().removesuffix("b")
+            spark.conf.set(name, str(min(int(held), most) if held.isdigit() and int(held) else most))
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to a table in the shared checkpoint folder and go on from there.
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postflow.operators import ranking as K, tracking as T
+from postflow.operators import inference
 from postflow.operators.inference import FatalInferenceError, infer, infer_stored, require_answers
 from postflow.operators.places import LocationRule
 from postflow.plans import digest as D
@@ -226,6 +227,44 @@ def test_inference_keeps_failures_as_rows(spark):
         infer(df, rejected, "company STRING, error STRING", ["content_hash"])
 
 
+def test_batches_do_not_grow_with_the_table(spark):
+    """A worker is handed few rows and bytes at a time, and the session's own setting is left as it was."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batch):
+        return pd.DataFrame({"company": [str(len(batch))] * len(batch)})
+
+    def largest(n, width):
+        rows = spark.range(n).select(F.col("id").alias("k"), F.repeat(F.lit("x"), width).alias("text")).coalesce(1)
+        return infer(rows, sizes, "company STRING, error STRING", ["k"]).agg(F.max(F.col("company").cast("int"))).first()[0]
+
+    assert largest(3000, 5) <= 256
+    assert largest(100, 1 << 20) <= 16  # of a megabyte each
+    assert spark.conf.get(name) == before
+
+
+def test_stored_answers_deal_texts_once(spark, tmp_path):
+    """The texts that are asked about are shuffled once, whether keys repeat or not."""
+    df = spark.range(200).select((F.col("id") % 100).cast("string").alias("content_hash"), F.lit("t").alias("description"))
+    plans = []
+    real = inference._asked
+
+    def spy(rows, *args, **named):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        assert "text" in rows.columns
+        return real(rows, *args, **named)
+
+    inference._asked = spy
+    try:
+        got = infer_stored(df, lambda b: pd.DataFrame({"company": b["text"]}), "company STRING, error STRING", ["content_hash"],
+                           str(tmp_path / "store"), "1", derived={"text": F.concat("description", F.lit("!"))})
+    finally:
+        inference._asked = real
+    assert [r["company"] for r in got.collect()] == ["t!"] * 100
+    assert plans[0].index("Aggregate") < plans[0].index("RepartitionByExpression")  # it is dealt below, not again above
+
+
 def test_stored_answers_outlive_a_failed_run(spark, tmp_path):
     df = spark.createDataFrame([(str(i), f"t{i}") for i in range(40)] * 2, "content_hash STRING, text STRING")
     answer, log = "company STRING, error STRING", tmp_path / "asked"
