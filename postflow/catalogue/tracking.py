@@ -86,19 +86,34 @@ def event_fold_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.applications.select("job_key", "status", stamp("applied_at").alias("applied_at"))
 
 
+FILE_ROWS = 50_000
+
+
+def _files(rows: list[int], workers: int) -> int:
+    """In how many files pieces of these numbers of rows are landed: all in as many, none of them empty."""
+    return max(1, min(workers, min(rows) // FILE_ROWS))
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The same log in six files, a file at a time on stored state; the stream stops after three and goes on from its checkpoint."""
+    """The same log in six pieces, a piece at a time on stored state; the stream stops after three and goes on from its checkpoint.
+
+    A large piece is landed in several files, so that all workers write and read it.
+    """
     log = cut(_as_log(table(spark, sf_dir, "events")))
     landed, root = working_folder(spark, "log"), working_folder(spark, "fold")
     first, last = log.agg(F.min("seq"), F.max("seq")).first()
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet
     piece = F.floor((F.col("seq") - F.lit(first)) * 6 / F.lit((last or 0) - (first or 0) + 1))
-    for number in range(6):
-        # One file a batch, in the order of the log.
-        log.where(piece == number).coalesce(1).write.mode("append").parquet(landed)
-        if number == 2:
-            fold_event_stream(stream(landed), root, compact_every=4)
-    return fold_event_stream(stream(landed), root, compact_every=4)
+    rows = dict(log.where(piece.isNotNull()).groupBy(piece.cast("int")).count().collect())
+    result = {}
+    for run in (range(3), range(3, 6)):
+        files = _files([rows.get(number, 0) for number in run], spark.sparkContext.defaultParallelism)
+        for number in run:
+            # One piece a batch, in the order of the log: the files of a piece are all landed before those of the next.
+            part = log.where(piece == number)
+            (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(landed)
+        result = fold_event_stream(stream, root, compact_every=4)
+    return result
 
 
 @query(_SQL_OUTCOMES)

@@ -6,6 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from postflow.catalogue import tracking as C
 from postflow.operators import reconcile as R, tracking as T
 from postflow.schemas import TABLES
 from postflow.session import working_folder
@@ -53,6 +54,29 @@ def test_event_fold_goes_on_from_stored_state(spark):
     assert [spark.read.parquet(f"{root}/applications/batch={n}").count() for n in (2, 3)] == [0, 1]
 
 
+def test_large_pieces_are_landed_in_several_files_and_still_make_a_batch_each(spark, tmp_path, monkeypatch):
+    kinds = ["signup", "purchase", "error", "view", "click"]
+    rows = [(i, T0 + timedelta(hours=i), i % 7, kinds[i % 5], float(i % 150)) for i in range(120)]
+    events = spark.createDataFrame(rows, "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(C, "FILE_ROWS", 5)
+    seen = {}
+
+    def spy(log, root, compact_every):
+        result = S.fold_event_stream(log, root, compact_every)
+        seen.update(files=len(log.sparkSession.read.parquet(folders[0]).inputFiles()), root=root)
+        return result
+
+    folders = []
+    monkeypatch.setattr(C, "working_folder", lambda session, name: (folders.append(f"{tmp_path}/{name}"), folders[-1])[1])
+    monkeypatch.setattr(C, "fold_event_stream", spy)
+    got = {tuple(r) for r in C.stream_event_fold(spark, str(tmp_path)).collect()}
+    assert got == {tuple(r) for r in C.event_fold(spark, str(tmp_path)).collect()}
+    assert seen["files"] == 24  # six pieces of 20 rows, four files each
+    assert len(list(Path(f"{seen['root']}/outcomes").iterdir())) == 6
+    assert C._files([0, 10, 10], 8) == 1 and C._files([100, 100, 100], 8) == 8
+
+
 def test_reconcile(spark):
     listing = "company_slug STRING, source STRING, source_job_id STRING, fetched_at TIMESTAMP, text STRING"
 
