@@ -31,7 +31,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by sets of five-word shingles with a similarity of 0.8 or more, one stays."""
+    """Of texts linked by sets of five-word shingles with a similarity of 0.8 or more, one stays: SimHash first, the rest exactly."""
     return near_dedup.kept_documents(docs)
 
 

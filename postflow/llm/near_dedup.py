@@ -1,4 +1,9 @@
-"""Near-deduplication by exact Jaccard similarity of the sets of five-word shingles.
+"""Near-deduplication by SimHash and exact Jaccard similarity of the sets of five-word shingles.
+
+SimHash comes first: fingerprints over five-word shingles are compared by the tiles of `simhash`,
+and what they link is checked by the whole sets. At `RADIUS` bits that finds texts that are nearly
+alike, so large groups of them are one class before anything else is done, but not all similar
+ones. The rest is found by an exact way, a prefix filter, over all that then lie in different classes.
 
 Two texts are linked if their sets have a similarity of at least `SIMILAR`, a whole fraction.
 Such sets share one of the first n - ceil(SIMILAR * n) + 1 shingles of each, n being its size,
@@ -18,8 +23,8 @@ result. Texts that meet at one shingle are first compared with one of them, a pi
 large group of near copies gives as many pairs as it has members. When such a round links
 fewer than `MANY` pairs, all that still lie in different classes are compared.
 
-(Fingerprints of 64 bits would have to be compared within a radius of some 18 bits for this
-similarity; at that radius no two tiles of `simhash` can be told apart.)
+(For fingerprints of 64 bits to find every pair of this similarity they would have to be compared
+within some 18 bits; at that radius no two tiles of `simhash` can be told apart.)
 
 Defined results: a null text is an empty text; texts without words are linked with each other.
 Words are parted by ASCII blanks, and A-Z count as a-z; a text of fewer words than a shingle
@@ -39,14 +44,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut, discard
 from .common import narrow, small, texts_of, without
-from .quality import MEMORY, WordHashes
-from .simhash import SEED, contract
+from .quality import WordHashes
+from .simhash import SEED, contract, fingerprint, links as tile_links
 
 SHINGLE = 5
 SIMILAR = (4, 5)
 MANY = 10_000  # links of a round that make another round with pivots worth while
 BITS = 1024
 MARK = 256
+RADIUS = 2  # bits in which fingerprints differ that are compared first
+MEMORY = 100_000  # words that a worker remembers
 FINE = 4
 SAMPLE = 5_000  # documents that tell which shingles are common
 COMMON = 5  # of them that hold a common shingle
@@ -143,24 +150,25 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, common: Broadcast) -> DataFrame:
-    """doc_id, node, size of its set, prefix, parity, mark."""
+    """doc_id, node, size of its set, prefix, parity, mark, fingerprint."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in small(batches):
-            sets = [shingles(t, hashes) for t in texts_of(batch)]
+            texts = texts_of(batch)
+            sets = [shingles(t, hashes) for t in texts]
             parities = [parity(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), _longs([name_of(s) for s in sets]), pa.array([len(s) for s in sets], pa.int32()),
                     _lists([prefix(s, *common.value) for s in sets]), pa.array(parities, pa.binary()),
-                    _lists([folded(p) for p in parities]),
+                    _lists([folded(p) for p in parities]), _longs([fingerprint(t, SHINGLE) for t in texts]),
                 ],
-                names=["doc_id", "node", "size", "prefix", "parity", "mark"],
+                names=["doc_id", "node", "size", "prefix", "parity", "mark", "fingerprint"],
             )
 
     return docs.mapInArrow(
-        work, "doc_id long, node long, size int, prefix array<long>, parity binary, mark array<long>"
+        work, "doc_id long, node long, size int, prefix array<long>, parity binary, mark array<long>, fingerprint long"
     )
 
 
@@ -297,6 +305,19 @@ def _shared(rows: DataFrame) -> DataFrame:
     return shared
 
 
+def _sketched(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) of sets that SimHash brings together: each with the first of its fingerprint, and these along the tiles' links."""
+    nodes = rows.select("fingerprint", "node").distinct()
+    chiefs = cut(nodes.groupBy("fingerprint").agg(F.min("node").alias("chief")))
+    x = chiefs.select(F.col("fingerprint").alias("a"), F.col("chief").alias("x"))
+    y = chiefs.select(F.col("fingerprint").alias("b"), F.col("chief").alias("y"))
+    between = tile_links(chiefs.select("fingerprint"), radius).join(x, "a").join(y, "b").select("x", "y")
+    within = nodes.join(chiefs, "fingerprint").where("node <> chief").select(F.col("chief").alias("x"), F.col("node").alias("y"))
+    found = cut(between.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    discard(chiefs)
+    return found
+
+
 def near_duplicates(docs: DataFrame, many: int = MANY) -> DataFrame:
     """One row per document: doc_id, component_id (smallest doc_id reachable)."""
     docs = narrow(docs)
@@ -304,13 +325,12 @@ def near_duplicates(docs: DataFrame, many: int = MANY) -> DataFrame:
     shared = _shared(wide)
     rows = cut(wide.drop("prefix", "mark"))
     discard(wide)
-    links, root, turn, last = None, None, 0, False
+    links = _verified(docs, rows, _sketched(rows))
+    root, turn, last = cut(contract(links)), 0, False
     while True:
-        placed = shared.withColumn("root", F.col("node"))
-        if root is not None:
-            placed = shared.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = shared.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         found = _verified(docs, rows, _meetings(placed, turn, last))
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         root = cut(contract(links))
         if last:
             break

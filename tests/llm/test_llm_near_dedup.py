@@ -131,3 +131,24 @@ def test_marks_never_rule_out_similar_sets():
         b = np.sort(np.concatenate([a[size // 10 :], np.arange(size // 10, dtype=np.uint64)]))
         differ = int(np.bitwise_count(N.folded(N.parity(a)) ^ N.folded(N.parity(b))).sum())
         assert N.similar(a, b) and N._near(differ, len(a) + len(b))
+
+
+def test_simhash_comes_first_and_its_pairs_are_checked(spark, monkeypatch):
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+    texts = [base, base[1:], base + ["end"], [f"w{rnd.randrange(10**6)}" for _ in range(400)], ["a", "b"], ["b", "a"]]
+    docs = spark.createDataFrame(list(enumerate(" ".join(t) for t in texts)), "doc_id long, text string")
+    seen, real = [], N._verified
+
+    def spy(docs, rows, pairs):
+        seen.append({(r["a"], r["b"]) for r in pairs.collect()})
+        return real(docs, rows, pairs)
+
+    monkeypatch.setattr(N, "_verified", spy)
+    found = rows_of(N.near_duplicates(docs), "doc_id", "component_id")
+    assert found == expected(list(enumerate(" ".join(t) for t in texts)))
+    marks = [N.fingerprint(" ".join(t), 5) for t in texts]
+    near = [(i, j) for i in range(6) for j in range(i) if (marks[i] ^ marks[j]).bit_count() <= N.RADIUS]
+    names = [np.int64(np.uint64(N.name_of(N.shingles(" ".join(t), N.WordHashes()))).view(np.int64)) for t in texts]
+    close = {(min(names[i], names[j]), max(names[i], names[j])) for i, j in near}
+    assert seen[0] and seen[0] <= close  # the tiles' stars, at first; later rounds meet at shingles
