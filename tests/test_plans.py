@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from postflow.catalogue.scoring import first_words
 from postflow.operators import ranking as K, tracking as T
 from postflow.operators import inference
 from postflow.operators.inference import FatalInferenceError, infer, infer_stored, require_answers
@@ -265,6 +266,16 @@ def test_stored_answers_deal_texts_once(spark, tmp_path):
     assert plans[0].index("Aggregate") < plans[0].index("RepartitionByExpression")  # it is dealt below, not again above
 
 
+def test_a_retried_row_is_read_without_column_functions(monkeypatch):
+    monkeypatch.delattr(pd.Series, "str")
+    got = first_words(pd.DataFrame({"text": ["a b c d e", "  "]}))
+    assert got["company"].tolist() == ["a", None] and got["roles"].tolist() == [["b", "c"], []]
+    with pytest.raises(ValueError, match="unreadable"):
+        first_words(pd.DataFrame({"text": ["a b", ""]}))
+    with pytest.raises(TypeError, match="'NoneType' object is not iterable"):
+        first_words(pd.DataFrame({"text": [None]}))
+
+
 def test_stored_answers_outlive_a_failed_run(spark, tmp_path):
     df = spark.createDataFrame([(str(i), f"t{i}") for i in range(40)] * 2, "content_hash STRING, text STRING")
     answer, log = "company STRING, error STRING", tmp_path / "asked"
