@@ -18,8 +18,10 @@ they tell nearly all unlike sets apart at a sixteenth of the sets' size. Every p
 still there is settled by the whole sets.
 
 Rare shingles come first in the order, so common lines and passages seldom bring texts
-together. Which are common is told by a sample of bounded size; it changes the work, not the
-result. Texts that meet at one shingle are first compared with one of them, a pivot, so a
+together. Which are common is told by a sample, a fixed share of a large table: were it of a fixed
+size, a shingle that it does not show could stand in more texts the larger the table is. It changes
+the work, not the result. Shingles that the very same texts have in their prefixes, as those of
+one passage do, bring the same pairs together, so only the first of them in the order is kept. Texts that meet at one shingle are first compared with one of them, a pivot, so a
 large group of near copies gives as many pairs as it has members. When such a round links
 fewer than `MANY` pairs, all that still lie in different classes are compared.
 
@@ -51,13 +53,14 @@ SHINGLE = 5
 SIMILAR = (4, 5)
 MANY = 10_000  # links of a round that make another round with pivots worth while
 BITS = 1024
-MARK = 256
+MARK = 512
 RADIUS = 2  # bits in which fingerprints differ that are compared first
 MEMORY = 100_000  # words that a worker remembers
 FINE = 4
-SAMPLE = 5_000  # documents that tell which shingles are common
+SAMPLE = 5_000  # documents that tell which shingles are common, at least
+SHARE = 0.1  # of the documents of a large table that tell it
 COMMON = 5  # of them that hold a common shingle
-LISTED = 200_000  # common shingles that are known to the order, the most common ones
+LISTED = 1_000_000  # common shingles that are known to the order, the most common ones
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -141,7 +144,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             found = np.concatenate([np.empty(0, np.uint64), *(shingles(t, hashes) for t in texts_of(batch))])
             yield pa.RecordBatch.from_arrays([_longs(found)], names=["shingle"])
 
-    sample = docs.where(draw < min(1.0, SAMPLE / max(1, rows))).select("text")
+    sample = docs.where(draw < min(1.0, max(SHARE, SAMPLE / max(1, rows)))).select("text")
     held = sample.mapInArrow(work, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     found = held.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(LISTED).toArrow()
     keys = found.column("shingle").to_numpy().view(np.uint64)
@@ -291,8 +294,19 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return found
 
 
+def _firsts(entries: DataFrame) -> DataFrame:
+    """Of shingles that the same nodes have the one that comes first in the order, told by 128 bits over the nodes."""
+    hashes = [F.xxhash64("node"), F.xxhash64("node", F.lit(1))]
+    nodes = entries.groupBy("shingle").agg(
+        F.min(F.struct("node", "place")).alias("least"), F.count(F.lit(1)).alias("n"),
+        *(F.bit_xor(h).alias(f"bits{k}") for k, h in enumerate(hashes)),
+    )
+    alike = nodes.groupBy("least.node", "n", "bits0", "bits1")
+    return cut(alike.agg(F.min_by("shingle", "least.place").alias("shingle")).select("shingle"))
+
+
 def _shared(rows: DataFrame) -> DataFrame:
-    """The entries of prefixes at shingles that several nodes have there: shingle, node, size, place, mark words."""
+    """The entries of prefixes at shingles that several nodes have there, once for the same nodes: shingle, node, size, place, mark words."""
     entries = rows.select("node", "size", F.posexplode("prefix").alias("place", "shingle"))
     met = cut(
         entries.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("shingle")
@@ -300,8 +314,9 @@ def _shared(rows: DataFrame) -> DataFrame:
     found = cut(entries.join(met, "shingle").dropDuplicates(["shingle", "node"]))
     words = [F.col("mark")[k].alias(w) for k, w in enumerate(WORDS)]
     marks = rows.select("node", *words).dropDuplicates(["node"])
-    shared = cut(found.join(marks, "node").select("shingle", *ENTRY))
-    discard(met, found)
+    firsts = _firsts(found)
+    shared = cut(found.join(firsts, "shingle").join(marks, "node").select("shingle", *ENTRY))
+    discard(met, found, firsts)
     return shared
 
 

@@ -152,3 +152,46 @@ def test_simhash_comes_first_and_its_pairs_are_checked(spark, monkeypatch):
     names = [np.int64(np.uint64(N.name_of(N.shingles(" ".join(t), N.WordHashes()))).view(np.int64)) for t in texts]
     close = {(min(names[i], names[j]), max(names[i], names[j])) for i, j in near}
     assert seen[0] and seen[0] <= close  # the tiles' stars, at first; later rounds meet at shingles
+
+
+def no_list(spark):
+    return spark.sparkContext.broadcast((np.empty(0, np.uint64), np.empty(0, np.int64)))
+
+
+def test_a_shared_passage_has_one_entry_per_text(spark):
+    """Shingles that the same texts have bring them together once, at the one that comes first in the order."""
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    texts = []
+    for many in (2, 3, 7):  # groups of texts that share a passage and little else
+        passage = [word() for _ in range(80)]
+        texts += [passage + [word() for _ in range(20)] for _ in range(many)]
+    docs = spark.createDataFrame(list(enumerate(" ".join(t) for t in texts)), "doc_id long, text string")
+    rows = N.cut(N._prefixes(docs, no_list(spark)))
+    prefixes = {r["node"]: r["prefix"] for r in rows.collect()}
+    met = [(r["shingle"], r["node"], r["place"]) for r in N._shared(rows).collect()]
+    assert all(prefixes[node][place] == shingle for shingle, node, place in met)
+    held = {}
+    for node, found in prefixes.items():
+        for shingle in found:
+            held.setdefault(shingle, set()).add(node)
+    kept = {}
+    for shingle, node, _ in met:
+        kept.setdefault(shingle, set()).add(node)
+    groups = {frozenset(nodes) for nodes in held.values() if len(nodes) > 1}
+    assert all(kept[s] == held[s] for s in kept) and len(kept) == len(groups) and {frozenset(k) for k in kept.values()} == groups
+    for shingle, nodes in kept.items():  # before all others that the same nodes have
+        alike = {s for s, n in held.items() if n == nodes}
+        assert all(next(s for s in prefixes[n] if s in alike) == shingle for n in nodes)
+
+
+def test_a_larger_table_shows_rarer_shingles(spark, monkeypatch):
+    """A passage in a twentieth of the texts is known as common even if a sample of the least size holds it too seldom."""
+    monkeypatch.setattr(N, "SAMPLE", 20)
+    rnd = random.Random(10)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    passage = [word() for _ in range(12)]
+    texts = [[word() for _ in range(8)] + (passage if k % 20 == 0 else []) for k in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(" ".join(t) for t in texts)), "doc_id long, text string")
+    keys, counts = N._common(N.narrow(docs))
+    assert set(N.shingles(" ".join(passage), N.WordHashes()).tolist()) <= set(keys.tolist()) and counts.min() >= N.COMMON
