@@ -30,6 +30,8 @@ STATE_ON_DISK = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # A store per partition would otherwise set aside megabytes, however little it holds.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # An open store holds over a megabyte of native memory, so an executor with many partitions closes each after its batch.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 Digest = Callable[[Column, int], Column]
 

@@ -1,3 +1,4 @@
+import os
 import re
 
 import pytest
@@ -77,3 +78,20 @@ def test_a_row_repeated_very_often(spark):
     docs = spark.range(40_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text again").alias("text"))
     found = E.deduplicate(docs).groupBy("keep_id", "group_size", "kept").count().collect()
     assert [tuple(r) for r in found] == [(7, 40_000, True, 40_000)]
+
+
+def test_no_state_store_stays_open(spark, tmp_path):
+    """Open stores hold native memory, which would grow with the number of partitions."""
+    rows = spark.range(400).select("id", F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    landed = rows.select("doc_id", "digest", F.lit("").alias("locator"), F.lit(1).cast("long").alias("n_points"), F.lit(0).cast("long").alias("arrival"))
+    landed.write.parquet(f"{tmp_path}/landed")
+    fds = f"/proc/{spark._jvm.java.lang.ProcessHandle.current().pid()}/fd"
+
+    def stores():
+        links = [os.readlink(f"{fds}/{n}") for n in os.listdir(fds) if os.path.lexists(f"{fds}/{n}")]
+        return {link for link in links if "StateStoreId(" in link and link.endswith("/LOCK")}
+
+    before = stores()
+    state = E.keyed_state(spark.read.parquet(f"{tmp_path}/landed"), str(tmp_path))
+    assert stores() <= before
+    assert state.count() == 400
