@@ -43,7 +43,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as ids, decoded again to prove them."""
     model = subwords.load_model(spark, public_tokenizers.path("piece_bpe_32k.model"))
-    return subwords.encode_documents(docs, model)
+    return subwords.encode_documents(docs, model, remember=False)
 
 
 def _with_settings(stage: Stage) -> Stage:

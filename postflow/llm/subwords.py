@@ -193,6 +193,10 @@ class Transducer(dict):
         normal = MARK + text.replace(" ", MARK)
         return np.frombuffer(b"".join(map(self.__getitem__, self.parts.findall(normal))), np.int32)
 
+    def forget(self) -> None:
+        for memory in (self, self.paths, self.finite):
+            memory.clear()
+
     def decode(self, ids: np.ndarray) -> str:
         """The text that ids spell, without the blank that was put in front."""
         spelled = b"".join(map(self.spelled.__getitem__, ids.tolist()))
@@ -211,8 +215,11 @@ def load_model(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(source.read())
 
 
-def encode_documents(docs: DataFrame, model: Broadcast) -> DataFrame:
-    """doc_id, n_ids, ids, ids_crc32 (ids as little-endian 32 bits), decoded_sha256, round_trip."""
+def encode_documents(docs: DataFrame, model: Broadcast, remember: bool = True) -> DataFrame:
+    """doc_id, n_ids, ids, ids_crc32 (ids as little-endian 32 bits), decoded_sha256, round_trip.
+
+    What a worker remembers saves time in its next task, but lies beside all that the session runs later.
+    """
     names = ["doc_id", "n_ids", "ids", "ids_crc32", "decoded_sha256", "round_trip"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,6 +241,8 @@ def encode_documents(docs: DataFrame, model: Broadcast) -> DataFrame:
                 ],
                 names=names,
             )
+        if not remember:
+            transducer.forget()
 
     schema = "doc_id long, n_ids long, ids array<int>, ids_crc32 long, decoded_sha256 string, round_trip boolean"
     return narrow(docs).mapInArrow(work, schema)

@@ -37,3 +37,19 @@ def test_stages_bear_edge_rows(spark, tmp_path):
                 assert docs.columns == before.columns, stage
         assert docs.count() == (0 if name == "none" else docs.where(F.col("round_trip")).count())
         assert (docs.count() > 0) == (name == "rows")
+
+
+def test_workers_keep_no_parts_of_texts(spark):
+    """What subwords remembers of texts goes with the task, so it does not lie beside later stages."""
+    def remembered(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for _ in batches:
+            size = sum(len(x) + len(x.paths) + len(x.finite) for x in gc.get_objects() if type(x).__name__ == "Transducer")
+            yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64())], names=["size"])
+
+    docs = documents(spark, [(k, f"A text number {k}, nothing more.", "en") for k in range(400)]).repartition(8)
+    assert len(corpus_pipeline.encoded(spark, docs, SF).collect()) == 400
+    assert {r["size"] for r in spark.range(64, numPartitions=16).mapInArrow(remembered, "size long").collect()} == {0}
